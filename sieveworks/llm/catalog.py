@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm import p1_proportions as p1
+from sieveworks.llm import p2_truncation as p2
 from sieveworks.llm import p3_cross_split as p3
 from sieveworks.llm import p4_formatting as p4
 
@@ -34,6 +35,18 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return p1.shares(*_p1_inputs(spark, d))
 
 
+def _p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    return p2.reward_and_eval_texts(_t(spark, d, "choice_reward"), _t(spark, d, "eval_result"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2.judged(_p2_texts(spark, d)).where("cut").select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return p2.cut_rates(_p2_texts(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = p3.overlap_pairs(_t(spark, d, "exam_item"))
     return pairs.select(F.col("id_a").alias("item_id_a"), F.col("id_b").alias("item_id_b"))
@@ -53,7 +66,7 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p3_found, p3_report, p4_found, p4_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p2_found, p2_rates, p3_found, p3_report, p4_found, p4_collapsed)}
 
 
 _P1_LINES = """
