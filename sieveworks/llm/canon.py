@@ -13,24 +13,33 @@ PLAIN_SIGNS = ".:+-%/~<>="
 _BETWEEN = r".:．：–—"
 #: Punctuation and marks that carry a value wherever they stand.
 _VALUE = r"\-－‐‑%％‰‱/／′″°"
-_DROP = (
-    rf"(?<!\p{{Nd}})[{_BETWEEN}]|[{_BETWEEN}](?!\p{{Nd}})"
-    rf"|[\p{{P}}&&[^{_BETWEEN}{_VALUE}]]|[`^|¨´¸]"
-)
+#: Joins the parts of a record while they are put into canonical form together; a code point that is no character.
+_PART = "\ufdd0"
+_DROP = rf"[\s\p{{Z}}\p{{C}}\p{{P}}`^|¨´¸&&[^{_BETWEEN}{_VALUE}{_PART}]]+"
+_DROP_BETWEEN = rf"[{_BETWEEN}](?:(?!\p{{Nd}})|(?<!\p{{Nd}}.))"
 
 
 def canonical_text(text: Column) -> Column:
     """Lower case, no white space, no punctuation; signs that carry a value stay. Null counts as empty."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}\p{C}]+", "")
-    return F.translate(F.regexp_replace(bare, _DROP, ""), WIDE_SIGNS, PLAIN_SIGNS)
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _DROP, "")
+    return F.translate(F.regexp_replace(bare, _DROP_BETWEEN, ""), WIDE_SIGNS, PLAIN_SIGNS)
 
 
-def canonical_options(options: Column) -> Column:
-    """Sorted array of ``key \\u0002 value`` in canonical text; null counts as no options."""
-    entries = F.coalesce(F.map_entries(options), F.array().cast("array<struct<key:string,value:string>>"))
-    return F.array_sort(F.transform(entries, lambda e: F.concat(canonical_text(e["key"]), F.lit("\u0002"), canonical_text(e["value"]))))
+def canonical_parts(parts: Column) -> Column:
+    """Canonical form of each text of an array, in one pass over all of them; a null array gives an empty one."""
+    joined = F.array_join(parts, _PART, "")
+    return F.when(F.size(parts) > 0, F.split(canonical_text(joined), _PART)).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_record(question: Column, options: Column) -> Column:
-    """One text for a record; its parts are joined by control characters, which canonical text has not."""
-    return F.concat_ws("\u0001", canonical_text(question), F.array_join(canonical_options(options), "\u0001"))
+    """One text for a record: the question, then ``key \\u0002 value`` of the options in sorted order.
+
+    Parts are joined by control characters, which canonical text has not. Null
+    options count as none.
+    """
+    keys, values = F.map_keys(options), F.map_values(options)
+    none = F.array().cast("array<string>")
+    parts = canonical_parts(F.concat(F.array(question), F.coalesce(keys, none), F.coalesce(values, none)))
+    n = F.when(options.isNull(), 0).otherwise(F.size(options))
+    pairs = F.zip_with(F.slice(parts, 2, n), F.slice(parts, n + 2, n), lambda k, v: F.concat(k, F.lit("\u0002"), v))
+    return F.concat_ws("\u0001", parts[0], F.array_join(F.array_sort(pairs), "\u0001"))

@@ -11,6 +11,7 @@ from sieveworks.llm import p1_proportions as p1
 from sieveworks.llm import p2_truncation as p2
 from sieveworks.llm import p3_cross_split as p3
 from sieveworks.llm import p4_formatting as p4
+from sieveworks.llm import p5_lookalikes as p5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,8 +66,20 @@ def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return p4.collapsed_records(_t(spark, d, "exam_item")).select(F.col("kept_id").alias("kept_item_id"), "copies", "n_forms")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p5.lookalike_pairs(_t(spark, d, "sft_row"))
+    return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p5_one_form(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's texts in one form; options as text in the order of their keys."""
+    rows = p5.in_one_form(_t(spark, d, "sft_row"), ["question", "answer"], "options")
+    entries = F.array_sort(F.map_entries("options"))
+    return rows.select("row_id", "question", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("options"), "answer")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p2_found, p2_rates, p3_found, p3_report, p4_found, p4_collapsed)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p2_found, p2_rates, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_one_form)}
 
 
 _P1_LINES = """
@@ -94,24 +107,23 @@ drawn AS (SELECT plan_id, line_id, reward_id FROM ranked JOIN lines USING (plan_
 """
 
 _CANON_MACRO = {
-    # the signs between digits are hidden in private characters while punctuation goes; twice, as matches do not overlap
+    # signs that may stay are private characters while punctuation goes; twice, as matches do not overlap
+    "hide": (".．:：-－‐‑%％/／", "\ue000\ue000\ue001\ue001\ue002\ue002\ue005\ue006\ue003\ue003\ue004\ue004"),
     "steps": (
         (r"[\s\x{00A0}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}\x{1680}\x{180E}\x00-\x1F\x7F-\x9F]+", ""),
-        (r"([0-9])[.．]([0-9])", "\\1\ue000\\2"),
-        (r"([0-9])[.．]([0-9])", "\\1\ue000\\2"),
-        (r"([0-9])[:：]([0-9])", "\\1\ue001\\2"),
-        (r"([0-9])[:：]([0-9])", "\\1\ue001\\2"),
-        (r"[-－‐‑]", "\ue002"),
-        (r"[%％]", "\ue003"),
-        (r"[/／]", "\ue004"),
         (r"[\p{P}`^|¨´¸]", ""),
+        ("([0-9])\ue000([0-9])", "\\1\ue007\\2"),
+        ("([0-9])\ue000([0-9])", "\\1\ue007\\2"),
+        ("([0-9])\ue001([0-9])", "\\1\ue008\\2"),
+        ("([0-9])\ue001([0-9])", "\\1\ue008\\2"),
+        ("[\ue000\ue001]", ""),
     ),
-    "back": ("\ue000\ue001\ue002\ue003\ue004＋～＜＞＝", ".:-%/+~<>="),
+    "back": ("\ue007\ue008\ue002\ue005\ue006\ue003\ue004＋～＜＞＝", ".:-‐‑%/+~<>="),
 }
 
 
 def _canon_sql(expr: str) -> str:
-    out = f"lower(coalesce({expr}, ''))"
+    out = f"translate(lower(coalesce({expr}, '')), '{_CANON_MACRO['hide'][0]}', '{_CANON_MACRO['hide'][1]}')"
     for pattern, by in _CANON_MACRO["steps"]:
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"translate({out}, '{_CANON_MACRO['back'][0]}', '{_CANON_MACRO['back'][1]}')"
@@ -127,6 +139,28 @@ groups AS (SELECT c, min(item_id) AS kept_item_id, count(*) AS copies, count(DIS
 """
 
 
+def _look_sql(expr: str) -> str:
+    """The one form by whole-text steps: characters one for one, then shapeless ones, then composition."""
+    pairs = {a: b for a, b in p5.FOLDS.items() if len(b) == 1 and a not in "'\x00" and b != "'" and ord(a) > 31}
+    shapeless = "".join(f"\\x{{{ord(a):04X}}}" for a, b in p5.FOLDS.items() if b == "" and ord(a) > 31 and not 0xE0000 <= ord(a) < 0xE1000)
+    longer = [(a, b) for a, b in p5.FOLDS.items() if a in "℃℉"]
+    out = f"translate(regexp_replace(coalesce({expr}, ''), '[{shapeless}]', '', 'g'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
+    for a, b in longer:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
+
+
+def _p5_entries(key: str, value: str, between: str = "chr(2)") -> str:
+    return f"list_transform(map_entries(options), lambda e: {key} || {between} || {value})"
+
+
+_P5_RAW = f"coalesce(question, '') || chr(1) || coalesce(answer, '') || chr(1) || coalesce(array_to_string(list_sort({_p5_entries('e.key', 'e.value')}), chr(1)), '')"
+_P5_LOOK = (
+    f"{_look_sql('question')} || chr(1) || {_look_sql('answer')} || chr(1) || "
+    f"coalesce(array_to_string(list_sort({_p5_entries(_look_sql('e.key'), _look_sql('e.value'))}), chr(1)), '')"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1_LINES + "SELECT plan_id, line_id FROM lines WHERE available < wanted",
@@ -136,5 +170,7 @@ def oracle_sql() -> dict[str, str]:
           round_even(100.0 * drawn / nullif(CAST(sum(drawn) OVER (PARTITION BY plan_id) AS DOUBLE), 0), 4) AS share_pct
         FROM (SELECT lines.*, (SELECT count(*) FROM drawn d WHERE d.line_id = lines.line_id AND d.plan_id = lines.plan_id) AS drawn FROM lines)""",
         "p4_found": _P4_GROUPS + "SELECT kept_item_id, item_id AS copy_item_id FROM canon JOIN groups USING (c) WHERE item_id > kept_item_id",
+        "p5_found": f"""WITH looks AS (SELECT row_id, {_P5_RAW} AS raw, {_P5_LOOK} AS look FROM sft_row)
+        SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM looks a JOIN looks b USING (look) WHERE a.row_id < b.row_id AND a.raw <> b.raw""",
         "p4_collapsed": _P4_GROUPS + "SELECT kept_item_id, copies, n_forms FROM groups",
     }

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveworks.llm.canon import canonical_text
+from sieveworks.llm.canon import canonical_parts
 from sieveworks.llm.p3_verify import figures, same_question
 from sieveworks.operators.skew import digest, lookup
 from sieveworks.session import cut
@@ -139,12 +139,12 @@ def cross_split_overlap(
     same if the options are. Other columns are not read. An empty table, or one
     without one of the sides, gives no links. Repeated rows are copies.
     """
-    values = F.transform(F.coalesce(F.map_values(F.col(options)), F.array().cast("array<string>")), canonical_text)
+    values = F.coalesce(F.map_values(F.col(options)), F.array().cast("array<string>"))
     side = F.when(F.col(split).isin(*train), 0).when(F.col(split).isin(*evaluation), 1)
     rows = (
-        items.select(F.col(id_col).alias("id"), side.alias("side"), F.col(question).alias("q"), values.alias("v"))
+        items.select(F.col(id_col).alias("id"), side.alias("side"), canonical_parts(F.concat(F.array(question), values)).alias("p"))
         .where("side is not null and id is not null")
-        .select("id", "side", F.concat_ws(SEP, canonical_text(F.col("q")), F.array_join(F.array_sort("v"), SEP)).alias("text"))
+        .select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, 1_000_000)), SEP)).alias("text"))
     )
     classes = cut(
         rows.groupBy("text")
@@ -178,7 +178,8 @@ def _members(o: Overlap) -> DataFrame:
     """(id, side, cid) of the records whose class has a link."""
     linked = o.links.select(F.col("train_cid").alias("cid")).unionByName(o.links.select(F.col("eval_cid").alias("cid"))).distinct()
     keys = cut(o.classes.select("cid", "key", (F.col("n_train") + F.col("n_eval")).alias("n")).join(linked, "cid"))
-    return lookup(o.rows.select("id", "side", digest(F.col("text")).alias("key")), keys, "key", "n").select("id", "side", "cid")
+    rows = cut(o.rows.select("id", "side", digest(F.col("text")).alias("key")))
+    return lookup(rows, keys, "key", "n").select("id", "side", "cid")
 
 
 def overlap_pairs(items: DataFrame, **columns: str) -> DataFrame:
