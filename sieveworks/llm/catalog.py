@@ -12,6 +12,9 @@ from sieveworks.llm import p2_truncation as p2
 from sieveworks.llm import p3_cross_split as p3
 from sieveworks.llm import p4_formatting as p4
 from sieveworks.llm import p5_lookalikes as p5
+from sieveworks.llm import p6_containers as p6
+from sieveworks.llm import p7_mixing as p7
+from sieveworks.llm import p8_personal as p8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,8 +81,33 @@ def p5_one_form(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", "question", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias("options"), "answer")
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return p6.fill(_t(spark, d, "documents"), _t(spark, d, "container_spec"))[0]
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return p6.fill_report(_t(spark, d, "documents"), _t(spark, d, "container_spec"))
+
+
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    return p7.mixed(_t(spark, d, "documents"), _t(spark, d, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p7.actual_shares(_t(spark, d, "documents"), _t(spark, d, "mix_target"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = p8.find(_t(spark, d, "documents")).where(F.col("kind").isin("name", "email", "phone", "id_number", "address"))
+    return found.select(F.col("id").alias("doc_id"), "kind", "found_text")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", p8.redacted(F.col("text")).alias("text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p2_found, p2_rates, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_one_form)}
+    return {f.__name__: f for f in (p1_found, p1_sample, p1_shares, p2_found, p2_rates, p3_found, p3_report, p4_found, p4_collapsed, p5_found, p5_one_form, p6_containers, p6_report, p7_uses, p7_shares, p8_found, p8_redacted)}
 
 
 _P1_LINES = """
