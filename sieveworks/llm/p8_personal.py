@@ -150,8 +150,14 @@ def _before(text: str, at: int, n: int = 18) -> str:
     return text[max(0, at - n) : at]
 
 
+#: Without so many digits, or written-out ones, close together there is no number to look for.
+_DIGIT_ANCHOR = re.compile(r"[0-9０-９][0-9０-９ ().\-（）]{5}|[〇零一二三四五六七八九]{9}")
+
+
 def _numbers(text: str) -> list[Span]:
-    found = []
+    found: list[Span] = []
+    if not _DIGIT_ANCHOR.search(text):
+        return found
     for pattern in _IDS:
         for m in pattern.finditer(text):
             plain = re.sub(r"[ \-]", "", m[0].translate(_DIGITS)).upper().replace("Ｘ", "X")
@@ -175,15 +181,32 @@ def _numbers(text: str) -> list[Span]:
     return found
 
 
+#: What every Chinese address has in it; the slower expressions run only around such places.
+_ADDRESS_ANCHOR = re.compile(r"[路街道巷里同村区园寓苑][0-9０-９一二三四五六七八九十]")
+_BEFORE_ANCHOR, _AFTER_ANCHOR = 32, 64
+
+
+def _windows(text: str) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for m in _ADDRESS_ANCHOR.finditer(text):
+        low, high = max(0, m.start() - _BEFORE_ANCHOR), min(len(text), m.end() + _AFTER_ANCHOR)
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
 def _addresses(text: str) -> list[Span]:
     found = []
-    for pattern in _ADDRESS_CN:
-        at = 0
-        while m := pattern.search(text, at):
-            start = _place_start(text, *m.span(), pattern)
-            if start is not None:
-                found.append(Span("address", start, m.end(), 1.5))
-            at = m.end()
+    for low, high in _windows(text):
+        for pattern in _ADDRESS_CN:
+            at = low
+            while m := pattern.search(text, at, high):
+                start = _place_start(text, *m.span(), pattern)
+                if start is not None:
+                    found.append(Span("address", start, m.end(), 1.5))
+                at = m.end()
     return found + [Span("address", *m.span(), 1.5) for m in _ADDRESS_EN.finditer(text)]
 
 
