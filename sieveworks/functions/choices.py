@@ -35,7 +35,7 @@ def lettered_options(options: Column) -> Column:
     entries = F.transform(sorted_entries(options), lambda e: F.struct(F.upper(F.trim(e["key"])).alias("key"), stripped(e["value"]).alias("value")))
     kept = F.filter(entries, lambda e: e["key"].rlike("^[A-Z]$"))
     letters = F.array_sort(F.array_distinct(F.transform(kept, lambda e: e["key"])))
-    last = F.transform(letters, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(kept, lambda e: e["key"] == k), -1)["value"].alias("value")))
+    last = F.transform(letters, lambda k: F.struct(k.alias("key"), F.try_element_at(F.filter(kept, lambda e: e["key"] == k), F.lit(-1))["value"].alias("value")))
     return F.when(F.size(letters) > 0, F.map_from_entries(last))
 
 
@@ -78,7 +78,7 @@ def extracted_v1(text: Column, valid: Column | None = None) -> Column:
     """Letters of the last answer label, else those of a short last line."""
     captures = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LETTERS_LINE), F.lit(1))
     line = last_line(text)
-    return F.when(F.size(captures) > 0, sorted_letters(F.element_at(captures, -1), valid)).otherwise(
+    return F.when(F.size(captures) > 0, sorted_letters(F.try_element_at(captures, F.lit(-1)), valid)).otherwise(
         F.when((line != "") & (F.length(line) <= 32), sorted_letters(line, valid)).otherwise("")
     )
 
@@ -92,7 +92,7 @@ def extracted_v2(text: Column, valid: Column | None = None) -> Column:
     body = stripped(text)
     captures = answer_labels(body)
     n = F.size(captures)
-    tail = F.element_at(captures, -1)
+    tail = F.try_element_at(captures, F.lit(-1))
     line = last_line(body)
     labelled = sorted_letters(tail, valid)
     short = (n == 0) & (line != "") & (F.length(line) <= 32)

@@ -23,9 +23,12 @@ def unit_float(seed: str, key: Column) -> Column:
     return F.conv(unit_hash(seed, key), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(16**16 - 1))
 
 
-def char_ngrams(text: Column, shortest: int, longest: int) -> Column:
-    """All character n-grams, shortest first, repeats kept; white space is left out of the text."""
-    t = without_space(text)
+def char_ngrams(text: Column, shortest: int, longest: int, compact: bool = True) -> Column:
+    """All character n-grams, shortest first, repeats kept; with ``compact`` white space is left out of the text.
+
+    Each gram evaluates ``text`` anew: give a column that is computed already.
+    """
+    t = without_space(text) if compact else text
     grams = []
     for n in range(shortest, longest + 1):
         starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,13 @@ def looked_up(key: Column, table: Mapping[str, float], otherwise: float) -> Colu
     """Value of a small literal table."""
     pairs = [F.lit(x) for k, v in table.items() for x in (k, float(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(float(otherwise)))
+
+
+def staged(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``rows`` with ``columns`` computed once.
+
+    Projections on top of each other are merged by the optimizer, which repeats
+    an expression wherever its column is used; with higher-order functions that
+    multiplies the work. A generator of one row ends the merging.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -156,4 +156,4 @@ def lines(text: Column) -> Column:
 
 def last_line(text: Column) -> Column:
     found = lines(text)
-    return F.when(F.size(found) > 0, F.element_at(found, -1)).otherwise("")
+    return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1))).otherwise("")

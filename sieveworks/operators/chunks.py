@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.functions.rules import staged
+
 
 def sentences(text: Column) -> Column:
     """Sentences with their marks; ideographic text is parted after its marks, other text at blanks after them."""
@@ -14,31 +16,34 @@ def sentences(text: Column) -> Column:
     return F.filter(F.when(t.rlike("[一-鿿]"), han).otherwise(latin), lambda s: s != "")
 
 
-def chunks(text: Column, size: int = 250, overlap: int = 50) -> Column:
-    """Whole sentences up to ``size`` characters; a longer sentence is cut. The beginning of the next chunk follows each one."""
-    t = F.coalesce(text, F.lit(""))
-    joint = F.when(t.rlike("[一-鿿]"), F.lit("")).otherwise(F.lit(" "))
-    pieces = F.flatten(
-        F.transform(sentences(text), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(s), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size))))
-    )
+def chunk_arrays(documents: DataFrame, text: str, size: int = 250, overlap: int = 50, out: str = "chunks") -> DataFrame:
+    """``documents`` with an array of chunks: whole sentences up to ``size`` characters, a longer sentence cut.
+
+    The first ``overlap`` characters of the next chunk follow each one. Null and
+    empty texts have no chunks.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = staged(documents, {"__sentences": sentences(F.col(text)), "__joint": F.when(t.rlike("[一-鿿]"), F.lit("")).otherwise(F.lit(" "))})
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / size).cast("int")), lambda i: F.substring(s, i * size + 1, F.lit(size)))
+    rows = staged(rows, {"__pieces": F.flatten(F.transform("__sentences", parts))})
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s: Column, p: Column) -> Column:
         fits = (s["open"] == "") | (F.length(s["open"]) + F.length(p) <= size)
-        longer = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], joint, p))
+        longer = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.col("__joint"), p))
         return F.struct(F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))).alias("done"), F.when(fits, longer).otherwise(p).alias("open"))
 
-    end = F.aggregate(pieces, start, step)
-    cut = F.when(end["open"] != "", F.concat(end["done"], F.array(end["open"]))).otherwise(end["done"])
-    trimmed = F.transform(cut, F.trim)
-    if not overlap:
-        return trimmed
-    return F.transform(trimmed, lambda c, i: F.when(i < F.size(trimmed) - 1, F.trim(F.concat(c, F.lit(" "), F.substring(F.get(trimmed, i + 1), 1, overlap)))).otherwise(c))
+    rows = staged(rows, {"__end": F.aggregate("__pieces", start, step)})
+    done = F.when(F.col("__end.open") != "", F.concat("__end.done", F.array("__end.open"))).otherwise(F.col("__end.done"))
+    rows = staged(rows, {"__cut": F.transform(done, F.trim)})
+    joined = F.zip_with("__cut", F.slice("__cut", 2, 1_000_000), lambda c, n: F.when(n.isNull(), c).otherwise(F.trim(F.concat(c, F.lit(" "), F.substring(n, 1, overlap)))))
+    return rows.withColumn(out, joined if overlap else F.col("__cut")).drop("__sentences", "__joint", "__pieces", "__end", "__cut")
 
 
 def chunk_rows(documents: DataFrame, id_col: str, text: str, size: int = 250, overlap: int = 50) -> DataFrame:
     """(id, chunk_no, chunk)."""
-    return documents.select(id_col, F.posexplode(chunks(F.col(text), size, overlap)).alias("chunk_no", "chunk"))
+    rows = chunk_arrays(documents.select(id_col, text), text, size, overlap, "__chunks")
+    return rows.select(id_col, F.posexplode("__chunks").alias("chunk_no", "chunk"))
 
 
 def numbered_context(chunks_of: Column, budget: int) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import choices, text
-from sieveworks.functions.rules import all_hits, first_hit
+from sieveworks.functions.rules import all_hits, first_hit, staged
 
 DUPLICATE = "duplicate_normalized_question_options"
 
@@ -36,14 +36,14 @@ def cleaned(items: DataFrame, question: str = "question", options: str = "option
     entries = F.zip_with(
         F.slice("__p", 3, F.col("__n")), F.slice("__p", F.col("__n") + 3, F.col("__n")), lambda k, v: F.struct(F.upper(k).alias("key"), v.alias("value"))
     )
-    out = out.withColumns({"q": F.col("__p")[0], "raw_ans": F.upper(F.col("__p")[1]), "opts": F.array_sort(entries)})
+    out = staged(out, {"q": F.col("__p")[0], "raw_ans": F.upper(F.col("__p")[1]), "opts": F.array_sort(entries)})
     option_keys = F.transform("opts", lambda e: e["key"])
     chars = F.when(F.length("raw_ans") > 0, F.split("raw_ans", "")).otherwise(none)
     found = F.filter(chars, lambda c: F.array_contains(option_keys, c))
     ans = F.when(F.array_contains(option_keys, F.col("raw_ans")), F.col("raw_ans")).when(
         (F.size(found) > 0) & (F.size(found) == F.length("raw_ans")), F.array_join(F.array_distinct(found), "")
     )
-    out = out.withColumn("ans", F.coalesce(ans, F.lit("")))
+    out = staged(out, {"ans": F.coalesce(ans, F.lit(""))})
     value_of = lambda k: F.element_at(F.filter("opts", lambda e: e["key"] == k), 1)["value"]
     empty_correct = F.exists(F.when(F.length("ans") > 0, F.split("ans", "")).otherwise(none), lambda c: F.coalesce(value_of(c), F.lit("")) == "")
     special = F.regexp_count("q", F.lit(r"(?U)[^\p{L}\p{N}\s]")) / F.length("q")
@@ -62,7 +62,7 @@ def cleaned(items: DataFrame, question: str = "question", options: str = "option
         ("short_question_retained", F.length("q") < 5),
         ("empty_non_answer_option_retained", F.exists("opts", lambda e: (e["value"] == "") & ~F.contains(F.col("ans"), e["key"]))),
     ]
-    return out.withColumns({"reject_reason": first_hit(reasons), "clean_flags": all_hits(flags)}).drop("__p", "__n", "raw_ans")
+    return staged(out, {"reject_reason": first_hit(reasons), "clean_flags": all_hits(flags)}).drop("__p", "__n", "raw_ans")
 
 
 def signature(normal: bool = False) -> Column:
@@ -70,15 +70,6 @@ def signature(normal: bool = False) -> Column:
     return F.sha1(F.concat(text.comparison_form(F.col("q"), normal), F.lit("||"), options_signature(F.col("opts"), normal)))
 
 
-def first_of(rows: DataFrame, key: Column, order: list[Column]) -> Column:
-    """Whether a row is the first of its key.
-
-    By a minimum per key joined back, not by ranking a key's rows in one task:
-    the minimum is aggregated on the map side, so hot keys stay small.
-    """
-    return F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1
-
-
 def clean_and_deduplicate(items: DataFrame, order_by: str = "item_id", **columns: str) -> DataFrame:
     """``cleaned`` with duplicates rejected: of the accepted rows with one signature the first by ``order_by`` stays.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import jsonx, text
-from sieveworks.functions.rules import first_hit
+from sieveworks.functions.rules import first_hit, staged
 
 FIELDS = tuple(jsonx.FIELD_NAMES)
 # Words that assert, words that hedge, and words of each kind of risk.
@@ -92,24 +92,26 @@ def case_measures(rows: DataFrame, output: str = "raw_output", truth: str = "gro
     Outputs that don't parse, or lack a field, have zeros in all later
     measures. All of it is one projection; null outputs are parse errors.
     """
-    out = rows.withColumn("v", jsonx.model_json(F.col(output)))
+    t = F.col(truth)
+    held = {"t_diagnosis": t["primary_diagnosis"], "t_differentials": t["differential_diagnoses"], "t_risks": t["risk_flags"]}
+    out = staged(rows, {"v": jsonx.model_json(F.col(output))} | held)
     kinds = {f: "string" if f == "primary_diagnosis" else _STRINGS for f in FIELDS}
-    out = out.withColumns({f"f_{f}": jsonx.field(F.col("v"), f, k) for f, k in kinds.items()})
+    out = staged(out, {f"f_{f}": jsonx.field(F.col("v"), f, k) for f, k in kinds.items()} | {"m_parsed": F.col("v").isNotNull()})
     missing = F.array_compact(F.array(*[F.when(F.col(f"f_{f}").isNull(), F.lit(f)) for f in FIELDS]))
-    out = out.withColumn("m_parsed", F.col("v").isNotNull()).withColumn("m_missing", F.when(F.col("m_parsed"), missing))
-    out = out.withColumn("m_compliant", F.col("m_parsed") & (F.size("m_missing") == 0))
-    t = F.col(truth)
+    out = staged(out, {"m_missing": F.when(F.col("m_parsed"), missing)})
+    out = staged(out, {"m_compliant": F.coalesce(F.col("m_parsed") & (F.size("m_missing") == 0), F.lit(False))})
     ok = F.col("m_compliant")
     nothing = F.struct(F.lit(0).alias("correct"), F.lit(0).alias("total"))
     none = F.struct(F.lit(0).alias("relevant"), F.lit(0).alias("total"))
-    out = out.withColumns(
+    out = staged(
+        out,
         {
-            "m_diagnosis": F.when(ok, diagnosis_match(F.col("f_primary_diagnosis"), t["primary_diagnosis"])).otherwise(F.lit(0.0)),
-            "m_diff": F.when(ok, differential_coverage(F.col("f_differential_diagnoses"), t["differential_diagnoses"])).otherwise(nothing),
-            "m_risk": F.when(ok, risk_recall(F.col("f_risk_flags"), t["risk_flags"])).otherwise(none),
+            "m_diagnosis": F.when(ok, diagnosis_match(F.col("f_primary_diagnosis"), F.col("t_diagnosis"))).otherwise(F.lit(0.0)),
+            "m_diff": F.when(ok, differential_coverage(F.col("f_differential_diagnoses"), F.col("t_differentials"))).otherwise(nothing),
+            "m_risk": F.when(ok, risk_recall(F.col("f_risk_flags"), F.col("t_risks"))).otherwise(none),
             "m_overconfident": ok & is_overconfident(F.col(output)),
             "m_complete": F.when(ok, sum((F.when(F.length(F.col(f"f_{f}")) > 0, 1).otherwise(0) if k == "string" else F.when(F.size(f"f_{f}") > 0, 1).otherwise(0)) for f, k in kinds.items())).otherwise(0),
-        }
+        },
     )
     diff_share = F.coalesce(F.try_divide(F.col("m_diff.correct"), F.col("m_diff.total")), F.lit(0.0))
     risk_share = F.coalesce(F.try_divide(F.col("m_risk.relevant"), F.col("m_risk.total")), F.lit(0.0))
@@ -120,10 +122,10 @@ def case_measures(rows: DataFrame, output: str = "raw_output", truth: str = "gro
             ("overconfidence", F.col("m_overconfident")),
             ("low_diff_coverage", (diff_share < 0.5) & (F.col("m_diff.total") > 0)),
             ("low_risk_recall", (risk_share < 0.3) & (F.col("m_risk.total") > 0)),
-            ("incorrect_primary_diagnosis", (F.col("m_diagnosis") < 0.7) & (F.coalesce(t["primary_diagnosis"], F.lit("")) != "")),
+            ("incorrect_primary_diagnosis", (F.col("m_diagnosis") < 0.7) & (F.coalesce("t_diagnosis", F.lit("")) != "")),
         ]
     )
-    return out.withColumns({"m_diff_share": diff_share, "m_risk_share": risk_share, "m_error": error, "m_length": F.length(F.coalesce(F.col(output), F.lit("")))}).drop("v")
+    return out.withColumns({"m_diff_share": diff_share, "m_risk_share": risk_share, "m_error": error, "m_length": F.length(F.coalesce(F.col(output), F.lit("")))}).drop("v", *held)
 
 
 def aggregated(measures: DataFrame, by: list[str]) -> DataFrame:

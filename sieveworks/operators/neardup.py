@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sieveworks.functions.hashing import char_ngrams
 from sieveworks.session import cut
 
 
-def tfidf_weights(rows: DataFrame, block: str, id_col: str, text: Column, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """(block, id, gram, w): unit vectors of smooth TF-IDF, with document frequencies within the block.
+def _counted_grams(shortest: int, longest: int):
+    """Distinct hashed character n-grams of each text and how often it has them."""
+
+    def count(texts: pd.Series) -> pd.DataFrame:
+        grams, counts = [], []
+        for t in texts:
+            points = np.frombuffer("".join((t or "").split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            found = []
+            h = np.zeros(len(points), dtype=np.uint64)
+            for n in range(1, longest + 1):
+                if len(points) < n:
+                    break
+                h = (h[: len(points) - n + 1] ^ points[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(32)
+                if n >= shortest:
+                    found.append(h ^ np.uint64(n))
+            values, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            grams.append(values.astype(np.int64))
+            counts.append(times.astype(np.int32))
+        return pd.DataFrame({"grams": grams, "counts": counts})
+
+    count.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    kind = T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    return F.pandas_udf(count, kind)
+
+
+def tfidf_vectors(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """(block, id, grams, ws, prefix): unit vectors of smooth TF-IDF, rarest grams first, with document frequencies within the block.
 
     Grams that only one row of a block has are dropped if the block has four
-    rows or more, as they can't be shared. Grams stand as 64-bit hashes.
+    rows or more, as they can't be shared. Grams stand as 64-bit hashes and are
+    counted within their row, so that only distinct ones are shuffled.
+    ``prefix`` is the number of grams that must be joined to find all pairs of
+    ``threshold``.
     """
-    grams = rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.explode(char_ngrams(text, shortest, longest)).alias("g"))
-    tf = grams.groupBy("block", "id", F.xxhash64("g").alias("gram")).agg(F.count(F.lit(1)).alias("tf"))
-    sizes = rows.groupBy(F.col(block).alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    df = tf.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(sizes, "block").where("df >= 2 or n < 4").select("block", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(idf, ["block", "gram"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy("block", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, ["block", "id"]).select("block", "id", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
+    counted = cut(rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), _counted_grams(shortest, longest)(text).alias("c")))
+    grams = counted.select("block", "id", F.explode(F.arrays_zip("c.grams", "c.counts")).alias("g")).select("block", "id", F.col("g.grams").alias("gram"), F.col("g.counts").alias("tf"))
+    sizes = counted.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    df = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df")).join(sizes, "block").where("df >= 2 or n < 4")
+    idf = df.select("block", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = grams.join(idf, ["block", "gram"]).select("block", "id", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    held = raw.groupBy("block", "id").agg(F.array_sort(F.collect_list("x")).alias("v"))
+    held = held.select("block", "id", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("raw"))
+    return held.withColumn("u", _unit(threshold)("raw")).select("block", "id", "grams", F.col("u.ws").alias("ws"), F.col("u.prefix").alias("prefix"))
 
 
 def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float = 0.95, shortest: int = 2, longest: int = 5) -> DataFrame:
@@ -33,28 +65,45 @@ def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshol
     prefixes share a gram, where a prefix ends once the weight left over is
     under the threshold. So only rare grams are joined, no pair is lost, and a
     gram that a third of all rows has is in hardly any prefix. Candidates are
-    then scored exactly.
+    then scored exactly. A null block is a block of its own; a text without
+    grams is like nothing.
     """
-    weights = cut(tfidf_weights(rows, block, id_col, text, shortest, longest))
-    vectors = weights.groupBy("block", "id").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "w"))).alias("v"))
-    rest = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-    walked = F.aggregate(
-        "v",
-        F.struct(rest.alias("left"), F.array().cast("array<bigint>").alias("prefix")),
-        lambda s, x: F.struct(
-            (s["left"] - x["w"] * x["w"]).alias("left"),
-            F.when(s["left"] >= threshold * threshold - 1e-9, F.concat(s["prefix"], F.array(x["gram"]))).otherwise(s["prefix"]).alias("prefix"),
-        ),
-    )
-    vectors = cut(vectors.select("block", "id", F.map_from_entries(F.transform("v", lambda x: F.struct(x["gram"], x["w"]))).alias("m"), walked["prefix"].alias("prefix")))
-    keys = vectors.select("block", "id", F.explode("prefix").alias("gram"))
+    vectors = cut(tfidf_vectors(rows, block, id_col, text, threshold, shortest, longest))
+    keys = vectors.select(F.xxhash64("block", F.lit(0)).alias("block"), "id", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
     left = keys.select("block", "gram", F.col("id").alias("id_a"))
     right = keys.select("block", "gram", F.col("id").alias("id_b"))
     candidates = left.join(right, ["block", "gram"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-    a = vectors.select(F.col("id").alias("id_a"), F.col("m").alias("ma"))
-    b = vectors.select(F.col("id").alias("id_b"), F.col("m").alias("mb"))
-    cosine = F.aggregate(F.map_keys("ma"), F.lit(0.0), lambda s, k: s + F.element_at("ma", k) * F.coalesce(F.try_element_at("mb", k), F.lit(0.0)))
-    return candidates.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", cosine.alias("similarity")).where(F.col("similarity") >= threshold)
+    a = vectors.select(F.col("id").alias("id_a"), F.col("grams").alias("ga"), F.col("ws").alias("wa"))
+    b = vectors.select(F.col("id").alias("id_b"), F.col("grams").alias("gb"), F.col("ws").alias("wb"))
+    scored = candidates.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", _dot("ga", "wa", "gb", "wb").alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold)
+
+
+def _unit(threshold: float):
+    def scale(weights: pd.Series) -> pd.DataFrame:
+        ws, prefix = [], []
+        for w in weights:
+            w = np.asarray(w, dtype=float)
+            norm = float(np.sqrt((w * w).sum()))
+            w = w / norm if norm else w
+            left = (w * w)[::-1].cumsum()[::-1]
+            ws.append(w)
+            prefix.append(int((left >= threshold * threshold - 1e-9).sum()))
+        return pd.DataFrame({"ws": ws, "prefix": pd.Series(prefix, dtype="int32")})
+
+    scale.__annotations__ = {"weights": pd.Series, "return": pd.DataFrame}
+    kind = T.StructType([T.StructField("ws", T.ArrayType(T.DoubleType())), T.StructField("prefix", T.IntegerType())])
+    return F.pandas_udf(scale, kind)
+
+
+@F.pandas_udf(T.DoubleType())
+def _dot(ga: pd.Series, wa: pd.Series, gb: pd.Series, wb: pd.Series) -> pd.Series:
+    """Product of two sparse vectors, each as its dimensions and weights."""
+    out = []
+    for x, u, y, v in zip(ga, wa, gb, wb):
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        out.append(float(np.dot(np.asarray(u)[i], np.asarray(v)[j])))
+    return pd.Series(out, dtype="float64")
 
 
 def connected_components(pairs: DataFrame, a: str = "id_a", b: str = "id_b", most_rounds: int = 60) -> DataFrame:

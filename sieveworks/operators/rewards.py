@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import choices, text
-from sieveworks.functions.rules import stepwise, weighted
+from sieveworks.functions.rules import staged, stepwise, weighted
 
 # Labels and words of reasoning.
 ANALYSIS_LABEL = r"(?:分析|解析|思路|理由|推理)\s*[:：]"
@@ -22,22 +22,27 @@ def _capped(least: float, start: float, step: float, n: Column, over: int) -> Co
 def _with_parts(rows: DataFrame, completion: str, gold: str, valid: str | None, difficulty: str | None) -> DataFrame:
     v = F.col(valid) if valid else None
     body = F.coalesce(F.col(completion), F.lit(""))
-    out = rows.withColumn("x", choices.extracted_v2(F.col(completion), v)).withColumn("gold_letters", choices.sorted_letters(F.col(gold), v))
-    out = out.withColumn("m", choices.set_measures(F.col("x.pred"), F.col("gold_letters")))
-    out = out.withColumns(
+    x = choices.extracted_v2(F.col(completion), v)
+    parts = {f"x_{f}": x[f] for f in ("pred", "valid_extract", "label_count", "extra_text")}
+    out = staged(rows, {**parts, "gold_letters": choices.sorted_letters(F.col(gold), v)})
+    m = choices.set_measures(F.col("x_pred"), F.col("gold_letters"))
+    out = staged(
+        out,
         {
+            **{f"m_{f}": m[f] for f in ("precision", "recall", "f1", "extra", "missing")},
             "level": choices.difficulty_of(F.col(difficulty)) if difficulty else F.lit("brief"),
             "n_chars": F.length(body), "n_han": text.ideographs(body), "reasoning": choices.before_answer(body), "repeats": text.is_repetitive(body),
-        }
+        },
     )
-    return out.withColumns(
+    return staged(
+        out,
         {
-            "exact": F.col("x.valid_extract") & (F.col("x.pred") == F.col("gold_letters")),
-            "extra": F.when(F.col("x.valid_extract"), F.col("m.extra")).otherwise(0),
-            "missing": F.when(F.col("x.valid_extract"), F.col("m.missing")).otherwise(F.length("gold_letters")),
+            "exact": F.col("x_valid_extract") & (F.col("x_pred") == F.col("gold_letters")),
+            "extra": F.when(F.col("x_valid_extract"), F.col("m_extra")).otherwise(0),
+            "missing": F.when(F.col("x_valid_extract"), F.col("m_missing")).otherwise(F.length("gold_letters")),
             "han": text.ideographs(F.col("reasoning")), "labelled": F.col("reasoning").rlike(ANALYSIS_LABEL),
             "marks": F.regexp_count("reasoning", F.lit(REASONING_WORDS)),
-        }
+        },
     )
 
 
@@ -67,29 +72,31 @@ def adaptive_reward(rows: DataFrame, completion: str = "completion", gold: str =
     Null completions count as empty (invalid), null valid options as all
     letters, a null or unknown level as brief. All of it is one projection.
     """
-    out = _with_parts(rows, completion, gold, valid, difficulty).withColumn("reasoning_reward_v2", reasoning_reward())
-    labels = stepwise([(F.col("x.label_count") == 1, 0.2), (F.col("x.label_count") == 0, -0.3)], -0.5)
+    out = staged(_with_parts(rows, completion, gold, valid, difficulty), {"reasoning_reward_v2": reasoning_reward()})
+    labels = stepwise([(F.col("x_label_count") == 1, 0.2), (F.col("x_label_count") == 0, -0.3)], -0.5)
     most = {"direct": (40, 80), "brief": (140, 260), "cot": (420, 780)}
     too_long = F.lit(False)
     for level, (han, chars) in most.items():
         too_long = too_long | ((F.col("level") == level) & ((F.col("n_han") > han) | (F.col("n_chars") > chars)))
     reward = (
-        weighted([(0.2, F.col("x.valid_extract")), (-1.0, ~F.col("x.valid_extract")), (2.0, F.col("exact")), (-0.3, too_long), (-0.3, F.col("x.extra_text"))])
-        + 0.8 * F.col("m.precision") + 0.2 * F.col("m.recall") - 0.7 * F.col("extra") - 0.2 * F.col("missing") + labels + F.col("reasoning_reward_v2")
+        weighted([(0.2, F.col("x_valid_extract")), (-1.0, ~F.col("x_valid_extract")), (2.0, F.col("exact")), (-0.3, too_long), (-0.3, F.col("x_extra_text"))])
+        + 0.8 * F.col("m_precision") + 0.2 * F.col("m_recall") - 0.7 * F.col("extra") - 0.2 * F.col("missing") + labels + F.col("reasoning_reward_v2")
     )
-    return out.withColumns({"pred_letters": F.col("x.pred"), "reward": F.bround(reward, 6)})
+    return out.withColumns({"pred_letters": F.col("x_pred"), "reward": F.bround(reward, 6)})
 
 
 def _v1_parts(rows: DataFrame, completion: str, gold: str, valid: str | None) -> DataFrame:
     v = F.col(valid) if valid else None
     body = F.coalesce(F.col(completion), F.lit(""))
-    out = rows.withColumn("p1", choices.extracted_v1(body, v)).withColumn("g1", choices.sorted_letters(F.col(gold), v))
-    out = out.withColumn("m1", choices.set_measures(F.col("p1"), F.col("g1"))).withColumn("ok1", F.col("p1") != "")
-    return out.withColumns(
+    out = staged(rows, {"p1": choices.extracted_v1(body, v), "g1": choices.sorted_letters(F.col(gold), v)})
+    m = choices.set_measures(F.col("p1"), F.col("g1"))
+    out = staged(out, {**{f"m1_{f}": m[f] for f in ("precision", "recall", "f1", "extra", "missing")}, "ok1": F.col("p1") != ""})
+    return staged(
+        out,
         {
-            "extra1": F.when(F.col("ok1"), F.col("m1.extra")).otherwise(0), "missing1": F.when(F.col("ok1"), F.col("m1.missing")).otherwise(F.length("g1")),
+            "extra1": F.when(F.col("ok1"), F.col("m1_extra")).otherwise(0), "missing1": F.when(F.col("ok1"), F.col("m1_missing")).otherwise(F.length("g1")),
             "labels1": F.size(F.regexp_extract_all(body, F.lit(choices.LETTERS_LINE), F.lit(1))), "exact1": F.col("ok1") & (F.col("p1") == F.col("g1")),
-        }
+        },
     )
 
 
@@ -98,7 +105,7 @@ def plain_reward(rows: DataFrame, completion: str = "completion", gold: str = "g
     out = _v1_parts(rows, completion, gold, valid)
     body = F.coalesce(F.col(completion), F.lit(""))
     wordy = weighted([(-0.1, F.length(body) > 512), (-0.1, F.col("labels1") > 1), (-0.1, F.regexp_count(body, F.lit("答案")) > 2)])
-    reward = weighted([(0.2, F.col("ok1")), (-1.0, ~F.col("ok1")), (1.0, F.col("exact1"))]) + 0.5 * F.col("m1.f1") - 0.3 * F.col("extra1") - 0.2 * F.col("missing1") + wordy
+    reward = weighted([(0.2, F.col("ok1")), (-1.0, ~F.col("ok1")), (1.0, F.col("exact1"))]) + 0.5 * F.col("m1_f1") - 0.3 * F.col("extra1") - 0.2 * F.col("missing1") + wordy
     return out.withColumn("reward_v1", F.bround(reward, 6))
 
 
@@ -115,7 +122,7 @@ def boundary_reward(rows: DataFrame, completion: str = "completion", gold: str =
                 (-0.3, (text.ideographs(body) > 40) | (F.length(text.stripped(body)) > 80)),
             ]
         )
-        + 0.8 * F.col("m1.precision") + 0.2 * F.col("m1.recall") - 0.7 * F.col("extra1") - 0.2 * F.col("missing1")
+        + 0.8 * F.col("m1_precision") + 0.2 * F.col("m1_recall") - 0.7 * F.col("extra1") - 0.2 * F.col("missing1")
     )
     return out.withColumn("boundary_reward", F.bround(reward, 6))
 

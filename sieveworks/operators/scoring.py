@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import hashing, text
 from sieveworks.functions.choices import is_multi
-from sieveworks.functions.rules import all_hits, first_hit, looked_up, stepwise, weighted
+from sieveworks.functions.rules import all_hits, first_hit, looked_up, staged, stepwise, weighted
 
 # Words that make an exam question hard or easy, and patterns of dense terms.
 HARD_WORDS = ("鉴别诊断", "鉴别", "不属于", "错误的是", "不包括", "急性", "慢性", "并发症", "手术指征", "首选", "禁忌", "最常见", "最少见", "首先", "原则")
@@ -105,33 +105,35 @@ def reasoning_features(items: DataFrame, question: str = "question", options: st
     sep = "␞"
     packed = F.concat(F.array(F.coalesce(F.col(question), F.lit(""))), F.coalesce(F.map_values(options), none))
     out = items.withColumn("__p", F.split(text.nfkc(F.array_join(packed, sep, "")), sep))
-    out = out.withColumn("__q", text.stripped(F.col("__p")[0])).withColumn(
-        "__o", F.filter(F.transform(F.slice("__p", 2, 1_000_000), lambda v: text.comparison_form(v, False)), lambda v: v != "")
+    out = staged(
+        out,
+        {"__q": text.stripped(F.col("__p")[0]), "__o": F.filter(F.transform(F.slice("__p", 2, 1_000_000), lambda v: text.comparison_form(v, False)), lambda v: v != "")},
     )
     lengths = F.transform("__o", F.length)
     n = F.size("__o")
     mean = F.try_divide(F.aggregate(lengths, F.lit(0), lambda s, x: s + x), n)
     spread = F.sqrt(F.try_divide(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), n))
-    out = out.withColumn("__cv", F.when(n > 1, spread / mean).otherwise(F.lit(0.0))).withColumn("__sets", F.transform("__o", hashing.bigram_set))
+    out = staged(out, {"__cv": F.when(n > 1, spread / mean).otherwise(F.lit(0.0)), "__sets": F.transform("__o", hashing.bigram_set)})
     indexed = F.sequence(F.lit(1), F.greatest(F.size("__sets"), F.lit(1)))
     pairs = F.flatten(
         F.transform(indexed, lambda i: F.transform(F.filter(indexed, lambda j: j > i), lambda j: hashing.jaccard(F.get("__sets", i - 1), F.get("__sets", j - 1))))
     )
-    out = out.withColumn("__pairs", F.when(F.size("__sets") > 1, pairs).otherwise(F.array().cast("array<double>")))
+    out = staged(out, {"__pairs": F.when(F.size("__sets") > 1, pairs).otherwise(F.array().cast("array<double>"))})
     overlap = F.coalesce(F.try_divide(F.aggregate("__pairs", F.lit(0.0), lambda s, x: s + x), F.size("__pairs")), F.lit(0.0))
     categories = case_categories(F.col("__q"))
-    out = out.withColumns({"case_info_categories": categories, "option_length_cv": F.bround("__cv", 6), "option_avg_bigram_jaccard": F.bround(overlap, 6), "__overlap": overlap})
+    out = staged(out, {"case_info_categories": categories, "option_length_cv": F.bround("__cv", 6), "option_avg_bigram_jaccard": F.bround(overlap, 6), "__overlap": overlap})
     has_options = F.size("__o") > 0
     balance = F.when(has_options, stepwise([(F.col("__cv") <= 0.15, 0.8), (F.col("__cv") <= 0.30, 0.4)])).otherwise(F.lit(0.0))
     alike = stepwise([(F.col("__overlap") >= 0.30, 0.8), (F.col("__overlap") >= 0.15, 0.4)])
     coverage = F.size("case_info_categories")
     case_score = stepwise([(coverage >= 3, 1.5), (coverage == 2, 1.0), (coverage == 1, 0.5)])
     definition = first_hit([("strong", F.col("__q").rlike(STRONG_DEFINITIONS)), ("weak", F.col("__q").rlike(WEAK_DEFINITIONS))], "none")
-    out = out.withColumns(
+    out = staged(
+        out,
         {
             "is_multi_choice": is_multi(F.col(question_type), F.col(answer)), "case_info_score": case_score, "option_length_balance_score": balance,
             "option_bigram_overlap_score": alike, "definition_level": definition,
-        }
+        },
     )
     flags = all_hits(
         [
@@ -140,19 +142,20 @@ def reasoning_features(items: DataFrame, question: str = "question", options: st
             ("recall_template", F.col("__q").rlike(RECALL_TEMPLATES)),
         ]
     )
-    out = out.withColumn("low_reasoning_flags", flags)
-    out = out.withColumns(
+    out = staged(out, {"low_reasoning_flags": flags})
+    out = staged(
+        out,
         {
             "definition_penalty": stepwise([(F.col("definition_level") == "strong", 1.0), (F.col("definition_level") == "weak", 0.3)]),
             "low_reasoning_penalty": stepwise([(F.size("low_reasoning_flags") >= 3, 1.0), (F.size("low_reasoning_flags") == 2, 0.5)]),
             "option_confusion_score": F.bround(F.col("option_length_balance_score") + F.col("option_bigram_overlap_score"), 6),
-        }
+        },
     )
     score = (
         F.when(F.col("is_multi_choice"), F.lit(2.0)).otherwise(F.lit(0.0)) + F.col("case_info_score") + F.col("option_confusion_score")
         - F.col("definition_penalty") - F.col("low_reasoning_penalty")
     )
-    out = out.withColumn("reasoning_score", F.bround(score, 6))
+    out = staged(out, {"reasoning_score": F.bround(score, 6)})
     return out.drop("__p", "__q", "__o", "__cv", "__sets", "__pairs", "__overlap")
 
 

@@ -1,2 +1,15 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""All core queries and their SQL."""
+
+from __future__ import annotations
+
+from sieveworks.plans import corpus, exam, outputs
+
+MODULES = [exam, outputs, corpus]
+
+
+def queries():
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
+
+
+def oracle_sql():
+    return {}
