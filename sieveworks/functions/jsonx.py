@@ -25,11 +25,17 @@ def without_fences(text: Column) -> Column:
     return stripped(F.regexp_replace(F.regexp_replace(stripped(text), r"(?m)^```(?:json)?", ""), r"(?m)```$", ""))
 
 
+def whole_json(text: Column) -> Column:
+    """VARIANT of a text that is JSON to its end; the parser by itself would forgive what follows a closed value."""
+    opened = text.rlike(r"^[\[{]")
+    return F.try_parse_json(F.when(~opened | text.rlike(r"[\]}]$"), text))
+
+
 def teacher_json(text: Column) -> Column:
     """VARIANT of a reply: without fences, else from the first to the last brace; null if neither parses."""
     body = without_fences(text)
     inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(F.when(inner != "", inner)))
+    return F.coalesce(whole_json(F.when(body != "", body)), whole_json(F.when(inner != "", inner)))
 
 
 def model_json(text: Column) -> Column:
@@ -38,8 +44,7 @@ def model_json(text: Column) -> Column:
     body = without_fences(text)
     inner = F.regexp_extract(body, r"(?s)(\{.*)$", 1)
     fixed = F.regexp_replace(body, r",\s*([}\]])", "$1")
-    empty = F.lit(None).cast("string")
-    return F.coalesce(F.try_parse_json(F.when(whole != "", whole).otherwise(empty)), F.try_parse_json(F.when(inner != "", inner)), F.try_parse_json(F.when(fixed != "", fixed)))
+    return F.coalesce(whole_json(F.when(whole != "", whole)), whole_json(F.when(inner != "", inner)), whole_json(F.when(fixed != "", fixed)))
 
 
 def field(variant: Column, name: str, kind: str, names: Mapping[str, Sequence[str]] = FIELD_NAMES) -> Column:

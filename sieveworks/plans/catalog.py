@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from sieveworks.plans import corpus, exam, outputs
+from collections.abc import Callable
 
-MODULES = [exam, outputs, corpus]
+from pyspark.sql import DataFrame, SparkSession
 
+from sieveworks.plans import corpus, exam, outputs, sql
 
-def queries():
-    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for module in (exam, outputs, corpus) for f in module.QUERIES}
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql()
