@@ -29,11 +29,12 @@ def char_ngrams(text: Column, shortest: int, longest: int, compact: bool = True)
     Each gram evaluates ``text`` anew: give a column that is computed already.
     """
     t = without_space(text) if compact else text
-    grams = []
-    for n in range(shortest, longest + 1):
+
+    def of_length(n: int) -> Column:
         starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.substring(t, i, F.lit(n))))
-    return F.concat(*grams)
+        return F.transform(starts, lambda i: F.substring(t, i, F.lit(n)))
+
+    return F.concat(*[of_length(n) for n in range(shortest, longest + 1)])
 
 
 def bigram_set(normal: Column) -> Column:

@@ -77,8 +77,9 @@ def errors_of(rows: DataFrame, pred: Column, gold: Column) -> DataFrame:
 
 def shifted_accuracy(pred: Column, labels: Column, ignored: int = -100) -> Column:
     """struct(right, counted): predictions against the next label, ignored labels left out."""
-    pairs = F.filter(F.arrays_zip(F.slice(pred, 1, F.greatest(F.size(pred) - 1, F.lit(0))).alias("p"), F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))).alias("l")), lambda x: x["1"] != ignored)
-    return F.struct(F.size(F.filter(pairs, lambda x: x["0"] == x["1"])).alias("right"), F.size(pairs).alias("counted"))
+    heads, tails = F.slice(pred, F.lit(1), F.greatest(F.size(pred) - 1, F.lit(0))), F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with(heads, tails, lambda p, l: F.struct(p.alias("p"), l.alias("l"))), lambda x: x["l"] != ignored)
+    return F.struct(F.size(F.filter(pairs, lambda x: x["p"] == x["l"])).alias("right"), F.size(pairs).alias("counted"))
 
 
 def perplexity(rows: DataFrame, nll: Column, length: Column) -> DataFrame:
