@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.hashing import unit_hash
+from sieveworks.session import cut
 
 
 def top_k(rows: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -25,10 +26,8 @@ def ranked(rows: DataFrame, order: Sequence[Column], id_col: str, score: str, ra
 
     A plain window without partitions would bring all rows into one task.
     """
-    parts = rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id())
-    from sieveworks.session import cut
-
-    parts = cut(parts)
+    # range partitioning reads its input twice, for bounds and for rows
+    parts = cut(cut(rows).repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()))
     sizes = {r["__part"]: r["n"] for r in parts.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
     start, starts = 0, {}
     for part in sorted(sizes):
@@ -74,7 +73,7 @@ def quota_sample(rows: DataFrame, bucket: str, key: str, quotas: Mapping[str, in
     sum over the plan, whose buckets are few, not over rows.
     """
     names = list(quotas)
-    listed = rows.where(F.col(bucket).isin(*names))
+    listed = cut(rows.where(F.col(bucket).isin(*names)))
     have = {r[bucket]: r["n"] for r in listed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()}
     left, allowed = most, {}
     for name in names:
@@ -88,7 +87,8 @@ def quota_sample(rows: DataFrame, bucket: str, key: str, quotas: Mapping[str, in
 def stratified(rows: DataFrame, stratum: str, key: str, size: int, shares: Mapping[str, float], seed: str) -> DataFrame:
     """Strata in the given shares of ``size``; the last one takes the remainder. Each gives at most what it has."""
     names = list(shares)
-    have = {r[stratum]: r["n"] for r in rows.where(F.col(stratum).isin(*names)).groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = cut(rows.where(F.col(stratum).isin(*names)))
+    have = {r[stratum]: r["n"] for r in rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()}
     taken: dict[str, int] = {}
     for name in names[:-1]:
         taken[name] = min(int(size * shares[name] + 1e-9), have.get(name, 0))

@@ -44,7 +44,7 @@ def greedy_select(rows: DataFrame, id_col: str, rank: str, source: str, sketch:
     tables: list[dict[int, list[int]]] = [{} for _ in masks]
     counts: dict[str, int] = {}
     taken: list = []
-    for row in rows.select(id_col, rank, source, sketch).orderBy(rank, id_col).toLocalIterator():
+    for row in cut(rows.select(id_col, rank, source, sketch)).orderBy(rank, id_col).toLocalIterator():
         name, s = row[source] if row[source] is not None else "unknown", row[sketch] & (1 << 64) - 1
         if counts.get(name, 0) >= cap:
             continue
