@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.text import without_space
+from sieveworks.session import cut
 
 
 def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int = 5, least: float = -1.0, chunk: int = 512) -> DataFrame:
@@ -18,7 +19,6 @@ def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
     a batch, and only those k reach the shuffle. A chunk's size is fixed, so
     what is broadcast never grows with the data. Vectors of zeros match nothing.
     """
-    ids = queries.select(F.col(query_id).alias("q")).where(F.col(vector).isNotNull()).orderBy("q")
     held = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).alias("v")).orderBy("q").toLocalIterator(prefetchPartitions=True)
     kind = dict(rows.dtypes)[row_id]
     parts: list[DataFrame] = []
@@ -41,12 +41,12 @@ def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
                 x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
                 n = np.linalg.norm(x, axis=1)
                 x = np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-                sims = m @ x.T
-                for i in range(len(qs)):
-                    order = np.lexsort((-pdf["r"].to_numpy(), -sims[i]))[:k] if len(pdf) > k else np.arange(len(pdf))
-                    order = order[sims[i][order] >= least]
-                    if len(order):
-                        yield pd.DataFrame({"q": np.full(len(order), qs[i]), "r": pdf["r"].to_numpy()[order], "similarity": sims[i][order]})
+                sims, ids = (m @ x.T).T, pdf["r"].to_numpy()
+                own = np.argsort(ids, kind="stable")[::-1]
+                order = own[np.argsort(-sims[own], axis=0, kind="stable")[:k]]
+                kept = np.take_along_axis(sims, order, axis=0)
+                row, column = np.nonzero(kept >= least)
+                yield pd.DataFrame({"q": qs[column], "r": ids[order[row, column]], "similarity": kept[row, column]})
 
         source = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"))
         return source.mapInPandas(best, f"q {kind}, r {kind}, similarity double")
@@ -59,7 +59,7 @@ def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
     if buffer:
         parts.append(score(buffer))
     if not parts:
-        return ids.select("q", F.lit(None).cast(kind).alias("r"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank")).limit(0)
+        return rows.sparkSession.createDataFrame([], f"q {kind}, r {kind}, similarity double, rank int")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -81,24 +81,79 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def bm25(queries: DataFrame, documents: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k best documents of each query.
+def bm25(
+    queries: DataFrame, documents: DataFrame, query_id: str, query_text: str, doc_id: str, doc_text: str, k: int = 5, k1: float = 1.5, b: float = 0.75, chunk: int = 512
+) -> DataFrame:
+    """(q, d, score, rank): the k best documents of each query that share a term with it, of equals the least id.
 
-    Only terms that some query has are kept of the documents, by a semi join
-    that Spark broadcasts if the terms are few. Scores are summed per query and
-    document with map-side aggregation. Documents without terms have length 0.
+    Documents keep only terms that some query has, as hashes with counts, in a
+    cut. Queries go out in chunks of a fixed number, each a small inverted list
+    from term to queries; every batch of documents is scored against a chunk at
+    once and keeps its k best per query, so what is shuffled is a few rows for
+    each query and batch, not all pairs with a term in common. Texts without
+    terms match nothing and count as documents of length 0.
     """
-    q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("t"))
-    asked = q.select("t").distinct()
-    sized = documents.select(F.col(doc_id).alias("d"), terms(F.col(doc_text)).alias("ts"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean")).first()
+    spark = documents.sparkSession
+    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
+    asked = cut(queries.select(F.col(query_id).alias("q"), F.array_distinct(hashed(terms(F.col(query_text)))).alias("ts")))
+    sized = cut(documents.select(F.col(doc_id).alias("d"), hashed(terms(F.col(doc_text))).alias("ts")).withColumn("len", F.size("ts")))
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
     n, mean = stats["n"], stats["mean"] or 1.0
-    tf = sized.select("d", F.size("ts").alias("len"), F.explode("ts").alias("t")).join(asked, "t", "left_semi").groupBy("d", "len", "t").agg(F.count(F.lit(1)).alias("tf"))
-    idf = tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select("t", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
-    scored = q.join(idf, "t").join(tf, "t").groupBy("q", "d").agg(F.sum(weight).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.bround("score", 6)), "d"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.bround("score", 6))
+    wanted = asked.select(F.explode("ts").alias("t")).distinct()
+    tf = sized.select("d", "len", F.explode("ts").alias("t")).join(wanted, "t", "left_semi").groupBy("d", "len", "t").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut(tf)
+    idf = cut(tf.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select("t", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean)))
+    postings = cut(tf.select("d", F.struct("t", weight.alias("w")).alias("x")).groupBy("d").agg(F.collect_list("x").alias("xs")).select("d", F.col("xs.t").alias("t"), F.col("xs.w").alias("w")))
+    known = asked.select("q", F.explode("ts").alias("t")).join(idf, "t").groupBy("q").agg(F.collect_list(F.struct("t", "idf")).alias("x"))
+    kinds = (dict(asked.dtypes)["q"], dict(sized.dtypes)["d"])
+
+    def score(block: list) -> DataFrame:
+        names = [r["q"] for r in block]
+        entries = sorted((x["t"], i, x["idf"]) for i, r in enumerate(block) for x in r["x"])
+        t, q, w = (np.array(c, dtype=kind) for c, kind in zip(zip(*entries), (np.int64, np.int64, np.float64)))
+        vocabulary, starts = np.unique(t, return_index=True)
+        shared = spark.sparkContext.broadcast((names, vocabulary, np.append(starts, len(t)), q, w))
+
+        def best(batches):
+            names, vocabulary, starts, q, w = shared.value
+            for pdf in batches:
+                ids = pdf["d"].to_numpy()
+                for low in range(0, len(ids), 512):
+                    part = pdf.iloc[low : low + 512]
+                    scores = np.zeros((len(part), len(names)))
+                    for i, (t, weights) in enumerate(zip(part["t"], part["w"])):
+                        at = np.searchsorted(vocabulary, t)
+                        hit = (at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == t)
+                        first, last = starts[at[hit]], starts[at[hit] + 1]
+                        if len(first):
+                            places = np.concatenate([np.arange(x, y) for x, y in zip(first, last)])
+                            scores[i] = np.bincount(q[places], weights=w[places] * np.repeat(weights[hit], last - first), minlength=len(names))
+                    scores = np.round(scores, 6)
+                    own = np.argsort(ids[low : low + 512], kind="stable")
+                    order = own[np.argsort(-scores[own], axis=0, kind="stable")[:k]]
+                    kept = np.take_along_axis(scores, order, axis=0)
+                    row, column = np.nonzero(kept > 0)
+                    yield pd.DataFrame({"q": [names[j] for j in column], "d": ids[low : low + 512][order[row, column]], "score": kept[row, column]})
+
+        return postings.mapInPandas(best, f"q {kinds[0]}, d {kinds[1]}, score double")
+
+    parts: list[DataFrame] = []
+    buffer: list = []
+    for row in known.orderBy("q").toLocalIterator(prefetchPartitions=True):
+        buffer.append(row)
+        if len(buffer) == chunk:
+            parts.append(score(buffer))
+            buffer = []
+    if buffer:
+        parts.append(score(buffer))
+    if not parts:
+        return spark.createDataFrame([], f"q {kinds[0]}, d {kinds[1]}, score double, rank int")
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def blended(a: DataFrame, b: DataFrame, keys: list[str], weight: float = 0.5) -> DataFrame:
