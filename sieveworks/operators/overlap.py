@@ -34,7 +34,7 @@ def blocked(rows: DataFrame, key: Column, lists: list[tuple[str, DataFrame, Colu
         marks = held.select(held_key.alias("__key")).where("__key is not null").distinct().withColumn(f"__in{i}", F.lit(True))
         out = out.join(marks, "__key", "left")
         names.append(F.when(F.col(f"__in{i}"), F.lit(name)))
-    return out.withColumn("blocked_by", F.coalesce(*names)).drop("__key", *[f"__in{i}" for i in range(len(lists))])
+    return out.withColumn("blocked_by", F.coalesce(F.lit(None).cast("string"), *names)).drop("__key", *[f"__in{i}" for i in range(len(lists))])
 
 
 def excluded(rows: DataFrame, held: DataFrame, on: str) -> DataFrame:

@@ -72,6 +72,38 @@ def aligned(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("r").distinct()
 
 
+def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_id: str, vector: str, k: int = 3, dim: int = 16_384, most_targets: int = 2048) -> DataFrame:
+    """(r, matched, best, mean_top): of each row the k most similar targets, of equals the greater id first, its best and the mean of the k.
+
+    Vectors are maps from dimension to weight of unit length. Targets are a
+    small development set; more than ``most_targets`` are refused, which bounds
+    what is broadcast. Each batch of rows is scored by gathering the dimensions
+    it has; no pair is written. A row without a vector has similarity 0.
+    """
+    held = targets.select(F.col(target_id).alias("t"), F.col(vector).alias("v")).orderBy(F.desc("t")).limit(most_targets + 1).collect()
+    if len(held) > most_targets:
+        raise ValueError(f"more than {most_targets} targets")
+    kind, target_kind = dict(rows.dtypes)[row_id], dict(targets.dtypes)[target_id]
+    matrix = np.zeros((dim, len(held)), dtype=np.float64)
+    for j, r in enumerate(held):
+        for i, w in (r["v"] or {}).items():
+            matrix[i, j] = w
+    shared = rows.sparkSession.sparkContext.broadcast(([r["t"] for r in held], matrix))
+
+    def best(batches):
+        names, m = shared.value
+        for pdf in batches:
+            out = []
+            for r, keys, weights in zip(pdf["r"], pdf["i"], pdf["w"]):
+                sims = np.round(np.asarray(weights, dtype=float) @ m[np.asarray(keys, dtype=int)], 9) if keys is not None and len(keys) else np.zeros(len(names))
+                order = np.argsort(-sims, kind="stable")[:k]
+                out.append((r, [names[x] for x in order], float(sims[order[0]]) if len(order) else 0.0, float(sims[order].mean()) if len(order) else 0.0))
+            yield pd.DataFrame(out, columns=["r", "matched", "best", "mean_top"])
+
+    slim = rows.select(F.col(row_id).alias("r"), F.map_keys(vector).alias("i"), F.map_values(vector).alias("w"))
+    return slim.mapInPandas(best, f"r {kind}, matched array<{target_kind}>, best double, mean_top double")
+
+
 def terms(text: Column) -> Column:
     """Words of letters or digits, and pairs of neighbouring ideographs, in lower case."""
     t = F.lower(F.coalesce(text, F.lit("")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import hashing, text
-from sieveworks.operators import candidates, chunks, dialog, overlap, packing, profile, sampling, scoring, select, similarity, templates
+from sieveworks.operators import candidates, chunks, dialog, overlap, packing, pool, profile, sampling, scoring, select, similarity, templates
 from sieveworks.session import cut
 from sieveworks.sources.records import aligned_union
 from sieveworks.streaming import events as streams
@@ -17,6 +17,10 @@ DEPARTMENT_WORDS = {
 }
 
 
+HARD_CASE_WORDS = ("危重", "复杂", "疑难", "不明原因", "多器官", "衰竭", "急诊", "抢救", "重症", "监护", "急性")
+EASY_CASE_WORDS = ("体检", "查体", "无明显", "无特殊", "无显著", "正常", "随访")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
@@ -149,6 +153,40 @@ def case_target_errors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("eval_id", F.array_join(candidates.target_errors(t), ",").alias("errors"), candidates.repeated_diagnosis(t).alias("repeats_diagnosis"), "logged_at")
 
 
+def case_review(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with one decision each: copies of a case, then the review of text and target."""
+    rows = overlap.latest(spark.read.parquet(f"{d}/eval_result.parquet").select("eval_id", "case_text", "ground_truth", "logged_at"), "eval_id", [F.col("logged_at")])
+    none = F.lit(None).cast("string")
+    key = F.concat_ws("\n", text.stripped(F.col("case_text")), F.col("ground_truth.primary_diagnosis"))
+    out = pool.organised(rows, "eval_id", key, [F.length("case_text")], [], pool.review_rule(F.col("case_text"), F.col("ground_truth"), none, none))
+    return out.select("eval_id", "status", "rule", "duplicate_of")
+
+
+def holdout_cases(spark: SparkSession, d: str) -> DataFrame:
+    level = pool.case_difficulty(F.col("text"), HARD_CASE_WORDS, EASY_CASE_WORDS)
+    rows = _documents(spark, d).select("doc_id", scoring.top_class(DEPARTMENT_WORDS, F.col("text")).alias("department"), level.alias("level"))
+    return pool.holdout(rows, "doc_id", "department", "level", "holdout").select(F.col("id").alias("doc_id"), F.col("g").alias("department"), F.col("l").alias("level"), "case_no")
+
+
+def target_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by likeness to a development set (the cases of one gateway), richness and penalties."""
+    targets = overlap.latest(spark.read.parquet(f"{d}/eval_result.parquet").where("source = 'replay'").select("case_id", "case_text"), "case_id", [F.col("case_text")])
+    targets = targets.orderBy("case_id").limit(256).select("case_id", hashing.hashed_vector(F.col("case_text")).alias("v"))
+    rows = cut(_documents(spark, d).select("doc_id", "text", hashing.hashed_vector(F.col("text")).alias("v")))
+    like = similarity.target_similarity(rows, targets, "doc_id", "case_id", "v")
+    rich, cost = scoring.case_richness(F.col("text")), scoring.penalty(scoring.quality_flags(F.col("text")), F.col("text"))
+    score = 0.55 * F.col("mean_top") + 0.25 * F.lit(0.45) + 0.15 * rich - cost
+    out = rows.join(like, rows["doc_id"] == like["r"]).select("doc_id", F.bround("best", 6).alias("best"), F.bround(score, 6).alias("score"))
+    return sampling.ranked(out, [F.desc("score"), F.col("doc_id")], "doc_id", "score")
+
+
+def rationale_rates(spark: SparkSession, d: str) -> DataFrame:
+    from sieveworks.functions.choices import before_answer
+
+    rows = spark.read.parquet(f"{d}/choice_reward.parquet").withColumn("r", before_answer(F.col("completion")))
+    return pool.rationale_rates(rows, "r", "gold", "valid_options", ["source"])
+
+
 def customer_places(spark: SparkSession, d: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
     rows = t("customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))

@@ -370,6 +370,9 @@ def oracle_sql() -> dict[str, str]:
         "leakage_blocked": f"WITH k AS (SELECT item_id, split, {cmp_q} AS k FROM exam_item) SELECT item_id, CASE WHEN k IN (SELECT k FROM k WHERE split = 'test') THEN 'R-LEAK-002' ELSE 'R-LEAK-004' END AS blocked_by FROM k WHERE split = 'train' AND k IN (SELECT k FROM k WHERE split IN ('val', 'test'))",
         "train_excluded": "SELECT item_id, source FROM exam_item WHERE item_id NOT IN (SELECT item_id FROM choice_reward WHERE item_id IS NOT NULL)",
         "options_rendered": f"SELECT item_id, md5({_RENDERED}) AS digest, coalesce(cardinality(options), 0)::INT AS n_options FROM exam_item",
+        "unit_floats": "SELECT item_id, substr(sha1('day:' || item_id), 1, 16) AS hash, round_even(CAST('0x' || substr(sha1('day:' || item_id), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551615::DOUBLE, 6) AS u FROM exam_item",
+        "lettered_options": f"""SELECT item_id, CASE WHEN len(es) > 0 THEN array_to_string(list_transform(list_sort(list_distinct(list_transform(es, lambda e: e.key))), lambda k: k || '=' || list_filter(es, lambda e: e.key = k)[-1].value), '|') END AS options
+          FROM (SELECT item_id, list_filter(list_transform(list_sort(map_entries(options)), lambda e: {{'key': upper(trim(e.key)), 'value': {strip("coalesce(e.value, '')")}}}), lambda e: regexp_full_match(e.key, '[A-Z]')) AS es FROM exam_item)""",
         "answer_forms": f"""SELECT item_id, CASE WHEN list_contains(ks, a) AND a <> '' THEN a WHEN len(cs) > 0 AND len(list_filter(cs, lambda c: list_contains(ks, c))) = len(cs) THEN array_to_string(list_filter(cs, lambda c, i: list_position(cs, c) = i), '') ELSE '' END AS strict,
           array_to_string(list_filter(list_filter(cs, lambda c: list_contains(ks, c)), lambda c, i: list_position(list_filter(cs, lambda c: list_contains(ks, c)), c) = i), '') AS lenient,
           CASE WHEN len(ks) > 0 THEN {letters('answer', 'ks')} ELSE {letters('answer', None)} END AS letters, contains(coalesce(question_type, ''), '多项选择题') OR length(a) > 1 AS multi
@@ -438,6 +441,15 @@ def oracle_sql() -> dict[str, str]:
           FROM (SELECT row_id, {_ASKED}{_RENDERED} AS a, '答案：' || coalesce(answer, '') AS b FROM sft_row)""",
         "preference_budget": f"WITH l AS {_LAST_REWARD}, c AS (SELECT item_id, arg_min(completion, reward_id) FILTER (exact_match) AS chosen, arg_min(completion, reward_id) FILTER (NOT exact_match) AS rejected FROM l GROUP BY 1) SELECT item_id, md5(chosen) AS chosen, md5(rejected) AS rejected FROM c WHERE length(chosen) BETWEEN 1 AND 200 AND length(rejected) BETWEEN 1 AND 200",
         "exam_candidates": f"SELECT item_id, md5({strip(f'array_to_string(list_concat([{QUESTION}], list_transform(list_sort(coalesce(map_entries(options), [])), lambda e: e.key || {_q(chr(46) + chr(32))} || coalesce(e.value, {_q(str())}))), chr(10))')}) AS case_text, CASE WHEN options[k] IS NOT NULL THEN k || '. ' || options[k] ELSE k END AS answer_text FROM (SELECT *, {strip(chr(99) + 'oalesce(answer, ' + chr(39) * 2 + ')')} AS k FROM exam_item)",
+        "holdout_cases": f"""WITH b AS (SELECT doc_id, department, CASE WHEN {hits(TEXT, corpus.HARD_CASE_WORDS)} >= 2 THEN 'hard' WHEN {hits(TEXT, corpus.EASY_CASE_WORDS)} >= 1 AND {hits(TEXT, corpus.HARD_CASE_WORDS)} = 0 THEN 'easy' ELSE 'medium' END AS level FROM documents JOIN {_DEPARTMENT} USING (doc_id)),
+          c AS (SELECT department, least(10, count(*) FILTER (level = 'easy')) AS e, least(15, count(*) FILTER (level = 'hard')) AS h, count(*) FILTER (level = 'medium') AS m FROM b WHERE department IS NOT NULL GROUP BY 1),
+          r AS (SELECT *, row_number() OVER (PARTITION BY department, level ORDER BY {_hash('holdout', 'doc_id')}, doc_id) AS rn FROM b WHERE department IS NOT NULL),
+          d AS (SELECT doc_id, department, level FROM r JOIN c USING (department) WHERE rn <= CASE level WHEN 'easy' THEN e WHEN 'hard' THEN h ELSE least(m, greatest(0, 50 - e - h)) END),
+          x AS (SELECT doc_id, (SELECT department FROM d GROUP BY 1 ORDER BY count(*), 1 LIMIT 1) AS department, level FROM b WHERE department IS NULL AND (SELECT count(*) FROM d) BETWEEN 1 AND 299 ORDER BY {_hash('holdout', 'doc_id')}, doc_id LIMIT 20)
+          SELECT *, (row_number() OVER (ORDER BY department, level, doc_id))::INT AS case_no FROM (SELECT * FROM d UNION ALL SELECT * FROM x)""",
+        "rationale_rates": f"""SELECT source, count(*) AS n, round_even(avg((len(r) > 0 AND len(list_filter(r, lambda k: NOT contains(b, k))) = 0)::INT), 6) AS names_all_right,
+          round_even(avg((len(list_filter(valid_options, lambda k: contains(b, k) AND NOT contains(coalesce(gold, ''), k))) > 0)::INT), 6) AS names_wrong, round_even(avg((length(b) > 200)::INT), 6) AS long_rate
+          FROM (SELECT *, {_BEFORE} AS b, list_filter(valid_options, lambda k: contains(coalesce(gold, ''), k)) AS r FROM choice_reward) GROUP BY 1""",
         "customer_places": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
         "party_union": "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",
         "order_key_overlap": "WITH l AS (SELECT o_custkey AS k, count(*) AS nl FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS nr FROM customer GROUP BY 1) SELECT coalesce(sum(nl), 0)::BIGINT AS left_rows, count(nl) AS left_keys, coalesce(sum(nl) FILTER (nr IS NOT NULL), 0)::BIGINT AS shared_rows, count(*) FILTER (nl IS NOT NULL AND nr IS NOT NULL) AS shared_keys, count(nr) AS right_keys, count(*) FILTER (nr IS NULL) AS left_only_keys, count(*) FILTER (nl IS NULL) AS right_only_keys FROM l FULL JOIN r USING (k)",

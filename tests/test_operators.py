@@ -262,3 +262,39 @@ def test_profile(spark):
     assert (got["n"], got["p50"], got["p75"]) == (4, 2.5, 3.25) and profile.upper_median(rows, F.col("v")).first()["v"] == 3.0
     acc = spark.createDataFrame([([1, 2, 3], [0, 1, -100])], "p array<int>, l array<int>").select(profile.shifted_accuracy(F.col("p"), F.col("l"))).first()[0]
     assert (acc["right"], acc["counted"]) == (1, 1)
+
+
+def test_target_similarity_against_brute_force(spark):
+    from sieveworks.functions import hashing
+
+    docs = spark.createDataFrame([(1, "患者发热三天伴咳嗽"), (2, "头痛一周"), (3, ""), (4, None)], "d long, t string").withColumn("v", hashing.hashed_vector(F.col("t")))
+    targets = spark.createDataFrame([("a", "发热三天"), ("b", "头痛一周"), ("c", "头痛一周")], "d string, t string").withColumn("v", hashing.hashed_vector(F.col("t")))
+    got = {r["r"]: r for r in similarity.target_similarity(docs, targets, "d", "d", "v", 2).collect()}
+    left, right = {r["d"]: r["v"] for r in docs.collect()}, {r["d"]: r["v"] for r in targets.collect()}
+    dot = lambda x, y: sum(w * y.get(k, 0.0) for k, w in (x or {}).items())
+    for d in (1, 2, 3, 4):
+        want = sorted(((round(dot(left[d], right[t]), 9), t) for t in right), reverse=True)[:2]
+        assert got[d]["matched"] == [t for _, t in want] and got[d]["best"] == pytest.approx(want[0][0], abs=1e-8)
+
+
+def test_pool_decisions_and_holdout(spark):
+    from sieveworks.operators import pool
+
+    ok = ("肺炎", ["咳嗽咳痰三天", "肺部湿啰音"], ["肺结核"], ["胸片检查"], ["加重"])
+    case = "患者男45岁，发热咳嗽三天，伴咳黄痰，体温39度"
+    rows = spark.createDataFrame(
+        [(1, case, ok), (2, case, ok), (3, "短", ok), (4, case + "一", ("肺炎", ["少"], ["x"], ["y"], [])), (5, case + "二", ("肺炎可能", ok[1], ["肺炎"], ok[3], ok[4])), (6, case + "三", ok), (7, None, None)],
+        f"id long, c string, t struct<{','.join(x.replace(' ', ':', 1) for x in TARGET.split(', '))}>",
+    )
+    none = F.lit(None).cast("string")
+    leak = rows.where("id = 6")
+    got = {r["id"]: (r["status"], r["rule"], r["duplicate_of"]) for r in pool.organised(rows, "id", F.col("c"), [F.length("c")], [("R-LEAK-002", leak, F.col("c"))], pool.review_rule(F.col("c"), F.col("t"), none, none)).collect()}
+    assert got == {
+        1: ("accepted", None, None), 2: ("rejected_duplicate", "R-DUP-001", 1), 3: ("rejected_low_quality", "R-QUAL-002", None), 4: ("rejected_low_quality", "R-QUAL-005", None),
+        5: ("needs_manual_review", "R-REVIEW-005", None), 6: ("rejected_leakage", "R-LEAK-002", None), 7: ("rejected_low_quality", "R-QUAL-002", None),
+    }
+    people = spark.createDataFrame([(i, "ab"[i % 2] if i < 200 else None, ["easy", "hard", "medium"][i % 3]) for i in range(230)], "id long, g string, l string")
+    drawn = Counter((r["g"], r["l"]) for r in pool.holdout(people, "id", "g", "l", "s").collect())
+    assert sum(drawn.values()) == 120 and drawn["b", "easy"] == 10 and drawn["b", "hard"] == 15
+    words = [(spark.createDataFrame([("x", 1), ("y", 1)], "w string, f int"), None), (spark.createDataFrame([("甲", 5), ("乙", 9), ("y", 99)], "w string, f int"), 1)]
+    assert {tuple(r) for r in pool.merged_vocabulary(words, "w", "f").collect()} == {("x", 0), ("y", 0), ("乙", 1)}
