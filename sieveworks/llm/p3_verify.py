@@ -25,6 +25,8 @@ OPPOSITES = (
 DRUG_SYLLABLES = frozenset(
     "阿艾奥巴贝倍苯泊布单达丁多伐芬酚孚氟非格胺环己吉卡克拉来兰劳利林列罗洛隆氯麦霉美米莫尼诺帕哌培喷匹普齐曲瑞萨赛塞沙舍司他它坦汀替酮妥韦维沃西昔硝辛雅依伊乙扎唑佐酯丙甲"
 )
+#: Product of lengths from which texts are compared in one walk, the reach of the walk, and the characters that must agree after a difference.
+LONG, REACH, AGREE = 1_000_000, 12, 6
 NEGATIONS = "不未无勿"
 #: Words that may stand before or after an option without changing it.
 OPTION_SOFTENERS = re.compile(r"^(?:可考虑|考虑|可|宜)+|(?:为宜|等|者)+$")
@@ -51,9 +53,35 @@ def _edits(a: str, b: str) -> list[tuple[str, str, int]]:
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if not x or not y:
         return [(x, y, head)] if x or y else []
+    if len(x) * len(y) > LONG:
+        return _walked(x, y, head)
     return [(x[i1:i2], y[j1:j2], head + i1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag != "equal"]
 
 
+def _walked(x: str, y: str, head: int) -> list[tuple[str, str, int]]:
+    """Differences of two long texts, found in one walk: after each, both go on from the nearest place where they agree again.
+
+    If they do not agree again within ``REACH`` characters, all the rest is one
+    difference, which is too large for a slip.
+    """
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for gap in range(1, 2 * REACH + 1):
+            left = next((d for d in range(max(0, gap - REACH), min(gap, REACH) + 1) if x[i + d : i + d + AGREE] == y[j + gap - d : j + gap - d + AGREE]), None)
+            if left is not None:
+                out.append((x[i : i + left], y[j : j + gap - left], head + i))
+                i, j = i + left, j + gap - left
+                break
+        else:
+            return [*out, (x[i:], y[j:], head + i)]
+        if len(out) > 64:
+            return [*out, (x[i:], y[j:], head + i)]
+    return [*out, (x[i:], y[j:], head + i)] if i < len(x) or j < len(y) else out
+
+
 def _slips_only(a: str, b: str, most: int) -> bool:
     """a and b differ only by slips of the pen: single characters left out, doubled, swapped or mistaken."""
     if a == b:

@@ -361,3 +361,36 @@ def test_replacing_keeps_the_rest(spark):
     found = Counter(r["id"] for r in p8.find(rows).collect())
     assert found == {1: 3, 5: 3} and p8.find(rows.limit(0)).count() == 0
     assert not re.search(r"\d{11}", out[5]) and unicodedata.is_normalized("NFC", out[1])
+
+
+# -- long texts, clashing names ------------------------------------------------------------------------------------------
+
+
+def test_long_questions_are_compared_in_one_walk():
+    rng = random.Random(9)
+    long = "".join(rng.choice("患者发热咳嗽胸痛头晕乏力恶心呕吐皮疹") for _ in range(200_000))
+    slip = long[:1000] + long[1001:150_000] + "疹疹" + long[150_000:]
+    other = long[:1000] + "".join(rng.choice("甲乙丙丁戊己庚辛") for _ in range(60)) + long[1060:]
+    assert verify.same_question(long, [], slip, []) and not verify.same_question(long, [], other, [])
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "患者发热三天。" * 40_000
+    names = ["text", "tokens", "rank", "source", "n", "key", "id", "kind", "u", "cell"]
+    schema = "doc_id long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, *["x"] * 9) for i, t in enumerate([long, "我叫赵沐翎，想问一下用药的事。" + long, "", None])], schema)
+    assert p8.find(docs).count() == 1
+    assert docs.select(p8.redacted(F.col("text")).alias("t")).where("t like '%[NAME]%'").count() == 1
+    specs = spark.createDataFrame([(1, 256)], "spec_id int, capacity_tokens int")
+    assert p6.fill(docs, specs)[0].select("doc_id").distinct().count() == 4
+    targets = spark.createDataFrame([(1, "x", 1.0, 2)], "mix_id int, source string, target_share double, max_repeats int")
+    assert p7.mixed(docs, targets).count() == 2
+    rows = items(spark, ("train", long, OPTIONS), ("val", long + "。", OPTIONS), ("val", long[7:], OPTIONS))
+    assert p4.copies_of(rows).count() == 1 and p3.overlap_pairs(rows).where("id_b = 2").count() == 1
+    texts = spark.createDataFrame([("k", 1, "s", '{"a": "' + long, None, 1), ("k", 2, "s", long, None, 1)], "kind string, id long, source string, text string, recorded long, at long")
+    assert [r["id"] for r in p2.judged(texts).where("cut").collect()] == [1]
+    sft = spark.createDataFrame([(1, long + "Ａ", None, None, "z"), (2, long + "A", {}, "", "z")], SFT)
+    assert p5.lookalike_pairs(sft).count() == 1
+    rewards, alias, plan, _ = p1_tables(spark, 300)
+    more = rewards.withColumns({c: F.lit("x") for c in ("accept", "u", "wanted", "line_id", "plan_id", "difficulty_x", "t", "d")})
+    assert p1.deficits(more, alias, plan).count() == p1.deficits(rewards, alias, plan).count()
