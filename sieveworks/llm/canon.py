@@ -26,20 +26,29 @@ def canonical_text(text: Column) -> Column:
 
 
 def canonical_parts(parts: Column) -> Column:
-    """Canonical form of each text of an array, in one pass over all of them; a null array gives an empty one."""
-    joined = F.array_join(parts, _PART, "")
-    return F.when(F.size(parts) > 0, F.split(canonical_text(joined), _PART)).otherwise(F.array().cast("array<string>"))
+    """Canonical form of each text of an array that has at least one, in one pass over all of them.
 
+    No condition stands around the pass: a conditional expression would be
+    evaluated again for each use of its result.
+    """
+    return F.split(canonical_text(F.array_join(parts, _PART, "")), _PART)
 
-def canonical_record(question: Column, options: Column) -> Column:
-    """One text for a record: the question, then ``key \\u0002 value`` of the options in sorted order.
 
-    Parts are joined by control characters, which canonical text has not. Null
-    options count as none.
-    """
-    keys, values = F.map_keys(options), F.map_values(options)
+def joined_record(question: Column, options: Column) -> Column:
+    """Question, keys and values of a record as one array; null options count as none."""
     none = F.array().cast("array<string>")
-    parts = canonical_parts(F.concat(F.array(question), F.coalesce(keys, none), F.coalesce(values, none)))
-    n = F.when(options.isNull(), 0).otherwise(F.size(options))
-    pairs = F.zip_with(F.slice(parts, 2, n), F.slice(parts, n + 2, n), lambda k, v: F.concat(k, F.lit("\u0002"), v))
+    return F.concat(F.array(question), F.coalesce(F.map_keys(options), none), F.coalesce(F.map_values(options), none))
+
+
+def record_of(parts: Column) -> Column:
+    """One text for the canonical parts of a record: the question, then ``key \\u0002 value`` of the options in sorted order.
+
+    They are joined by control characters, which canonical text has not.
+    """
+    n = F.shiftright(F.size(parts) - 1, 1)
+    pairs = F.zip_with(F.slice(parts, F.lit(2), n), F.slice(parts, n + 2, n), lambda k, v: F.concat(k, F.lit("\u0002"), v))
     return F.concat_ws("\u0001", parts[0], F.array_join(F.array_sort(pairs), "\u0001"))
+
+
+def canonical_record(question: Column, options: Column) -> Column:
+    return record_of(canonical_parts(joined_record(question, options)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveworks.functions.rules import staged
 from sieveworks.llm.canon import canonical_parts
 from sieveworks.llm.p3_verify import figures, same_question
 from sieveworks.operators.skew import digest, lookup
@@ -141,11 +142,9 @@ def cross_split_overlap(
     """
     values = F.coalesce(F.map_values(F.col(options)), F.array().cast("array<string>"))
     side = F.when(F.col(split).isin(*train), 0).when(F.col(split).isin(*evaluation), 1)
-    rows = (
-        items.select(F.col(id_col).alias("id"), side.alias("side"), canonical_parts(F.concat(F.array(question), values)).alias("p"))
-        .where("side is not null and id is not null")
-        .select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, 1_000_000)), SEP)).alias("text"))
-    )
+    taking_part = items.select(F.col(id_col).alias("id"), side.alias("side"), F.concat(F.array(question), values).alias("t")).where("side is not null and id is not null")
+    rows = staged(taking_part, {"p": canonical_parts(F.col("t"))})
+    rows = rows.select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, 1_000_000)), SEP)).alias("text"))
     classes = cut(
         rows.groupBy("text")
         .agg(F.min("id").alias("cid"), F.sum(1 - F.col("side")).alias("n_train"), F.sum("side").alias("n_eval"))

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.llm.canon import canonical_record
+from sieveworks.functions.rules import staged
+from sieveworks.llm.canon import canonical_parts, record_of
 from sieveworks.operators.skew import digest, lookup
 from sieveworks.session import cut
 
@@ -43,10 +44,11 @@ def collapse(items: DataFrame, id_col: str = "item_id", question: str = "questio
         .groupBy("raw")
         .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     )
-    parsed = F.from_json("raw", "q string, o array<struct<key:string,value:string>>")
-    forms = forms.withColumn("p", parsed).select(
-        digest(F.col("raw")).alias("raw"), canonical_record(F.col("p.q"), F.map_from_entries(F.col("p.o"))).alias("canon"), "n", "first_id"
-    )
+    held = staged(forms, {"p": F.from_json("raw", "q string, o array<struct<key:string,value:string>>")})
+    none = F.array().cast("array<string>")
+    texts = F.concat(F.array(F.col("p")["q"]), F.coalesce(F.transform(F.col("p")["o"], lambda e: e["key"]), none), F.coalesce(F.transform(F.col("p")["o"], lambda e: e["value"]), none))
+    parts = staged(held.select("raw", "n", "first_id", texts.alias("t")), {"parts": canonical_parts(F.col("t"))})
+    forms = parts.select(digest(F.col("raw")).alias("raw"), record_of(F.col("parts")).alias("canon"), "n", "first_id")
     forms = cut(forms)
     groups = forms.groupBy("canon").agg(F.min("first_id").alias("kept_id"), F.sum("n").alias("copies"), F.count(F.lit(1)).alias("n_forms"))
     return Collapsed(forms, groups)
