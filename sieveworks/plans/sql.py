@@ -10,6 +10,7 @@ greedy selection, packing and the iterated components.
 from __future__ import annotations
 
 from sieveworks.functions.text import COMPARISON_PUNCTUATION, DIAGNOSIS_HEDGES
+from sieveworks.operators.candidates import LISTS
 from sieveworks.operators import evaluation, rewards, scoring
 from sieveworks.plans import corpus, exam
 
@@ -324,6 +325,23 @@ _TERMS = """list_concat(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'
 _KEYS = "list_transform(coalesce(map_keys(options), []), lambda k: upper(trim(k)))"
 
 
+def _filled(field: str) -> str:
+    return f"len(list_filter(coalesce(ground_truth.{field}, []), lambda x: {strip("coalesce(x, '')")} <> ''))"
+
+
+def without_hedges(x: str) -> str:
+    out = f"coalesce({x}, '')"
+    for hedge in DIAGNOSIS_HEDGES:
+        out = f"replace({out}, '{hedge}', '')"
+    return no_space(out)
+
+
+_LEAST = {"diagnostic_basis": 2, "differential_diagnoses": 1, "recommended_actions": 1, "risk_flags": 1}
+_TARGET_ERRORS = f"""SELECT eval_id, array_to_string(list_filter([CASE WHEN {strip("coalesce(ground_truth.primary_diagnosis, '')")} = '' THEN 'primary_diagnosis_empty' END,
+  {', '.join(f"CASE WHEN {_filled(f)} < {n} THEN '{f}_too_short' END" for f, n in _LEAST.items())}, {', '.join(f"CASE WHEN {_filled(f)} < coalesce(len(ground_truth.{f}), 0) THEN '{f}_blank_item' END" for f in LISTS)}], lambda x: x IS NOT NULL), ',') AS errors,
+  {without_hedges('ground_truth.primary_diagnosis')} <> '' AND list_contains(list_transform(coalesce(ground_truth.differential_diagnoses, []), lambda d: {without_hedges('d')}), {without_hedges('ground_truth.primary_diagnosis')}) AS repeats_diagnosis, logged_at FROM eval_result"""
+
+
 def _windows(width: str, step: str, by: str) -> str:
     return f"""SELECT w AS "start", w + INTERVAL {width} AS "end", {by}, count(*) AS n, round_even(sum(value), 4) AS total FROM (
       SELECT *, unnest(range(time_bucket(INTERVAL {step}, ts, TIMESTAMP '1970-01-01') - INTERVAL {width} + INTERVAL {step}, time_bucket(INTERVAL {step}, ts, TIMESTAMP '1970-01-01') + INTERVAL {step}, INTERVAL {step})) AS w FROM events)
@@ -450,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "rationale_rates": f"""SELECT source, count(*) AS n, round_even(avg((len(r) > 0 AND len(list_filter(r, lambda k: NOT contains(b, k))) = 0)::INT), 6) AS names_all_right,
           round_even(avg((len(list_filter(valid_options, lambda k: contains(b, k) AND NOT contains(coalesce(gold, ''), k))) > 0)::INT), 6) AS names_wrong, round_even(avg((length(b) > 200)::INT), 6) AS long_rate
           FROM (SELECT *, {_BEFORE} AS b, list_filter(valid_options, lambda k: contains(coalesce(gold, ''), k)) AS r FROM choice_reward) GROUP BY 1""",
+        "case_target_errors": _TARGET_ERRORS,
         "customer_places": "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
         "party_union": "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier",
         "order_key_overlap": "WITH l AS (SELECT o_custkey AS k, count(*) AS nl FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k, count(*) AS nr FROM customer GROUP BY 1) SELECT coalesce(sum(nl), 0)::BIGINT AS left_rows, count(nl) AS left_keys, coalesce(sum(nl) FILTER (nr IS NOT NULL), 0)::BIGINT AS shared_rows, count(*) FILTER (nl IS NOT NULL AND nr IS NOT NULL) AS shared_keys, count(nr) AS right_keys, count(*) FILTER (nr IS NULL) AS left_only_keys, count(*) FILTER (nl IS NULL) AS right_only_keys FROM l FULL JOIN r USING (k)",
