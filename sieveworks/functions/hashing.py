@@ -99,24 +99,21 @@ def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None
 def hashed_vector(text: Column, dim: int = 16_384, shortest: int = 2, longest: int = 4, head: int | None = None) -> Column:
     """Signed feature hashing of n-grams to unit length, as a map from dimension to weight; an empty text gives an empty map."""
 
-    def embed(texts: pd.Series) -> pd.Series:
-        out = []
+    def embed(texts: pd.Series) -> pd.DataFrame:
+        # two arrays a text: an object for each entry would take gigabytes a batch
+        dims, weights = [], []
         for t in texts:
             counts: dict[int, float] = {}
             for h in _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest):
                 counts[h % dim] = counts.get(h % dim, 0.0) + (-1.0 if h >> 8 & 1 else 1.0)
             norm = sum(v * v for v in counts.values()) ** 0.5
-            out.append([(k, v / norm) for k, v in counts.items()] if norm else [])
-        return pd.Series(out, dtype=object)
-
-    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    entries = T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("value", T.DoubleType())]))
-
-    def as_rows(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"key": k, "value": v} for k, v in e] for e in embed(texts)], dtype=object)
+            dims.append(np.fromiter(counts if norm else (), dtype=np.int32))
+            weights.append(np.fromiter((v / norm for v in counts.values()) if norm else (), dtype=np.float64))
+        return pd.DataFrame({"i": pd.Series(dims, dtype=object), "w": pd.Series(weights, dtype=object)})
 
-    as_rows.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.map_from_entries(F.pandas_udf(as_rows, entries)(text))
+    embed.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    arrays = F.pandas_udf(embed, "i array<int>, w array<double>")(text)
+    return F.map_from_arrays(arrays["i"], arrays["w"])
 
 
 def sparse_cosine(a: Column, b: Column) -> Column:

@@ -72,36 +72,58 @@ def aligned(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("r").distinct()
 
 
-def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_id: str, vector: str, k: int = 3, dim: int = 16_384, most_targets: int = 2048) -> DataFrame:
-    """(r, matched, best, mean_top): of each row the k most similar targets, of equals the greater id first, its best and the mean of the k.
-
-    Vectors are maps from dimension to weight of unit length. Targets are a
-    small development set; more than ``most_targets`` are refused, which bounds
-    what is broadcast. Each batch of rows is scored by gathering the dimensions
-    it has; no pair is written. A row without a vector has similarity 0.
+def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_id: str, vector: str, k: int = 3, dim: int = 16_384, chunk: int = 512) -> DataFrame:
+    """(r, matched, best, mean_top): of each row the k most similar of all targets, of equals the greater id first, its best and the mean of the k.
+
+    Vectors are maps from dimension to weight of unit length; row ids are
+    unique. Targets go out in chunks of a fixed number, each a small inverted
+    list from dimension to targets, so what is broadcast never grows with the
+    data. Against each chunk a row keeps its k best, and the k best of these
+    remain; no pair is written. Every chunk reads ``rows`` again, so they
+    should be a cut. A row without a vector has similarity 0.
     """
-    held = targets.select(F.col(target_id).alias("t"), F.col(vector).alias("v")).orderBy(F.desc("t")).limit(most_targets + 1).collect()
-    if len(held) > most_targets:
-        raise ValueError(f"more than {most_targets} targets")
     kind, target_kind = dict(rows.dtypes)[row_id], dict(targets.dtypes)[target_id]
-    matrix = np.zeros((dim, len(held)), dtype=np.float64)
-    for j, r in enumerate(held):
-        for i, w in (r["v"] or {}).items():
-            matrix[i, j] = w
-    shared = rows.sparkSession.sparkContext.broadcast(([r["t"] for r in held], matrix))
-
-    def best(batches):
-        names, m = shared.value
-        for pdf in batches:
-            out = []
-            for r, keys, weights in zip(pdf["r"], pdf["i"], pdf["w"]):
-                sims = np.round(np.asarray(weights, dtype=float) @ m[np.asarray(keys, dtype=int)], 9) if keys is not None and len(keys) else np.zeros(len(names))
-                order = np.argsort(-sims, kind="stable")[:k]
-                out.append((r, [names[x] for x in order], float(sims[order[0]]) if len(order) else 0.0, float(sims[order].mean()) if len(order) else 0.0))
-            yield pd.DataFrame(out, columns=["r", "matched", "best", "mean_top"])
-
     slim = rows.select(F.col(row_id).alias("r"), F.map_keys(vector).alias("i"), F.map_values(vector).alias("w"))
-    return slim.mapInPandas(best, f"r {kind}, matched array<{target_kind}>, best double, mean_top double")
+
+    def score(block: list) -> DataFrame:
+        entries = sorted((i, j, w) for j, r in enumerate(block) for i, w in (r["v"] or {}).items())
+        at, own, weight = (np.array([e[c] for e in entries], dtype=t) for c, t in enumerate((np.int64, np.int32, np.float64)))
+        starts = np.searchsorted(at, np.arange(dim + 1))
+        shared = rows.sparkSession.sparkContext.broadcast(([r["t"] for r in block], starts, own, weight))
+
+        def best(batches):
+            names, starts, own, weight = shared.value
+            for pdf in batches:
+                out = []
+                for r, keys, weights in zip(pdf["r"], pdf["i"], pdf["w"]):
+                    sims = np.zeros(len(names))
+                    if keys is not None and len(keys):
+                        keys = np.asarray(keys, dtype=np.int64)
+                        n = starts[keys + 1] - starts[keys]
+                        places = np.arange(n.sum()) + np.repeat(starts[keys] - (np.cumsum(n) - n), n)
+                        sims = np.round(np.bincount(own[places], weights=weight[places] * np.repeat(np.asarray(weights, dtype=float), n), minlength=len(names)), 9) + 0.0
+                    order = np.argsort(-sims, kind="stable")[:k]
+                    out.append((r, [names[x] for x in order], sims[order]))
+                yield pd.DataFrame(out, columns=["r", "t", "s"])
+
+        return slim.mapInPandas(best, f"r {kind}, t array<{target_kind}>, s array<double>")
+
+    parts: list[DataFrame] = []
+    buffer: list = []
+    for row in targets.select(F.col(target_id).alias("t"), F.col(vector).alias("v")).orderBy(F.desc("t")).toLocalIterator(prefetchPartitions=True):
+        buffer.append(row)
+        if len(buffer) == chunk:
+            parts.append(score(buffer))
+            buffer = []
+    if buffer or not parts:
+        parts.append(score(buffer))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    found = every.groupBy("r").agg(F.flatten(F.collect_list(F.arrays_zip("s", "t"))).alias("x"))
+    top = found.select("r", F.slice(F.sort_array("x", asc=False), 1, k).alias("x"))
+    total = F.aggregate("x.s", F.lit(0.0), lambda a, s: a + s)
+    return top.select("r", F.col("x.t").alias("matched"), F.coalesce(F.get("x.s", F.lit(0)), F.lit(0.0)).alias("best"), F.when(F.size("x") > 0, total / F.size("x")).otherwise(0.0).alias("mean_top"))
 
 
 def terms(text: Column) -> Column:

@@ -171,7 +171,7 @@ def holdout_cases(spark: SparkSession, d: str) -> DataFrame:
 def target_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Documents by likeness to a development set (the cases of one gateway), richness and penalties."""
     targets = overlap.latest(spark.read.parquet(f"{d}/eval_result.parquet").where("source = 'replay'").select("case_id", "case_text"), "case_id", [F.col("case_text")])
-    targets = targets.orderBy("case_id").limit(256).select("case_id", hashing.hashed_vector(F.col("case_text")).alias("v"))
+    targets = targets.select("case_id", hashing.hashed_vector(F.col("case_text")).alias("v"))
     rows = cut(_documents(spark, d).select("doc_id", "text", hashing.hashed_vector(F.col("text")).alias("v")))
     like = similarity.target_similarity(rows, targets, "doc_id", "case_id", "v")
     rich, cost = scoring.case_richness(F.col("text")), scoring.penalty(scoring.quality_flags(F.col("text")), F.col("text"))

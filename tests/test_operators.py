@@ -277,6 +277,32 @@ def test_target_similarity_against_brute_force(spark):
         assert got[d]["matched"] == [t for _, t in want] and got[d]["best"] == pytest.approx(want[0][0], abs=1e-8)
 
 
+def test_all_targets_count_however_many(spark):
+    from sieveworks.functions import hashing
+
+    docs = spark.createDataFrame([(1, "患者发热三天伴咳嗽"), (2, "头痛一周"), (3, "")], "d long, t string").withColumn("v", hashing.hashed_vector(F.col("t")))
+    texts = {i: f"病例{i}腹痛" for i in range(2100)} | {1: "头痛一周余", 2098: "发热三天", 2099: "头痛一周"}
+    targets = spark.createDataFrame(list(texts.items()), "d long, t string").withColumn("v", hashing.hashed_vector(F.col("t")))
+    left, right = {r["d"]: r["v"] for r in docs.collect()}, {r["d"]: r["v"] for r in targets.collect()}
+    got = {r["r"]: r for r in similarity.target_similarity(docs, targets, "d", "d", "v").collect()}
+    for d, v in left.items():
+        want = sorted(((round(sum(w * x.get(k, 0.0) for k, w in v.items()), 9), t) for t, x in right.items()), reverse=True)[:3]
+        assert got[d]["matched"] == [t for _, t in want] and got[d]["best"] == pytest.approx(want[0][0], abs=1e-8)
+        assert got[d]["mean_top"] == pytest.approx(sum(s for s, _ in want) / 3, abs=1e-8)
+    assert got[2]["matched"][:2] == [2099, 1] and got[2]["best"] == pytest.approx(1.0)
+    none = similarity.target_similarity(docs, targets.limit(0), "d", "d", "v").first()
+    assert (none["matched"], none["best"], none["mean_top"]) == ([], 0.0, 0.0)
+
+
+def test_target_query_scores_against_every_case(spark, tmp_path):
+    from sieveworks.plans import corpus
+
+    spark.createDataFrame([(1, "右侧腰腹部绞痛三小时")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cases = [(f"c{i:04d}", "右侧腰腹部绞痛三小时" if i == 299 else f"头痛{i}周", "replay") for i in range(300)]
+    spark.createDataFrame(cases, "case_id string, case_text string, source string").write.parquet(f"{tmp_path}/eval_result.parquet")
+    assert corpus.target_ranked(spark, str(tmp_path)).first()["best"] == 1.0
+
+
 def test_pool_decisions_and_holdout(spark):
     from sieveworks.operators import pool
 
