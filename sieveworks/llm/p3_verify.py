@@ -25,8 +25,10 @@ OPPOSITES = (
 DRUG_SYLLABLES = frozenset(
     "阿艾奥巴贝倍苯泊布单达丁多伐芬酚孚氟非格胺环己吉卡克拉来兰劳利林列罗洛隆氯麦霉美米莫尼诺帕哌培喷匹普齐曲瑞萨赛塞沙舍司他它坦汀替酮妥韦维沃西昔硝辛雅依伊乙扎唑佐酯丙甲"
 )
-#: Product of lengths from which texts are compared in one walk, the reach of the walk, and the characters that must agree after a difference.
-LONG, REACH, AGREE = 1_000_000, 12, 6
+#: Product of lengths from which texts are first aligned by a bounded edit script, the equal characters at which they are then taken apart, and those kept on either side.
+LONG, APART, CONTEXT = 1_000_000, 48, 16
+#: Characters left out and put in of two texts that may differ by slips only: no more than twice ``most`` + 4, for the greatest ``most``.
+MOST_EDITS = 24
 NEGATIONS = "不未无勿"
 #: Words that may stand before or after an option without changing it.
 OPTION_SOFTENERS = re.compile(r"^(?:可考虑|考虑|可|宜)+|(?:为宜|等|者)+$")
@@ -59,27 +61,57 @@ def _edits(a: str, b: str) -> list[tuple[str, str, int]]:
 
 
 def _walked(x: str, y: str, head: int) -> list[tuple[str, str, int]]:
-    """Differences of two long texts, found in one walk: after each, both go on from the nearest place where they agree again.
+    """Differences of two long texts: those of the short pieces between the long equal runs of a shortest edit script.
 
-    If they do not agree again within ``REACH`` characters, all the rest is one
-    difference, which is too large for a slip.
+    Texts without a script of ``MOST_EDITS`` are one difference. Every other
+    way to align them has as many edits or more, so that is too large for slips.
     """
+    runs = _equal_runs(x, y)
+    if runs is None:
+        return [(x, y, head)]
     out, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            i, j = i + 1, j + 1
-            continue
-        for gap in range(1, 2 * REACH + 1):
-            left = next((d for d in range(max(0, gap - REACH), min(gap, REACH) + 1) if x[i + d : i + d + AGREE] == y[j + gap - d : j + gap - d + AGREE]), None)
-            if left is not None:
-                out.append((x[i : i + left], y[j : j + gap - left], head + i))
-                i, j = i + left, j + gap - left
-                break
-        else:
-            return [*out, (x[i:], y[j:], head + i)]
-        if len(out) > 64:
-            return [*out, (x[i:], y[j:], head + i)]
-    return [*out, (x[i:], y[j:], head + i)] if i < len(x) or j < len(y) else out
+    for at_x, at_y, n in [*(r for r in runs if r[2] >= APART), (len(x), len(y), 0)]:
+        end_x, end_y = at_x + min(n, CONTEXT), at_y + min(n, CONTEXT)
+        pieces = SequenceMatcher(None, x[i:end_x], y[j:end_y], autojunk=False).get_opcodes()
+        out += [(x[i + i1 : i + i2], y[j + j1 : j + j2], head + i + i1) for tag, i1, i2, j1, j2 in pieces if tag != "equal"]
+        i, j = at_x + max(n - CONTEXT, 0), at_y + max(n - CONTEXT, 0)
+    return out
+
+
+def _equal_runs(x: str, y: str) -> list[tuple[int, int, int]] | None:
+    """(place in x, place in y, length) of the equal runs of a shortest edit script (Myers), or None from ``MOST_EDITS`` + 1 edits on.
+
+    Takes time in proportion to the lengths, as no more than 2 * ``MOST_EDITS`` + 1 diagonals are followed.
+    """
+
+    def agree(i: int, j: int) -> int:
+        n, step = 0, 256
+        while step:
+            while i + n + step <= len(x) and j + n + step <= len(y) and x[i + n : i + n + step] == y[j + n : j + n + step]:
+                n += step
+            step //= 2
+        return n
+
+    reached, trail = {1: 0}, []
+    for d in range(MOST_EDITS + 1):
+        trail.append(dict(reached))
+        for k in range(-d, d + 1, 2):
+            i = reached[k + 1] if k == -d or (k != d and reached[k - 1] < reached[k + 1]) else reached[k - 1] + 1
+            reached[k] = i = i + agree(i, i - k) if i <= len(x) and i - k <= len(y) else i
+            if i == len(x) and i - k == len(y):
+                return _traced(trail, i, k)
+    return None
+
+
+def _traced(trail: list[dict[int, int]], i: int, k: int) -> list[tuple[int, int, int]]:
+    runs = []
+    for d in range(len(trail) - 1, -1, -1):
+        before = trail[d]
+        down = k == -d or (k != d and before[k - 1] < before[k + 1])
+        start = before[k + 1] if down else before[k - 1] + 1
+        runs.append((start, start - k, i - start))
+        k, i = (k + 1, start) if down else (k - 1, start - 1)
+    return runs[::-1]
 
 
 def _slips_only(a: str, b: str, most: int) -> bool:

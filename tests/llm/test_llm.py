@@ -374,6 +374,19 @@ def test_long_questions_are_compared_in_one_walk():
     assert verify.same_question(long, [], slip, []) and not verify.same_question(long, [], other, [])
 
 
+def test_close_slips_count_alike_in_short_and_long_questions():
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("患者发热咳嗽胸痛头晕乏力恶心呕吐皮疹") for _ in range(n))
+    for gap in (20, 1_500, 20_000):
+        start, middle, end = text(30), text(gap), text(30)
+        # two characters mistaken three apart, and one left out far on
+        assert verify.same_question(start + "钙铁锌钾" + middle + "钠" + end, [], start + "镁铁锌铜" + middle + end, [])
+        # slips in a row of which no six characters between agree
+        assert verify.same_question(start + "钙铁锌钾钠镁" + middle + "钠" + end, [], start + "钙铁铁锌钾钠钠镁" + middle + end, [])
+        assert not verify.same_question(start + "钙铁锌钾" + middle + "钠" + end, [], start + "镁铁锌铜" + middle + "银" + end, [])
+        assert not verify.same_question(start + "钠" + middle + end, [], start + middle + text(40) + end, [])
+
+
 def test_very_long_texts_and_clashing_columns(spark):
     long = "患者发热三天。" * 40_000
     names = ["text", "tokens", "rank", "source", "n", "key", "id", "kind", "u", "cell"]
