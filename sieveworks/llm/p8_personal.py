@@ -150,8 +150,8 @@ def _before(text: str, at: int, n: int = 18) -> str:
     return text[max(0, at - n) : at]
 
 
-#: Without so many digits, or written-out ones, close together there is no number to look for.
-_DIGIT_ANCHOR = re.compile(r"[0-9０-９][0-9０-９ ().\-（）]{5}|[〇零一二三四五六七八九]{9}")
+#: What every number has in it: so many digits, or written-out ones, close together, a country's code, or the head of an IBAN.
+_DIGIT_ANCHOR = re.compile(r"\d[\d ().\-·（）]{5}|\+\d|[A-Z]{2}\d{2} ?[A-Z0-9]{4}|[〇零一二三四五六七八九]{9}")
 
 
 def _numbers(text: str) -> list[Span]:
@@ -182,14 +182,15 @@ def _numbers(text: str) -> list[Span]:
 
 
 #: What every Chinese address has in it; the slower expressions run only around such places.
-_ADDRESS_ANCHOR = re.compile(r"[路街道巷里同村区园寓苑][0-9０-９一二三四五六七八九十]")
-_BEFORE_ANCHOR, _AFTER_ANCHOR = 32, 64
+_ADDRESS_ANCHOR = re.compile(r"[路街道巷里同村][0-9０-９一二三四五六七八九十百]|小区|花园|公寓|家园|新村")
+#: Characters before such a place, and what follows it: so many characters that are no digits, with digits of any number between.
+_BEFORE_ANCHOR, _AFTER_ANCHOR = 32, re.compile(r"(?:[0-9０-９一二三四五六七八九十百]*+[^0-9０-９一二三四五六七八九十百]){0,64}+[0-9０-９一二三四五六七八九十百]*+")
 
 
 def _windows(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for m in _ADDRESS_ANCHOR.finditer(text):
-        low, high = max(0, m.start() - _BEFORE_ANCHOR), min(len(text), m.end() + _AFTER_ANCHOR)
+        low, high = max(0, m.start() - _BEFORE_ANCHOR), _AFTER_ANCHOR.match(text, m.end()).end()
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], high)
         else:

@@ -345,6 +345,21 @@ def test_details(text, found):
     assert details(text) == found
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("电话138·1234·5678。", "138·1234·5678"), ("电话+12345。", "+12345"), ("电话+٩٦٦ ٥٠ ١٢٣ ٤٥٦٧。", "+٩٦٦ ٥٠ ١٢٣ ٤٥٦٧"), ("账号DE39ABCDEFGHIJKL。", "DE39ABCDEFGHIJKL"),
+        ("家住阳光小区院3-2-1，", "阳光小区院3-2-1"), ("家住阳光小区国际大厦A座5层。", "阳光小区国际大厦A座5层"), ("家住人民路百号院3-2-1。", "人民路百号院3-2-1"),
+        ("家住人民路" + "1" * 80 + "号院3-2-1。", "人民路" + "1" * 80 + "号院3-2-1"),
+    ],
+)
+def test_filters_drop_nothing_that_the_patterns_accept(text, found, monkeypatch):
+    filtered = p8.personal_details(text)
+    monkeypatch.setattr(p8, "_DIGIT_ANCHOR", re.compile(""))
+    monkeypatch.setattr(p8, "_windows", lambda t: [(0, len(t))])
+    assert filtered == p8.personal_details(text) and found in [text[s.start : s.end] for s in filtered]
+
+
 def test_validators():
     assert p8.resident_id("11010519491231002X") and not p8.resident_id("110105194912310021") and not p8.resident_id("110105194913310020")
     assert p8.resident_id("110105491231002") and not p8.resident_id("110105491331002")
