@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveworks.operators.skew import digest, lookup
+from sieveworks.session import cut as written
+
 # Marks with which a whole text may end.
 TERMINALS = "。！？!?.…）)】」』”\"'》>]}`*；;"
 #: An answer as the last thing of a completion; bare letters only if they are all of it.
@@ -21,13 +25,32 @@ LIST_END = r"\n\s*[-•·*]\s*[^\n]+$"
 PUT_AFTER = r"([^\n])(?:\.{3}|…+)\s*\n+\s*(?:\*\*)?(?:答案|故选|最终答案)"
 #: White space that a length may count and the stored text may have lost.
 LENGTH_SLACK = 3
-MIN_SPIKE = 5
-#: Log-odds of the pieces of evidence.
-WEIGHTS = {
-    "prior": -2.0, "open_structure": 6.0, "closed_structure": -6.0, "no_answer": 4.0, "no_terminal": 3.0, "list_end": 0.0, "terminal": -4.0,
-    "damaged_end": 2.0, "lost_length": 3.0, "put_after": 8.0,
+#: From the most exact to the least: a limit in one unit makes spikes in those after it.
+UNITS = ("chars", "escaped", "bytes")
+
+#: A spike of lengths holds so many values, so many times what is expected, and one as full arises by chance in so few of all sources.
+MIN_SPIKE, MIN_EXCESS, CHANCE = 5, 4.0, 0.01
+#: Lengths on either side by which a spike is measured, and the least limit of a field of free text (20 ideographs).
+AROUND, LEAST_LIMIT = 40, {"chars": 20, "bytes": 60, "escaped": 120}
+
+#: Share of texts cut away from limits before anything is seen of a source, in as many pseudo-texts as the source has texts.
+PRIOR_CUT = 0.05
+#: Pseudo-texts by which the length posterior of a window speaks against the endings in it: a share of its texts, and at least so many.
+WINDOW_STRENGTH, LEAST_STRENGTH = 0.5, 5.0
+#: Endings of whole texts by form before anything is seen of a source. Structures and what was put after a cut are not learned.
+WHOLE_ENDINGS = {
+    "layout": {"answered": 0.9858, "terminal": 0.01, "list": 0.002, "none": 0.002, "damaged": 0.0002},
+    "plain": {"answered": 0.40, "terminal": 0.4898, "list": 0.10, "none": 0.01, "damaged": 0.0002},
 }
-UNITS = ("chars", "bytes", "escaped")
+WHOLE_STRENGTH = 20.0
+#: Cut texts that an ending must have been expected in before what was seen outweighs what the places say.
+PLACES_STRENGTH = 2.0
+#: P(ending | cut) / P(ending | whole) of endings that a text's own make doesn't tell, and of a recorded length that is larger.
+OPEN_STRUCTURE, PUT_AFTER_RATIO, LOST_RATIO = 400.0, 400.0, 20.0
+#: Share of cuts that leave a damaged character at the end.
+DAMAGED_CUTS = 0.02
+
+_STRUCTURAL = re.compile(r"\\.|[\"'{}\[\]]", re.DOTALL)
 
 
 def _structure(text: str | None) -> int:
@@ -39,13 +62,11 @@ def _structure(text: str | None) -> int:
     start = text.find("{")
     if start < 0:
         return 2 if text.count("```") % 2 else 0
-    depth, quote, i = 0, "", start
-    while i < len(text):
-        c = text[i]
+    depth, quote = 0, ""
+    for m in _STRUCTURAL.finditer(text, start):
+        c = m[0]
         if quote:
-            if c == "\\":
-                i += 1
-            elif c == quote:
+            if c == quote:
                 quote = ""
         elif c in "\"'":
             quote = c
@@ -55,7 +76,8 @@ def _structure(text: str | None) -> int:
             depth -= 1
             if depth <= 0:
                 return 1
-        i += 1
+        elif c[1] in "\"'":
+            quote = c[1]  # outside a text a backslash escapes nothing
     return 2
 
 
@@ -73,15 +95,20 @@ def _lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float) -> tuple[float, float]:
-    """(mean, deviation) of log length by maximum likelihood, values at or over ``limit`` counting as "at least limit".
+# -- lengths ----------------------------------------------------------------------------------------------------------
+
 
-    The expectation-maximisation steps of the censored normal distribution over
-    a histogram: a censored value is replaced by its expected value and square.
+def fit_censored(lengths: np.ndarray, counts: np.ndarray, low: float, high: float | None = None) -> tuple[float, float]:
+    """(mean, deviation) of log length by maximum likelihood, values from ``low`` to ``high`` counting as "at least low".
+
+    The expectation-maximisation steps of the right-censored normal
+    distribution over a histogram: a censored value is replaced by its expected
+    value and square. Values over ``high`` are seen as they are: a limit may
+    hold for a part of a source only.
     """
     x = np.log(np.maximum(lengths, 1) + 0.0)
-    cens = lengths >= limit
-    c = math.log(limit)
+    cens = (lengths >= low) & (lengths <= (np.inf if high is None else high))
+    c = math.log(low)
     n, n_cens = counts.sum(), counts[cens].sum()
     xs, ws = x[~cens], counts[~cens]
     if n - n_cens < 2:
@@ -103,41 +130,54 @@ def fit_censored(lengths: np.ndarray, counts: np.ndarray, limit: float) -> tuple
 
 
 def candidate_limits(lengths: np.ndarray, counts: np.ndarray, unit: str) -> list[tuple[int, int, float]]:
-    """(lowest, highest, posterior) length of each candidate limit.
-
-    A candidate is a spike at the upper end of the lengths. In bytes a cut
-    falls up to three bytes short of the limit, and a broken character makes up
-    to two more, so the spike is a window there. The posterior of a value in the
-    spike is the share of its count that the fitted distribution leaves unexplained.
+    """(lowest, highest, posterior) length of each candidate limit, all of them.
+
+    A candidate is a spike: a window with several times the values that the
+    lengths on both sides of it and the censored fit lead to expect, wherever it
+    stands; longer values may lie above, as a limit may have been raised. In
+    bytes a cut falls up to three bytes short of the limit, and a broken
+    character makes up to two more, so the spike is a window there. The
+    posterior of a value in the spike is the share of its count that the fitted
+    distribution leaves unexplained. Work grows with the distinct lengths of a
+    source, not with the longest of them.
     """
     order = np.argsort(lengths)
-    lengths, counts = lengths[order], counts[order]
-    total, out = counts.sum(), []
-    reach = 5 if unit == "bytes" else 1
-    top = int(lengths[-1])
-    dense = np.zeros(top + reach + 2)
-    dense[lengths] = counts
-    sums = np.concatenate([[0.0], np.cumsum(dense)])
-    for end in range(max(reach, 20), top + 1):
-        low = end - reach + 1
-        here = sums[end + 1] - sums[low]
-        if here < MIN_SPIKE or here < 0.004 * total:
-            continue
-        above = total - sums[end + 1]
-        back = max(1, low - 40)
-        near = (sums[low] - sums[back]) / max(1, low - back) * reach
-        if here < 4 * max(near, 1.0) or above > 0.1 * here + 0.002 * total or dense[end] == 0:
+    lengths, counts = lengths[order].astype(np.int64), counts[order].astype(float)
+    sums = np.concatenate([[0.0], np.cumsum(counts)])
+    total, reach = float(sums[-1]), 5 if unit == "bytes" else 1
+
+    def held(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.searchsorted(lengths, low, "left"), np.searchsorted(lengths, high, "right")
+        return sums[j] - sums[i], j - i
+
+    end = lengths[lengths >= LEAST_LIMIT[unit]]
+    low = end - reach + 1
+    here, n_here = held(low, end)
+    # a length that occurs, not any number: texts of one script have lengths in steps of six units
+    near = np.maximum(*(h / np.maximum(n, 1) for h, n in (held(low - AROUND, low - 1), held(end + 1, end + AROUND)))) * n_here
+    near = np.maximum(near, 0.02 * reach)
+    surprise = math.log(max(len(end), 1) / CHANCE)
+
+    def stands_out(held: np.ndarray | float, expected: np.ndarray | float) -> np.ndarray | bool:
+        # the Chernoff bound of a Poisson count, over as many windows as there are
+        lam = np.maximum(expected, 1e-9)
+        return (held >= MIN_SPIKE) & (held >= MIN_EXCESS * lam) & (held * np.log(np.maximum(held, 1e-9) / lam) - held + lam >= surprise)
+
+    spikes = np.flatnonzero(stands_out(here, near))
+    kept: list[tuple[int, int, float]] = []
+    # windows overlap in bytes: the fullest is taken, what it covers is left out
+    taken: set[int] = set()
+    for i in spikes[np.argsort(-here[spikes], kind="stable")]:
+        a, b = int(low[i]), int(end[i])
+        if any(v in taken for v in range(a, b + 1)):
             continue
-        mu, sd = fit_censored(lengths, counts, low)
+        mu, sd = fit_censored(lengths, counts, a, b)
         cdf = lambda v: 0.5 * math.erfc(-(math.log(v) - mu) / (sd * math.sqrt(2)))  # noqa: E731, B023
-        expected = total * max(cdf(end + 0.5) - cdf(low - 0.5), 0.0)
-        out.append((low, end, max(0.0, 1 - expected / here)))
-    out.sort(key=lambda r: -(sums[r[1] + 1] - sums[r[0]]))
-    kept: list[tuple[int, int, float]] = []
-    for r in out:
-        if all(r[1] < k[0] or r[0] > k[1] for k in kept):
-            kept.append(r)
-    return kept[:4]
+        expected = max(total * max(cdf(b + 0.5) - cdf(a - 0.5), 0.0), float(near[i]))
+        if stands_out(float(here[i]), expected):
+            taken.update(range(a, b + 1))
+            kept.append((a, b, 1 - expected / float(here[i])))
+    return kept
 
 
 _LIMITS = "kind string, source string, limits array<struct<unit:string,low:int,high:int,posterior:double>>"
@@ -145,20 +185,14 @@ _LIMITS = "kind string, source string, limits array<struct<unit:string,low:int,h
 
 def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     found = []
-    for unit, part in pdf.groupby("unit"):
+    for unit in UNITS:
+        part = pdf[pdf["unit"] == unit]
         for low, high, p in candidate_limits(part["length"].to_numpy(), part["n"].to_numpy(dtype=float), unit):
             found.append({"unit": unit, "low": low, "high": high, "posterior": p})
     source = pdf["source"].iloc[0]
     return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "source": [source], "limits": [found]})
 
 
-def measured(texts: DataFrame) -> DataFrame:
-    """``texts`` (kind, id, source, text, recorded) once per id, with lengths; empty and null texts are left out."""
-    once = texts.where("id is not null and text is not null and text <> ''").groupBy("kind", "id").agg(F.min(F.struct("at", "source", "text", "recorded")).alias("r"))
-    flat = once.select("kind", "id", F.coalesce("r.source", F.lit("")).alias("source"), F.col("r.text").alias("text"), F.col("r.recorded").alias("recorded"))
-    return flat.withColumns(_lengths(F.col("text")))
-
-
 def limits_of(rows: DataFrame) -> DataFrame:
     """(kind, source, limits): candidate limits with posteriors, from the length histograms of each source.
 
@@ -170,67 +204,165 @@ def limits_of(rows: DataFrame) -> DataFrame:
     return hist.groupBy("kind", "source").applyInPandas(_fit_source, _LIMITS)
 
 
-def judged(texts: DataFrame) -> DataFrame:
-    """Each distinct record with its evidence: (kind, id, source, at_limit, lost, score, cut).
+# -- endings ----------------------------------------------------------------------------------------------------------
 
-    ``texts`` has kind, id, source, text, recorded (a length noted elsewhere,
-    may be null) and at (delivery time). A row delivered again counts once, by
-    its first delivery. Null or empty texts are not judged and never a case; a
-    null source is one source; very long texts are read whole. An empty table
-    gives no rows.
+
+def _endings(text: Column, state: Column) -> dict[str, Column]:
+    """Form and ending of a text, and the shares of its places at which a cut would leave it with such an ending."""
+    tail = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
+    answer = F.regexp_extract(tail, ANSWER_END, 0)
+    last = F.substring(tail, -1, 1)
+    before = F.regexp_extract(text, PUT_AFTER, 1)
+    n = F.greatest(F.char_length(tail), F.lit(1))
+    share = lambda places: F.least(places / n, F.lit(1.0))
+    ending = (
+        F.when((before != "") & ~F.contains(F.lit(TERMINALS), before), "put_after").when(state == 2, "open").when(state == 1, "closed").when(answer != "", "answered")
+        .when(F.contains(F.lit(TERMINALS), last), "terminal").when(last == "�", "damaged").when(tail.rlike(LIST_END), "list").otherwise("none")
+    )
+    lists = F.aggregate(F.regexp_extract_all(text, F.lit(r"\n\s*[-•·*]\s*[^\n]+"), F.lit(0)), F.lit(0), lambda s, x: s + F.char_length(x))
+    return {
+        "form": F.when(state > 0, "structured").when(tail.rlike(ANSWER_LAYOUT), "layout").otherwise("plain"),
+        "ending": ending,
+        "at_answer": share(F.when(F.contains(answer, F.lit("</answer>")) | F.startswith(answer, F.lit("项")), 1).otherwise(F.regexp_count(answer, F.lit("[A-Z]"))) + F.regexp_count(answer, F.lit(r"[*。.）)]"))),
+        "at_terminal": share(F.regexp_count(tail, F.lit("[" + re.escape(TERMINALS) + "]"))),
+        "at_list": share(lists),
+        "at_end": 1 / n,
+    }
+
+
+def measured(texts: DataFrame) -> DataFrame:
+    """Lengths, form and ending of ``texts`` (kind, id, source, text, recorded, at), once per id; empty and null texts are left out.
+
+    All that is needed of a text is taken from it where it is read: no text is shuffled.
     """
-    from sieveworks.session import cut as written
+    rows = texts.where("id is not null and text is not null and text <> ''").withColumn("state", structure_state("text"))
+    seen = rows.select("kind", "id", "at", F.coalesce("source", F.lit("")).alias("source"), "recorded", *[c.alias(k) for k, c in (_lengths(F.col("text")) | _endings(F.col("text"), F.col("state"))).items()])
+    first = seen.groupBy("kind", "id").agg(F.min(F.struct(*[c for c in seen.columns if c not in ("kind", "id")])).alias("r"))
+    return first.select("kind", "id", "r.*").drop("at")
 
-    rows = written(measured(texts).withColumn("state", structure_state("text")))
+
+# -- both -------------------------------------------------------------------------------------------------------------
+
+_CELL = ("spikes", "form", "ending", "lost")
+_MODEL = "cell binary, n long, posterior double, score double"
+
+
+#: Endings and the share of a text's places at which a cut would leave them.
+PLACES = {"answered": "at_answer", "terminal": "at_terminal", "list": "at_list"}
+
+
+def own_spikes(spikes: pd.Series, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, posterior) of each cell: the spike that its lengths belong to, -1 and 0 for none.
+
+    A limit in one unit makes spikes in the others too, and their windows hold texts
+    that stand at no limit. Spikes come in the order of their units, and one whose
+    texts beyond those of earlier spikes are no more than it would hold by chance is none.
+    """
+    held = [dict((int(i), float(p)) for i, p in (h.split("=") for h in s.split(","))) if s else {} for s in spikes]
+    known = {i: p for h in held for i, p in h.items()}
+    full = {i: sum(c for c, h in zip(n, held) if i in h) for i in known}
+    window, posterior = np.full(len(n), -1), np.zeros(len(n))
+    for i in sorted(known):
+        free = np.array([i in h for h in held]) & (window < 0)
+        if n[free].sum() >= MIN_EXCESS * full[i] * (1 - known[i]) and n[free].sum() >= MIN_SPIKE:
+            window[free], posterior[free] = i, known[i]
+    return window, posterior
+
+
+def fit_endings(cells: pd.DataFrame) -> pd.DataFrame:
+    """Log-odds of being cut for each cell (spikes, form, ending, lost) of one source, by expectation-maximisation.
+
+    ``cells`` has n, the spikes that lengths stand in, with their posteriors, and
+    mean shares of places. Estimated are the share of cut texts away from limits and in each
+    window, where the length posterior is the prior; the endings of whole texts,
+    from texts away from limits; and by how much cut texts have an ending more
+    or less often than a cut at any place of the texts would leave it.
+    """
+    n = cells["n"].to_numpy(dtype=float)
+    form, ending = (cells[c].to_numpy() for c in ("form", "ending"))
+    window, posterior = own_spikes(cells["spikes"], n)
+    off, lost = window < 0, np.where(cells["lost"].to_numpy(dtype=bool), LOST_RATIO, 1.0)
+    learned = {(f, e): (form == f) & (ending == e) for f, prior in WHOLE_ENDINGS.items() for e in prior}
+    places = {e: np.clip(cells[c].to_numpy(dtype=float), 1e-4, 0.9) for e, c in PLACES.items()}
+    places["damaged"] = np.full(len(n), DAMAGED_CUTS)
+    places["none"] = np.clip(1 - sum(places.values()), 0.1, 1.0)
+    open_ended = (form != "structured") & (ending != "put_after")
+    ended = np.clip(cells["at_end"].to_numpy(dtype=float), 1e-6, 1.0)
+    fixed = np.select([ending == "put_after", ending == "open", ending == "closed"], [PUT_AFTER_RATIO, OPEN_STRUCTURE, ended], 1.0)
+    windows = {int(w): float(p) for w, p in zip(window, posterior) if w >= 0}
+    inside = {w: window == w for w in windows}
+    strength = {w: max(WINDOW_STRENGTH * n[own].sum(), LEAST_STRENGTH) for w, own in inside.items()}
+    away, at = PRIOR_CUT, dict(windows)
+    whole, more = {f: dict(p) for f, p in WHOLE_ENDINGS.items()}, dict.fromkeys(PLACES, 1.0)
+    for _ in range(60):
+        ratio = fixed.copy()
+        for (f, e), own in learned.items():
+            ratio[own & (ending != "put_after")] = (places[e] * more.get(e, 1.0))[own] / whole[f][e]
+        prior = np.array([away if w < 0 else at[int(w)] for w in window])
+        odds = np.clip(prior, 1e-6, 1 - 1e-6) / (1 - np.clip(prior, 1e-6, 1 - 1e-6)) * ratio * lost
+        cut = n * odds / (1 + odds)
+        away = (cut[off].sum() + PRIOR_CUT * n.sum()) / (n[off].sum() + n.sum())
+        at = {w: (cut[own].sum() + strength[w] * windows[w]) / (n[own].sum() + strength[w]) for w, own in inside.items()}
+        for f, prior_endings in WHOLE_ENDINGS.items():
+            mass = {e: WHOLE_STRENGTH * p + (n - cut)[learned[f, e] & off].sum() for e, p in prior_endings.items()}
+            whole[f] = {e: m / sum(mass.values()) for e, m in mass.items()}
+        for e in PLACES:
+            seen, expected = cut[open_ended & (ending == e)].sum(), (cut * places[e])[open_ended].sum()
+            more[e] = (PLACES_STRENGTH + seen) / (PLACES_STRENGTH + expected)
+    return cells[["cell", "n"]].assign(posterior=posterior, score=np.log(odds))
+
+
+def _cell_key(*extra: str) -> Column:
+    return digest(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in ("kind", "source", *extra)]))
+
+
+def evidence(texts: DataFrame) -> DataFrame:
+    """Each distinct record (kind, id, source, cell) with the spikes its lengths stand in and its form and ending."""
+    rows = written(measured(texts).withColumn("of", _cell_key()))
     limits = limits_of(rows)
-    fits = rows.where("recorded is not null").groupBy("kind", "source").agg(
-        *[F.avg((F.col("recorded") == F.col(u)).cast("double")).alias(f"as_{u}") for u in ("chars", "bytes")]
+    sizes = rows.groupBy("kind", "source", "of").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg((F.col("recorded") == F.col(u)).cast("double")).alias(f"as_{u}") for u in ("chars", "bytes")]
     )
-    known = limits.join(fits, ["kind", "source"], "left")
-    text = F.rtrim(F.regexp_replace("text", r"\s+$", ""))
-    at_limit = F.aggregate(
-        "limits",
-        F.lit(0.0),
-        lambda best, l: F.greatest(
-            best,
-            F.when(
-                (F.when(l["unit"] == "chars", F.col("chars")).when(l["unit"] == "bytes", F.col("bytes")).otherwise(F.col("escaped"))).between(l["low"], l["high"]),
-                l["posterior"],
-            ).otherwise(0.0),
-        ),
+    known = written(sizes.join(limits, ["kind", "source"], "left").select("of", "n", "limits", "as_chars", "as_bytes"))
+    length = lambda l: F.when(l["unit"] == "chars", F.col("chars")).when(l["unit"] == "bytes", F.col("bytes")).otherwise(F.col("escaped"))
+    stands_in = F.transform(
+        F.coalesce("limits", F.array()), lambda l, i: F.when(length(l).between(l["low"], l["high"]), F.concat(i.cast("string"), F.lit("="), l["posterior"].cast("string")))
     )
     own = F.when((F.col("as_bytes") > F.col("as_chars")) & (F.col("as_bytes") >= 0.5), F.col("bytes")).when(F.col("as_chars") >= 0.5, F.col("chars"))
-    rows = (
-        rows.join(known, ["kind", "source"], "left")
-        .withColumn("at_limit", F.coalesce(at_limit, F.lit(0.0)))
-        .withColumn("lost", F.coalesce(F.col("recorded") - own > LENGTH_SLACK, F.lit(False)))
-        .withColumn("tail", text)
-    )
-    answered = F.col("tail").rlike(ANSWER_END)
-    last = F.substring("tail", -1, 1)
-    terminal = F.instr(F.lit(TERMINALS), last) > 0
-    before = F.regexp_extract("text", PUT_AFTER, 1)
-    put_after = (before != "") & ~(F.instr(F.lit(TERMINALS), before) > 0)
-    w = {k: F.lit(v) for k, v in WEIGHTS.items()}
-    nothing = F.lit(0.0)
-    ending = (
-        F.when(F.col("state") > 0, nothing)
-        .when(answered | terminal, w["terminal"])
-        .when(last == "�", w["no_terminal"] + w["damaged_end"])
-        .when(F.col("tail").rlike(LIST_END), w["list_end"])
-        .otherwise(w["no_terminal"])
-    )
-    p = F.least(F.greatest(F.col("at_limit"), F.lit(0.02)), F.lit(0.98))
-    score = (
-        w["prior"]
-        + F.when(F.col("state") == 2, w["open_structure"]).when(F.col("state") == 1, w["closed_structure"]).otherwise(nothing)
-        + F.when(F.col("tail").rlike(ANSWER_LAYOUT) & ~answered & (F.col("state") != 1), w["no_answer"]).otherwise(nothing)
-        + ending
-        + F.when(put_after, w["put_after"]).otherwise(nothing)
-        + F.when(F.col("lost"), w["lost_length"]).otherwise(nothing)
-        + F.when(F.col("at_limit") > 0, F.greatest(F.log(p / (1 - p)), F.lit(0.0))).otherwise(nothing)
+    seen = lookup(rows, known, "of", "n").withColumns(
+        {"spikes": F.array_join(F.array_compact(stands_in), ","), "lost": F.coalesce(F.col("recorded") - own > LENGTH_SLACK, F.lit(False))}
     )
-    return rows.withColumn("score", score).select("kind", "id", "source", "at_limit", "lost", "score", (F.col("score") > 0).alias("cut"))
+    return written(seen.select("kind", "id", "source", *_CELL, *PLACES.values(), "at_end", _cell_key(*_CELL).alias("cell")))
+
+
+def _scores(seen: DataFrame) -> DataFrame:
+    """(cell, n, posterior, score): log-odds of every cell, from counts per cell; a task sees the cells of one source."""
+    shares = [F.avg(c).alias(c) for c in (*PLACES.values(), "at_end")]
+    cells = seen.groupBy("kind", "source", *_CELL, "cell").agg(F.count(F.lit(1)).alias("n"), *shares)
+    return cells.groupBy("kind", "source").applyInPandas(fit_endings, _MODEL)
+
+
+def judged(texts: DataFrame) -> DataFrame:
+    """Each distinct record with its evidence: (kind, id, source, at_limit, lost, score, cut).
+
+    ``texts`` has kind, id, source, text, recorded (a length noted elsewhere,
+    may be null) and at (delivery time). Lengths of each source are fitted as
+    right-censored at every spike; ``at_limit`` is the posterior that a length
+    in a spike is a censored one. Endings are weighed by how often whole texts of
+    the source have them and how often a cut would leave them, and both together
+    give ``score``, the log-odds; ``cut`` is a score over 0. So a sentence's end
+    speaks against a cut, but not at a limit where more texts stand than the
+    source's whole texts explain, and a missing full stop speaks for one, but
+    not in a source whose texts have none.
+
+    A row delivered again counts once, by its first delivery. Null or empty
+    texts are not judged and never a case; a null source is one source; very
+    long texts are read whole. An empty table gives no rows.
+    """
+    seen = evidence(texts)
+    scores = written(_scores(seen))
+    out = lookup(seen.select("kind", "id", "source", "lost", "cell"), scores, "cell", "n")
+    return out.select("kind", "id", "source", F.col("posterior").alias("at_limit"), "lost", "score", (F.col("score") > 0).alias("cut"))
 
 
 def reward_and_eval_texts(rewards: DataFrame, evals: DataFrame) -> DataFrame:

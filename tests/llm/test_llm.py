@@ -157,6 +157,49 @@ def test_cut_texts(spark):
     assert p2.judged(table.limit(0)).count() == 0
 
 
+P2 = "kind string, id long, source string, text string, recorded long, at long"
+
+
+def sentences(rng, n, end="。"):
+    return end.join(rng.choice(["患者发热三天", "查体见湿啰音", "考虑感染", "建议复查", "予以补液"]) for _ in range(n)) + end
+
+
+def test_a_limit_decides_where_endings_cannot(spark):
+    """Texts cut at a sentence's end at the limit, and texts whose source puts no mark at the end."""
+    rng = random.Random(17)
+    rows, at_end, bare_cut = [], set(), set()
+    for i in range(1500):
+        text = sentences(rng, rng.randint(2, 40))
+        if len(text) > 100:
+            text = text[:100]
+            if text.endswith("。"):
+                at_end.add(i)
+        rows.append(("k", i, "limited", text, None, 1))
+    for i in range(2000, 3000):
+        text = sentences(rng, rng.randint(2, 40))[:-1]
+        if len(text) > 120:
+            text, _ = text[:120], bare_cut.add(i)
+        rows.append(("k", i, "bare", text, None, 1))
+    got = {r["id"]: r for r in p2.judged(spark.createDataFrame(rows, P2)).collect()}
+    assert len(at_end) > 20 and all(got[i]["cut"] for i in at_end | bare_cut)
+    other = [i for i, r in got.items() if r["cut"] and r["at_limit"] == 0]
+    assert not other and sum(r["cut"] for r in got.values()) <= sum(len(t) in (100, 120) for *_, t, _, _ in rows)
+
+
+def test_every_limit_of_a_source_is_a_candidate():
+    import numpy as np
+
+    rng = random.Random(19)
+    free = Counter(int(math.exp(rng.gauss(4.6, 0.5))) for _ in range(20_000))
+    limits = [90, 130, 170, 210, 260, 330]
+    for i in limits:
+        free[i] += 1500
+    free[10**8] += 1  # one value of 100 million characters
+    values, counts = (np.array(x) for x in zip(*sorted(free.items())))
+    found = p2.candidate_limits(values, counts.astype(float), "chars")
+    assert sorted(a for a, _, _ in found) == limits and all(p > 0.5 for *_, p in found)
+
+
 # -- p3 -----------------------------------------------------------------------------------------------------------------
 
 
