@@ -17,7 +17,7 @@ from sieveworks.session import cut as written
 # Marks with which a whole text may end.
 TERMINALS = "。！？!?.…）)】」』”\"'》>]}`*；;"
 #: An answer as the last thing of a completion; bare letters only if they are all of it.
-ANSWER_END = r"(?:答案(?:为|是)?[:：]?\s*[A-Z]+|故选\s*[A-Z]+|选\s*[A-Z]+|<answer>\s*[A-Z]+\s*</answer>|项|^\W*[A-Z]+)[\s*。.）)]*$"
+ANSWER_END = r"(?:答案(?:为|是)?[:：]?\s*[A-Z]+|故选\s*[A-Z]+|选\s*[A-Z]+|<answer>\s*[A-Z]+\s*</answer>|[A-Z]\s*项|^\W*[A-Z]+)[\s*。.）)]*$"
 #: A completion that begins so is to end with an answer.
 ANSWER_LAYOUT = r"^\s*(?:分析[:：]|<think>|1[.、]\s)"
 LIST_END = r"\n\s*[-•·*]\s*[^\n]+$"
@@ -37,18 +37,18 @@ AROUND, LEAST_LIMIT = 40, {"chars": 20, "bytes": 60, "escaped": 120}
 PRIOR_CUT = 0.05
 #: Pseudo-texts by which the length posterior of a window speaks against the endings in it: a share of its texts, and at least so many.
 WINDOW_STRENGTH, LEAST_STRENGTH = 0.5, 5.0
-#: Endings of whole texts by form before anything is seen of a source. Structures and what was put after a cut are not learned.
+#: Endings of whole texts by form before anything is seen of a source, and in how many pseudo-texts: a share of the source's texts
+#: of that form, and at least so many. A layout that is to end with an answer is held to it; plain texts end as their source lets them.
 WHOLE_ENDINGS = {
-    "layout": {"answered": 0.9858, "terminal": 0.01, "list": 0.002, "none": 0.002, "damaged": 0.0002},
-    "plain": {"answered": 0.40, "terminal": 0.4898, "list": 0.10, "none": 0.01, "damaged": 0.0002},
+    "layout": {"answered": 0.986, "terminal": 0.01, "list": 0.002, "none": 0.002},
+    "plain": {"answered": 0.40, "terminal": 0.49, "list": 0.10, "none": 0.01},
 }
-WHOLE_STRENGTH = 20.0
+WHOLE_STRENGTH, LEAST_WHOLE = {"layout": 1.0, "plain": 0.02}, 20.0
 #: Cut texts that an ending must have been expected in before what was seen outweighs what the places say.
 PLACES_STRENGTH = 2.0
-#: P(ending | cut) / P(ending | whole) of endings that a text's own make doesn't tell, and of a recorded length that is larger.
-OPEN_STRUCTURE, PUT_AFTER_RATIO, LOST_RATIO = 400.0, 400.0, 20.0
-#: Share of cuts that leave a damaged character at the end.
-DAMAGED_CUTS = 0.02
+#: P(seen | cut) / P(seen | whole) of what is not learned: a structure left open, an ellipsis with a block put after it, a damaged
+#: character as the last one, and a recorded length that is larger.
+OPEN_STRUCTURE, PUT_AFTER_RATIO, DAMAGED_RATIO, LOST_RATIO = 400.0, 400.0, 100.0, 20.0
 
 _STRUCTURAL = re.compile(r"\\.|[\"'{}\[\]]", re.DOTALL)
 
@@ -223,7 +223,8 @@ def _endings(text: Column, state: Column) -> dict[str, Column]:
     return {
         "form": F.when(state > 0, "structured").when(tail.rlike(ANSWER_LAYOUT), "layout").otherwise("plain"),
         "ending": ending,
-        "at_answer": share(F.when(F.contains(answer, F.lit("</answer>")) | F.startswith(answer, F.lit("项")), 1).otherwise(F.regexp_count(answer, F.lit("[A-Z]"))) + F.regexp_count(answer, F.lit(r"[*。.）)]"))),
+        # an answer that nothing closes may go on; a closed one ends the text
+        "at_answer": F.when(answer.rlike("[A-Z]$"), 1 / n).otherwise(0.1 / n),
         "at_terminal": share(F.regexp_count(tail, F.lit("[" + re.escape(TERMINALS) + "]"))),
         "at_list": share(lists),
         "at_end": 1 / n,
@@ -284,11 +285,11 @@ def fit_endings(cells: pd.DataFrame) -> pd.DataFrame:
     off, lost = window < 0, np.where(cells["lost"].to_numpy(dtype=bool), LOST_RATIO, 1.0)
     learned = {(f, e): (form == f) & (ending == e) for f, prior in WHOLE_ENDINGS.items() for e in prior}
     places = {e: np.clip(cells[c].to_numpy(dtype=float), 1e-4, 0.9) for e, c in PLACES.items()}
-    places["damaged"] = np.full(len(n), DAMAGED_CUTS)
     places["none"] = np.clip(1 - sum(places.values()), 0.1, 1.0)
-    open_ended = (form != "structured") & (ending != "put_after")
+    open_ended = (form != "structured") & ~np.isin(ending, ("put_after", "damaged"))
+    held_to = {f: max(share * n[form == f].sum(), LEAST_WHOLE) for f, share in WHOLE_STRENGTH.items()}
     ended = np.clip(cells["at_end"].to_numpy(dtype=float), 1e-6, 1.0)
-    fixed = np.select([ending == "put_after", ending == "open", ending == "closed"], [PUT_AFTER_RATIO, OPEN_STRUCTURE, ended], 1.0)
+    fixed = np.select([ending == "put_after", ending == "damaged", ending == "open", ending == "closed"], [PUT_AFTER_RATIO, DAMAGED_RATIO, OPEN_STRUCTURE, ended], 1.0)
     windows = {int(w): float(p) for w, p in zip(window, posterior) if w >= 0}
     inside = {w: window == w for w in windows}
     strength = {w: max(WINDOW_STRENGTH * n[own].sum(), LEAST_STRENGTH) for w, own in inside.items()}
@@ -297,14 +298,14 @@ def fit_endings(cells: pd.DataFrame) -> pd.DataFrame:
     for _ in range(60):
         ratio = fixed.copy()
         for (f, e), own in learned.items():
-            ratio[own & (ending != "put_after")] = (places[e] * more.get(e, 1.0))[own] / whole[f][e]
+            ratio[own] = (places[e] * more.get(e, 1.0))[own] / whole[f][e]
         prior = np.array([away if w < 0 else at[int(w)] for w in window])
         odds = np.clip(prior, 1e-6, 1 - 1e-6) / (1 - np.clip(prior, 1e-6, 1 - 1e-6)) * ratio * lost
         cut = n * odds / (1 + odds)
         away = (cut[off].sum() + PRIOR_CUT * n.sum()) / (n[off].sum() + n.sum())
         at = {w: (cut[own].sum() + strength[w] * windows[w]) / (n[own].sum() + strength[w]) for w, own in inside.items()}
         for f, prior_endings in WHOLE_ENDINGS.items():
-            mass = {e: WHOLE_STRENGTH * p + (n - cut)[learned[f, e] & off].sum() for e, p in prior_endings.items()}
+            mass = {e: held_to[f] * p + (n - cut)[learned[f, e] & off].sum() for e, p in prior_endings.items()}
             whole[f] = {e: m / sum(mass.values()) for e, m in mass.items()}
         for e in PLACES:
             seen, expected = cut[open_ended & (ending == e)].sum(), (cut * places[e])[open_ended].sum()
