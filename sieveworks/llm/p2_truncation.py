@@ -38,12 +38,12 @@ PRIOR_CUT = 0.05
 #: Pseudo-texts by which the length posterior of a window speaks against the endings in it: a share of its texts, and at least so many.
 WINDOW_STRENGTH, LEAST_STRENGTH = 0.5, 5.0
 #: Endings of whole texts by form before anything is seen of a source, and in how many pseudo-texts: a share of the source's texts
-#: of that form, and at least so many. A layout that is to end with an answer is held to it; plain texts end as their source lets them.
+#: of that form, and at least so many. So a layout ends with an answer and a text with a mark, unless those of a source do not.
 WHOLE_ENDINGS = {
     "layout": {"answered": 0.986, "terminal": 0.01, "list": 0.002, "none": 0.002},
     "plain": {"answered": 0.40, "terminal": 0.49, "list": 0.10, "none": 0.01},
 }
-WHOLE_STRENGTH, LEAST_WHOLE = {"layout": 1.0, "plain": 0.02}, 20.0
+WHOLE_STRENGTH, LEAST_WHOLE = 0.02, 20.0
 #: Cut texts that an ending must have been expected in before what was seen outweighs what the places say.
 PLACES_STRENGTH = 2.0
 #: P(seen | cut) / P(seen | whole) of what is not learned: a structure left open, an ellipsis with a block put after it, a damaged
@@ -287,7 +287,7 @@ def fit_endings(cells: pd.DataFrame) -> pd.DataFrame:
     places = {e: np.clip(cells[c].to_numpy(dtype=float), 1e-4, 0.9) for e, c in PLACES.items()}
     places["none"] = np.clip(1 - sum(places.values()), 0.1, 1.0)
     open_ended = (form != "structured") & ~np.isin(ending, ("put_after", "damaged"))
-    held_to = {f: max(share * n[form == f].sum(), LEAST_WHOLE) for f, share in WHOLE_STRENGTH.items()}
+    held_to = {f: max(WHOLE_STRENGTH * n[form == f].sum(), LEAST_WHOLE) for f in WHOLE_ENDINGS}
     ended = np.clip(cells["at_end"].to_numpy(dtype=float), 1e-6, 1.0)
     fixed = np.select([ending == "put_after", ending == "damaged", ending == "open", ending == "closed"], [PUT_AFTER_RATIO, DAMAGED_RATIO, OPEN_STRUCTURE, ended], 1.0)
     windows = {int(w): float(p) for w, p in zip(window, posterior) if w >= 0}
