@@ -16,6 +16,14 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def bounded(table: DataFrame, most: int, what: str) -> DataFrame:
+    """``table`` as rows held by the driver, for tables that are small by their meaning; more than ``most`` rows are refused."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return table.sparkSession.createDataFrame(rows, table.schema)
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row for each ``key``.
 
@@ -34,6 +42,22 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_keys: i
     return by_hot.unionByName(cold.join(table, key).select(*rows.columns, *rest))
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, spread: str, salts: int = 64, least: int = 1000, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """Inner join of ``rows`` and ``table`` on ``key``, both of which may have a key many times.
+
+    ``counts`` has (key, n), the rows of each key in ``rows``; a cut or cheap.
+    The ``hot_keys`` heaviest keys with ``least`` rows or more are spread over
+    ``salts`` tasks by the column ``spread`` of ``rows``, and ``table`` has its
+    rows of those keys once for each task; any other key has under ``1 /
+    hot_keys`` of the rows. Broadcast are the hot keys only. Null keys match nothing.
+    """
+    hot = counts.where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(hot_keys).select(F.col(key).alias("__hot"))
+    left = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))
+    copies = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    right = table.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(copies))
+    return left.drop("__hot").join(right.drop("__hot"), [key, "__salt"]).drop("__salt")
+
+
 def spread_rank(
     df: DataFrame, group: Sequence[str], order: Sequence[str], tie: Sequence[str], out: str = "rank", salts: int = 64
 ) -> DataFrame:

@@ -134,6 +134,21 @@ def test_lookup_with_hot_and_null_keys(spark):
     assert got.count() == 60 and got.where("key = 'hot'").count() == 40
 
 
+def test_salted_join_with_a_hot_key_on_both_sides(spark):
+    left = [(i, None if i == 0 else 7 if i % 3 else i % 11) for i in range(300)]
+    right = [(i, 7 if i % 4 == 0 else i) for i in range(40)] + [(99, None)]
+    rows, table = spark.createDataFrame(left, "a long, k long"), spark.createDataFrame(right, "b long, k long")
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    want = Counter((a, b) for a, k in left for b, j in right if k is not None and k == j)
+    for least in (2, 10**6):
+        got = skew.salted_join(rows, table, "k", counts, "a", salts=5, least=least, hot_keys=3)
+        assert Counter((r["a"], r["b"]) for r in got.collect()) == want and set(got.columns) == {"a", "k", "b"}
+    spread = skew.salted_join(rows, table, "k", counts, "a", salts=5, least=2, hot_keys=3).where("k = 7").select("a", F.pmod(F.xxhash64("a"), F.lit(5)).alias("s")).distinct()
+    assert max(r["count"] for r in spread.groupBy("s").count().collect()) < 100
+    with pytest.raises(ValueError, match="more than 5"):
+        skew.bounded(rows, 5, "rows")
+
+
 def test_spread_rank_is_a_rank(spark):
     rows = spark.createDataFrame([(i % 2, i % 5, i // 3) for i in range(300)], "g int, o int, t int")
     got = skew.spread_rank(rows, ["g"], ["o"], ["t"], "r", 4).collect()
