@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,13 +168,23 @@ groups AS (SELECT c, min(item_id) AS kept_item_id, count(*) AS copies, count(DIS
 """
 
 
-def _look_sql(expr: str) -> str:
+# What looks alike, said again for the SQL: a wrong entry of the operator's tables shows as a difference.
+_ALIKE = {
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο": "ABEZHIKMNOPTYXo", "АВЕЅІЈКМНОРСТУХаеѕіјорсух": "ABESIJKMHOPCTYXaesijopcyx",
+    "⺠⻅⻆⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳": "民见角贝车长门青页风飞食马骨鬼鱼鸟卤麦黄齐齿龙龟", "µ‐‑": "μ--",
+}
+_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_SHAPELESS = r"\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}"
+
+
+def _look_sql(expr: str, null: str = "''") -> str:
     """The one form by whole-text steps: characters one for one, then shapeless ones, then composition."""
-    pairs = {a: b for a, b in p5.FOLDS.items() if len(b) == 1 and a not in "'\x00" and b != "'" and ord(a) > 31}
-    shapeless = "".join(f"\\x{{{ord(a):04X}}}" for a, b in p5.FOLDS.items() if b == "" and ord(a) > 31 and not 0xE0000 <= ord(a) < 0xE1000)
-    longer = [(a, b) for a, b in p5.FOLDS.items() if a in "℃℉"]
-    out = f"translate(regexp_replace(coalesce({expr}, ''), '[{shapeless}]', '', 'g'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
-    for a, b in longer:
+    pairs = {a: b for theirs, ours in _ALIKE.items() for a, b in zip(theirs, ours)} | dict.fromkeys(_SPACES, " ")
+    pairs |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F) if chr(c - 0xFEE0) != "'"}
+    # half-width and full-width forms and the radicals, by their compatibility form
+    pairs |= {chr(c): f for c in (*range(0xFF61, 0xFFA0), *range(0xFFE0, 0xFFE7), *range(0x2F00, 0x2FD6)) if len(f := unicodedata.normalize("NFKC", chr(c))) == 1}
+    out = f"translate(regexp_replace(coalesce({expr}, {null}), '[{_SHAPELESS}]', '', 'g'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
+    for a, b in (("℃", "°C"), ("℉", "°F")):
         out = f"replace({out}, '{a}', '{b}')"
     return f"nfc_normalize({out})"
 
@@ -200,5 +211,8 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": _P4_GROUPS + "SELECT kept_item_id, item_id AS copy_item_id FROM canon JOIN groups USING (c) WHERE item_id > kept_item_id",
         "p5_found": f"""WITH looks AS (SELECT row_id, {_P5_RAW} AS raw, {_P5_LOOK} AS look FROM sft_row)
         SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM looks a JOIN looks b USING (look) WHERE a.row_id < b.row_id AND a.raw <> b.raw""",
+        "p5_one_form": f"""SELECT row_id, {_look_sql('question', 'NULL')} AS question,
+          coalesce(array_to_string(list_transform(list_sort(list_transform(map_entries(options), lambda e: {{'k': {_look_sql('e.key', 'NULL')}, 'v': {_look_sql('e.value', 'NULL')}}})), lambda e: e.k || '=' || e.v), '|'), CASE WHEN options IS NULL THEN NULL ELSE '' END) AS options,
+          {_look_sql('answer', 'NULL')} AS answer FROM sft_row""",
         "p4_collapsed": _P4_GROUPS + "SELECT kept_item_id, copies, n_forms FROM groups",
     }

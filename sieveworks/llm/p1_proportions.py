@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveworks.operators.skew import bounded
 from sieveworks.session import cut
 
 #: Added to every acceptance probability, so that too few accepted rows are rare.
@@ -24,6 +25,10 @@ class Drawn:
     rows: DataFrame
 
 
+#: Rows of the label table and of the plans, which are broadcast; more are refused.
+MOST_LABELS, MOST_LINES = 10_000, 10_000
+
+
 def category_of(rewards: DataFrame, alias: DataFrame, difficulties: tuple[str, ...] = ("direct", "brief", "cot"), other: str = "brief") -> DataFrame:
     """(reward_id, question_type, difficulty), one row per reward_id that has a category.
 
@@ -78,6 +83,7 @@ def draw(rewards: DataFrame, alias: DataFrame, plan: DataFrame) -> Drawn:
     line of an unknown type finds no rows and is short by all it wants; an
     empty table gives every line zero rows.
     """
+    alias, plan = bounded(alias, MOST_LABELS, "label variants"), bounded(plan, MOST_LINES, "plan lines")
     cats = cut(category_of(rewards, alias))
     total = cats.count()
     observed = cats.groupBy("question_type", "difficulty").agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +140,8 @@ def _corrected(d: Drawn, cells: int = 4096) -> DataFrame:
     counts = celled.groupBy("plan_id", "line_id", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("plan_id", "line_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("plan_id", "line_id", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), "n")
-    placed = celled.join(F.broadcast(starts), ["plan_id", "line_id", "cell"])
+    # at most ``cells`` + 1 rows for each of a bounded number of lines; Spark checks the size before it broadcasts
+    placed = celled.join(starts, ["plan_id", "line_id", "cell"])
     whole = placed.where("start + n <= wanted").select("plan_id", "line_id", "reward_id")
     rank = F.row_number().over(Window.partitionBy("plan_id", "line_id", "cell").orderBy("u", "reward_id"))
     part = placed.where("start < wanted and start + n > wanted").withColumn("rn", rank).where("start + rn <= wanted").select("plan_id", "line_id", "reward_id")

@@ -7,19 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.functions.rules import staged
 from sieveworks.llm.canon import canonical_parts
-from sieveworks.llm.p3_verify import figures, same_question
-from sieveworks.operators.skew import digest, lookup
+from sieveworks.llm.p3_verify import MEDICAL_EXAM, Wording, figures, same_question
+from sieveworks.operators.skew import digest, lookup, salted_join
 from sieveworks.session import cut
 
 SHINGLE = 3
+#: Two records at the threshold share a bucket with a probability of 0.964.
 BANDS = 24
-ROWS = 5
+ROWS = 4
 MIN_JACCARD = 0.6
 #: Parts of a record's text; two of them, so that no shingle spans two parts.
 SEP = "\u0001\u0001"
@@ -102,16 +103,19 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-@F.pandas_udf(T.BooleanType())
-def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
+def _verified(a: Column, b: Column, wording: Wording) -> Column:
     def one(x: str, y: str) -> bool:
         if jaccard(x, y) < MIN_JACCARD:
             return False
         q, *options = x.split(SEP)
         p, *others = y.split(SEP)
-        return same_question(q, options, p, others)
+        return same_question(q, options, p, others, wording)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+    @F.pandas_udf(T.BooleanType())
+    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    return verify(a, b)
 
 
 def cross_split_overlap(
@@ -122,6 +126,7 @@ def cross_split_overlap(
     split: str = "split",
     train: tuple[str, ...] = ("train",),
     evaluation: tuple[str, ...] = ("val", "test"),
+    wording: Wording = MEDICAL_EXAM,
 ) -> Overlap:
     """Train and evaluation records that are the same question with the same options.
 
@@ -144,7 +149,7 @@ def cross_split_overlap(
     side = F.when(F.col(split).isin(*train), 0).when(F.col(split).isin(*evaluation), 1)
     taking_part = items.select(F.col(id_col).alias("id"), side.alias("side"), F.concat(F.array(question), values).alias("t")).where("side is not null and id is not null")
     rows = staged(taking_part, {"p": canonical_parts(F.col("t"))})
-    rows = rows.select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, 1_000_000)), SEP)).alias("text"))
+    rows = rows.select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, F.size("p"))), SEP)).alias("text"))
     classes = cut(
         rows.groupBy("text")
         .agg(F.min("id").alias("cid"), F.sum(1 - F.col("side")).alias("n_train"), F.sum("side").alias("n_eval"))
@@ -155,20 +160,21 @@ def cross_split_overlap(
         keys = classes.where(f"{present} > 0").select("cid", "text").mapInPandas(_band_rows, "cid long, keys array<long>")
         return keys.select(F.col("cid").alias(name), F.explode("keys").alias("bucket"))
 
-    pairs = (
-        bucketed("n_train", "train_cid")
-        .join(bucketed("n_eval", "eval_cid"), "bucket")
+    asked = cut(bucketed("n_eval", "eval_cid"))
+    per_bucket = asked.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(
+        salted_join(asked, bucketed("n_train", "train_cid"), "bucket", per_bucket, "eval_cid")
         .where("train_cid <> eval_cid")
         .groupBy("train_cid", "eval_cid")
         .agg(F.lit(1).alias("one"))
+        .drop("one")
     )
-    texts = classes.select("cid", "text")
-    links = (
-        pairs.join(texts.select(F.col("cid").alias("train_cid"), F.col("text").alias("a")), "train_cid")
-        .join(texts.select(F.col("cid").alias("eval_cid"), F.col("text").alias("b")), "eval_cid")
-        .where(_verified("a", "b"))
-        .select("train_cid", "eval_cid")
-    )
+
+    def with_text(rows: DataFrame, key: str, name: str, spread: str) -> DataFrame:
+        texts = classes.select(F.col("cid").alias(key), F.col("text").alias(name))
+        return salted_join(rows, texts, key, pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")), spread)
+
+    links = with_text(with_text(pairs, "train_cid", "a", "eval_cid"), "eval_cid", "b", "train_cid").where(_verified(F.col("a"), F.col("b"), wording)).select("train_cid", "eval_cid")
     same = classes.where("n_train > 0 and n_eval > 0").select(F.col("cid").alias("train_cid"), F.col("cid").alias("eval_cid"))
     return Overlap(rows, classes, cut(links.unionByName(same)))
 
@@ -182,12 +188,19 @@ def _members(o: Overlap) -> DataFrame:
 
 
 def overlap_pairs(items: DataFrame, **columns: str) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: every confirmed pair of a train and an evaluation record."""
+    """(id_a, id_b), id_a < id_b: every confirmed pair of a train and an evaluation record.
+
+    For a list of all pairs only; links and members say the same without
+    expanding groups of copies. A class with many members is spread over tasks.
+    """
     o = cross_split_overlap(items, **columns)
     members = cut(_members(o))
+    sides = o.classes.select(F.col("cid"), "n_train", "n_eval")
     left = members.where("side = 0").select(F.col("cid").alias("train_cid"), F.col("id").alias("train_id"))
     right = members.where("side = 1").select(F.col("cid").alias("eval_cid"), F.col("id").alias("eval_id"))
-    pairs = o.links.join(left, "train_cid").join(right, "eval_cid").where("train_id <> eval_id")
+    half = salted_join(left, o.links, "train_cid", sides.select(F.col("cid").alias("train_cid"), F.col("n_train").alias("n")), "train_id")
+    reached = o.links.join(sides.select(F.col("cid").alias("train_cid"), "n_train"), "train_cid").groupBy("eval_cid").agg(F.sum("n_train").alias("n"))
+    pairs = salted_join(half, right, "eval_cid", reached, "train_id").where("train_id <> eval_id")
     return pairs.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import cached_property
 
 # Wordings of exam questions that mean the same; the right form stands for the left one.
 SAME_WORDING = {
@@ -25,17 +28,49 @@ OPPOSITES = (
 DRUG_SYLLABLES = frozenset(
     "阿艾奥巴贝倍苯泊布单达丁多伐芬酚孚氟非格胺环己吉卡克拉来兰劳利林列罗洛隆氯麦霉美米莫尼诺帕哌培喷匹普齐曲瑞萨赛塞沙舍司他它坦汀替酮妥韦维沃西昔硝辛雅依伊乙扎唑佐酯丙甲"
 )
-#: Product of lengths from which texts are first aligned by a bounded edit script, the equal characters at which they are then taken apart, and those kept on either side.
-LONG, APART, CONTEXT = 1_000_000, 48, 16
+#: Equal characters at which two texts are taken apart, and those kept on either side.
+APART, CONTEXT = 48, 16
 #: Characters left out and put in of two texts that may differ by slips only: no more than twice ``most`` + 4, for the greatest ``most``.
 MOST_EDITS = 24
 NEGATIONS = "不未无勿"
 #: Words that may stand before or after an option without changing it.
-OPTION_SOFTENERS = re.compile(r"^(?:可考虑|考虑|可|宜)+|(?:为宜|等|者)+$")
+SOFT_BEFORE, SOFT_AFTER = ("可考虑", "考虑", "可", "宜"), ("为宜", "等", "者")
 
 _FIGURES = re.compile(r"[0-9]+(?:[.:][0-9]+)*|[-+%/×÷<>=~±≤≥≠≈]|[⁺⁻⁰¹²³⁴-⁹₀-₉]+|[一二三四五六七八九十]+(?=[度级期型号类])")
-_WORDS = re.compile("|".join(sorted(map(re.escape, SAME_WORDING), key=len, reverse=True)))
-_LABEL = re.compile("^(?:" + "|".join(sorted(LABELS, key=len, reverse=True)) + ")+")
+
+
+@dataclass(frozen=True)
+class Wording:
+    """What is light rewording, and what changes a question, in the language of the questions; all of it may be replaced."""
+
+    same: Mapping[str, str] = field(default_factory=lambda: SAME_WORDING)
+    labels: Sequence[str] = LABELS
+    opposites: Sequence[tuple[str, str]] = OPPOSITES
+    name_syllables: frozenset[str] = DRUG_SYLLABLES
+    negations: str = NEGATIONS
+    soft_before: Sequence[str] = SOFT_BEFORE
+    soft_after: Sequence[str] = SOFT_AFTER
+
+    @staticmethod
+    def _any(words: Iterable[str]) -> str:
+        return "|".join(sorted(map(re.escape, words), key=len, reverse=True)) or "(?!)"
+
+    @cached_property
+    def _patterns(self) -> tuple[re.Pattern[str], re.Pattern[str], re.Pattern[str]]:
+        soft = f"^(?:{self._any(self.soft_before)})+|(?:{self._any(self.soft_after)})+$"
+        return re.compile(self._any(self.same)), re.compile(f"^(?:{self._any(self.labels)})+"), re.compile(soft)
+
+    def unlabelled(self, question: str) -> str:
+        return self._patterns[1].sub("", question)
+
+    def reworded(self, question: str) -> str:
+        return self._patterns[0].sub(lambda m: self.same[m[0]], self.unlabelled(question))
+
+    def bare_option(self, option: str) -> str:
+        return self._patterns[2].sub("", option)
+
+
+MEDICAL_EXAM = Wording()
 
 
 def figures(text: str) -> tuple[str, ...]:
@@ -43,38 +78,29 @@ def figures(text: str) -> tuple[str, ...]:
     return tuple(_FIGURES.findall(text))
 
 
-def reworded(question: str) -> str:
-    return _WORDS.sub(lambda m: SAME_WORDING[m[0]], _LABEL.sub("", question))
-
-
 def _edits(a: str, b: str) -> list[tuple[str, str, int]]:
-    """(left out, put in, place) for each difference; equal ends are cut off before the slow comparison."""
+    """(left out, put in, place) for each difference, for texts of any length in time in proportion to it.
+
+    Equal ends are cut off, then texts are taken apart at the long equal runs of
+    a shortest edit script and the short pieces between are aligned. Texts
+    without a script of ``MOST_EDITS`` are one difference: every other way to
+    align them has as many edits or more, so that is too large for slips.
+    """
     n = min(len(a), len(b))
     head = next((i for i in range(n) if a[i] != b[i]), n)
     tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     if not x or not y:
         return [(x, y, head)] if x or y else []
-    if len(x) * len(y) > LONG:
-        return _walked(x, y, head)
-    return [(x[i1:i2], y[j1:j2], head + i1) for tag, i1, i2, j1, j2 in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if tag != "equal"]
-
-
-def _walked(x: str, y: str, head: int) -> list[tuple[str, str, int]]:
-    """Differences of two long texts: those of the short pieces between the long equal runs of a shortest edit script.
-
-    Texts without a script of ``MOST_EDITS`` are one difference. Every other
-    way to align them has as many edits or more, so that is too large for slips.
-    """
     runs = _equal_runs(x, y)
     if runs is None:
         return [(x, y, head)]
     out, i, j = [], 0, 0
-    for at_x, at_y, n in [*(r for r in runs if r[2] >= APART), (len(x), len(y), 0)]:
-        end_x, end_y = at_x + min(n, CONTEXT), at_y + min(n, CONTEXT)
+    for at_x, at_y, k in [*(r for r in runs if r[2] >= APART), (len(x), len(y), 0)]:
+        end_x, end_y = at_x + min(k, CONTEXT), at_y + min(k, CONTEXT)
         pieces = SequenceMatcher(None, x[i:end_x], y[j:end_y], autojunk=False).get_opcodes()
         out += [(x[i + i1 : i + i2], y[j + j1 : j + j2], head + i + i1) for tag, i1, i2, j1, j2 in pieces if tag != "equal"]
-        i, j = at_x + max(n - CONTEXT, 0), at_y + max(n - CONTEXT, 0)
+        i, j = at_x + max(k - CONTEXT, 0), at_y + max(k - CONTEXT, 0)
     return out
 
 
@@ -114,40 +140,40 @@ def _traced(trail: list[dict[int, int]], i: int, k: int) -> list[tuple[int, int,
     return runs[::-1]
 
 
-def _slips_only(a: str, b: str, most: int) -> bool:
+def _slips_only(a: str, b: str, most: int, w: Wording) -> bool:
     """a and b differ only by slips of the pen: single characters left out, doubled, swapped or mistaken."""
     if a == b:
         return True
-    if any(a.count(c) != b.count(c) for c in NEGATIONS):
+    if any(a.count(c) != b.count(c) for c in w.negations):
         return False
     edits = _edits(a, b)
     left = "".join(x for x, _, _ in edits)
     right = "".join(y for _, y, _ in edits)
     if len(edits) > most or sum(max(len(x), len(y)) for x, y, _ in edits) > most + 4:
         return False
-    for x, y in OPPOSITES:
+    for x, y in w.opposites:
         if (x in left and y in right and x not in right and y not in left) or (y in left and x in right and y not in right and x not in left):
             return False
     # what stands on both sides was only moved; a name replaced leaves different syllables on either side
     gone, come = [c for c in left if c not in right], [c for c in right if c not in left]
-    drug_gone, drug_come = sum(c in DRUG_SYLLABLES for c in gone), sum(c in DRUG_SYLLABLES for c in come)
+    drug_gone, drug_come = sum(c in w.name_syllables for c in gone), sum(c in w.name_syllables for c in come)
     if drug_gone and drug_come:
         return False
     swapped = sum(min(len(x), len(y)) for x, y, _ in edits if x and y and sorted(x) != sorted(y))
     return swapped <= 2 and all(max(len(x), len(y)) <= (3 if x and y else 5) for x, y, at in edits if at)
 
 
-def same_option(a: str, b: str) -> bool:
-    x, y = OPTION_SOFTENERS.sub("", a), OPTION_SOFTENERS.sub("", b)
-    return x == y or (figures(a) == figures(b) and min(len(x), len(y)) > 3 and abs(len(x) - len(y)) <= 2 and _slips_only(x, y, 2))
+def same_option(a: str, b: str, w: Wording = MEDICAL_EXAM) -> bool:
+    x, y = w.bare_option(a), w.bare_option(b)
+    return x == y or (figures(a) == figures(b) and min(len(x), len(y)) > 3 and abs(len(x) - len(y)) <= 2 and _slips_only(x, y, 2, w))
 
 
-def same_options(a: list[str], b: list[str]) -> bool:
+def same_options(a: list[str], b: list[str], w: Wording = MEDICAL_EXAM) -> bool:
     """Each option of a has its own partner in b, whatever their letters."""
     if len(a) != len(b):
         return False
     left, right = list(a), list(b)
-    for same in (lambda x, y: x == y, same_option):
+    for same in (lambda x, y: x == y, lambda x, y: same_option(x, y, w)):
         for x in list(left):
             hit = next((i for i, y in enumerate(right) if same(x, y)), None)
             if hit is not None:
@@ -156,9 +182,10 @@ def same_options(a: list[str], b: list[str]) -> bool:
     return not left
 
 
-def same_question(a: str, options_a: list[str], b: str, options_b: list[str]) -> bool:
+def same_question(a: str, options_a: list[str], b: str, options_b: list[str], w: Wording = MEDICAL_EXAM) -> bool:
     """The same question with the same options, up to slips, light rewording, labels and re-lettered options."""
-    if figures(_LABEL.sub("", a)) != figures(_LABEL.sub("", b)) or not same_options(options_a, options_b):
+    x, y = w.unlabelled(a), w.unlabelled(b)
+    if figures(x) != figures(y) or not same_options(options_a, options_b, w):
         return False
     # a slip within a wording hides it from one of the two forms, so both are tried
-    return _slips_only(reworded(a), reworded(b), 8) or _slips_only(_LABEL.sub("", a), _LABEL.sub("", b), 8)
+    return _slips_only(w.reworded(a), w.reworded(b), 8, w) or _slips_only(x, y, 8, w)

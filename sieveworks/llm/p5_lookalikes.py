@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveworks.operators.skew import digest
+from sieveworks.operators.skew import digest, lookup, salted_join
 from sieveworks.session import cut
 
-# Letters of other scripts that have the shape of a Latin letter.
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")
-CYRILLIC = ("АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухԁһԛԝӏ", "ABESIJKMHOPCTYXQWaesijopcyxdhqwl")
+# Letters of other scripts, and of the phonetic alphabet, that have the shape of a Latin letter.
+GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹονρϲϳ", "ABEZHIKMNOPTYXCovpcj")
+CYRILLIC = ("АВЕЅІЈКМНОРСТУХԚԜѴаеѕіјорсухԁһԛԝӏѵ", "ABESIJKMHOPCTYXQWVaesijopcyxdhqwlv")
+ARMENIAN = ("ՕՍԼօսհոցզյ", "OULouhngqj")
+COPTIC = ("ⲎⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HKMNOPCTXopc")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")
+LISU = ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ")
+PHONETIC = ("ɡɑ", "ga")
 # Radicals that have the shape of a whole character but no decomposition in Unicode.
 RADICALS = ("⺠⻅⻆⻉⻋⻓⻔⻘⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻬⻮⻰⻳", "民见角贝车长门青页风飞食马骨鬼鱼鸟卤麦黄齐齿龙龟")
 # Single signs that have the shape of others.
@@ -44,7 +49,7 @@ def _fold(c: str) -> str:
 
 
 def _build() -> tuple[dict[str, str], re.Pattern[str]]:
-    single = dict(zip(GREEK[0] + CYRILLIC[0] + RADICALS[0], GREEK[1] + CYRILLIC[1] + RADICALS[1])) | SIGNS
+    single = {a: b for theirs, ours in (GREEK, CYRILLIC, ARMENIAN, COPTIC, CHEROKEE, LISU, PHONETIC, RADICALS) for a, b in zip(theirs, ours, strict=True)} | SIGNS
     folds, unstable, joining, blank = {}, [], [], []
     for points in _LOOKED_AT:
         for i in points:
@@ -170,16 +175,20 @@ def lookalike_pairs(df: DataFrame, id_col: str = "row_id", question: str = "ques
 
     Rows that are equal in every character are first put together as one form,
     so plain repeats never meet each other; only forms that share a look are
-    paired, and pairs of forms are then spread over their members. Null question
+    paired, and pairs of forms are then spread over their members. A look or a form
+    that a third of all rows has is spread over tasks. Null question
     and answer count as empty, null options as none; a null id takes no part.
     """
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), question, options, answer)
     rows = cut(rows.select("id", digest(_record(question, options, answer)).alias("raw"), digest(record_form(question, options, answer)).alias("look")))
     forms = rows.groupBy("look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    several = forms.groupBy("look").agg(F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1")
-    forms = cut(forms.join(several.select("look"), "look"))
-    pairs = forms.select("look", F.col("raw").alias("raw_a")).join(forms.select("look", F.col("raw").alias("raw_b")), "look").where("raw_a <> raw_b")
-    members = cut(rows.join(forms.select("look", "raw"), ["look", "raw"]).select("id", "raw"))
-    left = members.select(F.col("raw").alias("raw_a"), F.col("id").alias("id_a"))
-    right = members.select(F.col("raw").alias("raw_b"), F.col("id").alias("id_b"))
-    return pairs.join(left, "raw_a").join(right, "raw_b").where("id_a < id_b").select("id_a", "id_b").distinct()
+    several = cut(forms.groupBy("look").agg(F.count(F.lit(1)).alias("n_forms")).where("n_forms > 1"))
+    forms = cut(lookup(forms, several, "look", "n_forms"))
+    one, other = (forms.select("look", F.col("raw").alias(f"raw_{x}")) for x in "ab")
+    pairs = cut(salted_join(one, other, "look", several.select("look", F.col("n_forms").alias("n")), "raw_a").where("raw_a <> raw_b").select("raw_a", "raw_b"))
+    members = cut(lookup(rows.select("id", "raw"), forms.select("raw", "n"), "raw", "n").select("id", "raw"))
+    left, right = (members.select(F.col("raw").alias(f"raw_{x}"), F.col("id").alias(f"id_{x}")) for x in "ab")
+    sizes = forms.select(F.col("raw").alias("raw_a"), "n")
+    half = salted_join(left, pairs, "raw_a", sizes, "id_a")
+    reached = pairs.join(sizes, "raw_a").groupBy("raw_b").agg(F.sum("n").alias("n"))
+    return salted_join(half, right, "raw_b", reached, "id_a").where("id_a < id_b").select("id_a", "id_b").distinct()

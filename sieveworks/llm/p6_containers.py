@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.llm.tokens import DEFAULT_VOCABULARY, token_count
-from sieveworks.operators.skew import spread_rank
+from sieveworks.operators.skew import bounded, spread_rank
 from sieveworks.session import cut
 
 #: Items of one length that a single task may number.
@@ -100,6 +100,10 @@ def _place(plans: dict[int, Plan]):
     return F.pandas_udf(place, T.LongType())
 
 
+#: Container sizes, each of which has a histogram on the driver; more are refused.
+MOST_SPECS = 1000
+
+
 def pieces(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, doc_id, piece, tokens): one row per text, or per piece of a text larger than the capacity."""
     held = {r["spec_id"]: r["capacity_tokens"] for r in specs.collect() if r["spec_id"] is not None and (r["capacity_tokens"] or 0) > 0}
@@ -126,6 +130,7 @@ def fill(documents: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCAB
     id are different items. A text larger than the capacity is cut into full
     pieces and a rest. An empty table fills no container.
     """
+    specs = bounded(specs, MOST_SPECS, "container sizes")
     sizes = cut(documents.select("doc_id", token_count(F.col("text"), vocabulary).alias("tokens")))
     items = pieces(sizes, specs)
     counted = items.groupBy("spec_id", "tokens").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -142,6 +147,7 @@ def fill(documents: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCAB
 
 def fill_report(documents: DataFrame, specs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(spec_id, capacity_tokens, n_items, n_containers, n_tokens, least_possible, fill): how full the containers are."""
+    specs = bounded(specs, MOST_SPECS, "container sizes")
     placed, _ = fill(documents, specs, vocabulary)
     sums = placed.groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("n"))
     per = sums.groupBy("spec_id").agg(F.sum("n").alias("n_items"), F.count(F.lit(1)).alias("n_containers"), F.sum("held").alias("n_tokens"), F.max("held").alias("fullest"))

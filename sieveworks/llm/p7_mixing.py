@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.llm.tokens import DEFAULT_VOCABULARY, token_count
-from sieveworks.operators.skew import spread_rank
+from sieveworks.operators.skew import bounded, spread_rank
 from sieveworks.session import cut
 
 SEED = "p7"
 #: Size classes to a doubling of the size, by which texts are ordered within a source.
 BINS = 16
+#: Lines of all mixes together, which are broadcast; more are refused.
+MOST_LINES = 100_000
 
 
 @dataclass(frozen=True)
@@ -28,6 +30,7 @@ class Line:
     available: int
     copies: float
     offset: float
+    feasible: float
 
 
 def _offset(mix_id: int, source: str) -> float:
@@ -58,12 +61,21 @@ def expected_copies(wanted: dict[str, tuple[float, int]], available: dict[str, i
     return copies
 
 
+def feasible_total(wanted: dict[str, tuple[float, int]], available: dict[str, int]) -> float:
+    """The largest total at which every source that is there can give its share (the shares of absent ones spread over the others)."""
+    there = {s: (share, cap) for s, (share, cap) in wanted.items() if share > 0 and available.get(s)}
+    shares = sum(share for share, _ in there.values())
+    return min((available[s] * cap * shares / share for s, (share, cap) in there.items()), default=0.0)
+
+
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[Line]:
     """The lines of every mix. Sizes are summed by source first; only sources that a mix names reach the driver.
 
     ``total_tokens`` is the size of each mix; by default as many tokens as its
-    sources have, each counted once.
+    sources have, each counted once. At more than ``feasible_total`` some source
+    must repeat beyond its cap and is left at it.
     """
+    targets = bounded(targets, MOST_LINES, "lines of mixes")
     named = targets.select("source").distinct()
     sums = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).join(F.broadcast(named), "source", "left_semi").collect()
     available = {r["source"]: r["tokens"] for r in sums}
@@ -75,11 +87,11 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     for mix_id, wanted in mixes.items():
         total = total_tokens if total_tokens is not None else sum(available.get(s, 0) for s in wanted)
         copies = expected_copies(wanted, available, total)
-        lines += [Line(mix_id, s, share, cap, available.get(s, 0), copies[s], _offset(mix_id, s)) for s, (share, cap) in wanted.items()]
+        lines += [Line(mix_id, s, share, cap, available.get(s, 0), copies[s], _offset(mix_id, s), feasible_total(wanted, available)) for s, (share, cap) in wanted.items()]
     return lines
 
 
-_LINE = "mix_id int, source string, target_share double, max_repeats int, available long, copies double, offset double"
+_LINE = "mix_id int, source string, target_share double, max_repeats int, available long, copies double, offset double, feasible double"
 
 
 def _measured(documents: DataFrame, vocabulary: str) -> DataFrame:
@@ -88,7 +100,7 @@ def _measured(documents: DataFrame, vocabulary: str) -> DataFrame:
 
 def _uses(sizes: DataFrame, lines: list[Line]) -> DataFrame:
     spark = sizes.sparkSession
-    table = spark.createDataFrame([(x.mix_id, x.source, x.target_share, x.max_repeats, x.available, x.copies, x.offset) for x in lines], _LINE)
+    table = spark.createDataFrame([astuple(x) for x in lines], _LINE)
     named = sizes.where("tokens > 0 and source is not null").withColumn("size_class", F.floor(F.log2("tokens") * BINS).cast("int"))
     ranked = spread_rank(named, ["source"], ["size_class"], ["doc_id"], "rank")
     joined = ranked.join(F.broadcast(table.where("copies > 0").select("mix_id", "source", "copies", "offset", "max_repeats")), "source")
@@ -117,17 +129,23 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
 
 
 def actual_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(mix_id, source, target_share, actual_share, available_tokens, used_tokens, texts_used, most_uses, capped), absent sources included."""
+    """(mix_id, source, target_share, actual_share, available_tokens, used_tokens, texts_used, most_uses, capped, feasible_tokens), absent sources included.
+
+    ``feasible_tokens`` is the largest size of the mix at which no cap binds, so
+    that all shares of the sources that are there can be met; give it as
+    ``total_tokens`` for a mix that meets them.
+    """
     sizes = _measured(documents, vocabulary)
     lines = plan(sizes, targets, total_tokens)
     used = _uses(sizes, lines).groupBy("mix_id", "source").agg(
         F.sum(F.col("tokens") * F.col("uses")).alias("used_tokens"), F.count(F.lit(1)).alias("texts_used"), F.max("uses").alias("most_uses")
     )
-    table = sizes.sparkSession.createDataFrame([(x.mix_id, x.source, x.target_share, x.max_repeats, x.available, x.copies, x.offset) for x in lines], _LINE)
+    table = sizes.sparkSession.createDataFrame([astuple(x) for x in lines], _LINE)
     joined = table.join(used, ["mix_id", "source"], "left").fillna(0, ["used_tokens", "texts_used", "most_uses"])
     whole = joined.groupBy("mix_id").agg(F.sum("used_tokens").alias("all_tokens"))
     share = F.when(F.col("all_tokens") > 0, F.bround(F.col("used_tokens") / F.col("all_tokens"), 6))
     return joined.join(F.broadcast(whole), "mix_id").select(
         "mix_id", "source", "target_share", share.alias("actual_share"), F.col("available").alias("available_tokens"), "used_tokens", "texts_used", "most_uses",
         ((F.col("copies") >= F.col("max_repeats")) | (F.col("available") == 0)).alias("capped"),
+        F.floor("feasible").cast("long").alias("feasible_tokens"),
     )

@@ -347,6 +347,12 @@ def test_mix_follows_targets_and_caps(spark):
         assert max(n) - min(n) <= 1 and max(n) <= 4
     small = p7.actual_shares(table, targets, 500).where("mix_id = 1").agg(F.sum("used_tokens")).first()[0]
     assert 300 <= small <= 700
+    # at the feasible size every share is met, those of absent sources spread over the others
+    targets = targets.where("source <> 'tiny'").unionByName(spark.createDataFrame([(3, "s0", 0.3, 1), (3, "s2", 0.7, 2)], targets.schema))
+    total = p7.actual_shares(table, targets).where("mix_id = 3").first()["feasible_tokens"]
+    met = {r["source"]: r for r in p7.actual_shares(table, targets, total).where("mix_id = 3").collect()}
+    assert met["s0"]["actual_share"] == pytest.approx(0.3, abs=0.01)
+    assert sum(r["used_tokens"] for r in met.values()) == pytest.approx(total, rel=0.02)
     assert p7.mixed(table.limit(0), targets).count() == 0
 
 
