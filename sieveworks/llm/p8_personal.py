@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 # Chinese surnames, the first of the traditional list and some frequent ones, then surnames of two characters.
 SURNAMES = (
     "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常"
-    "乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林钟徐邱骆高夏蔡田樊胡凌霍虞万柯管卢莫房丁邓洪包左石崔吉龚程邢裴陆荣翁叶白"
+    "乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林钟徐邱骆高夏蔡田樊胡凌霍虞万柯管卢莫房丁邓洪包左石崔吉龚程邢裴陆荣翁段侯武刘景詹龙叶黎白廖易曾肖覃聂耿阎申关牛辛游温"
 )
 TWO_SURNAMES = ("欧阳", "司徒", "上官", "诸葛", "慕容", "司马", "夏侯", "皇甫", "尉迟", "公孙", "令狐", "宇文", "长孙", "轩辕", "东方", "南宫", "西门", "独孤", "端木", "百里")
 # Digits as they may be written.
@@ -78,8 +78,8 @@ _PHONES = (
     (re.compile(r"(?<![〇零一二三四五六七八九])一[三四五六七八九][〇零一二三四五六七八九]{9}(?![〇零一二三四五六七八九])"), 1.0),
     # area code and number
     (re.compile(rf"(?<![0-9０-９A-Za-z.\-+])(?:\+?86[ \-]?)?(?:[(（]0{_D}{{2,3}}[)）][ \-]?|0{_D}{{2,3}}[ \-]){_D}{{7,8}}(?![0-9０-９A-Za-z])"), 1.0),
-    # North American numbers
-    (re.compile(r"(?<![0-9A-Za-z.\-+(])(?:\+?1[ \-.])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ \-.])\d{3}[ \-.]\d{4}(?![0-9A-Za-z\-])"), 1.0),
+    # North American numbers; three, three and four digits may be many things, so a word before them must speak for a number to call
+    (re.compile(r"(?<![0-9A-Za-z.\-+(])(?:\+?1[ \-.])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ \-.])\d{3}[ \-.]\d{4}(?![0-9A-Za-z\-])"), 0.8),
     # other numbers with a country's code
     (re.compile(r"(?<![0-9A-Za-z])\+\d{1,3}(?:[ \-.]?\(?\d{2,5}\)?){2,4}(?![0-9A-Za-z])"), 1.0),
 )
@@ -129,6 +129,25 @@ _NAME_CUES = (
     (re.compile(rf"(?:Contact person:|[Ss]igned by|Dr\.|Mr\.|Mrs\.|Ms\.|Prof\.|[Nn]ame is|[Nn]ame:|[Nn]ext of kin:|[Aa]ccompanied by)\s?({_EN_NAME})(?![A-Za-z])"), 3.0),
     (re.compile(rf"(?:^|[。.!?\n：:]\s?|\s)({_EN_NAME})(?= (?:asked|reviewed|called|signed|said|reported|wrote|requested|told|noted|phoned|visited)\b)", re.MULTILINE), 2.5),
 )
+# Characters that given names are often made of.
+GIVEN = frozenset(
+    "伟芳娜秀英敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂文辉玲红建国华梅琴云莲真雪荣爱妹香月莺媛瑞凡佳嘉琼勤珍贞莉欣怡婷雅宁倩思晨宇浩然轩博俊豪鑫鹏飞龙斌波峰亮东海山仁志义兴良成康星光天达安岩中茂进林有坚和彪诚先敬震振壮会群"
+    "心邦承乐绍功松善厚庆民友裕河哲江浦子佩琪雷晓春燕玉淑慧巧美惠珠翠芝萍芬彩菊凤洁琳素卿聪澜纯毓悦昭冰爽琬茗羽希育滢馥筠柔竹凝欢霄枫芸菲寒伊亚宜可姬舒影荔枝丹蓉眉君蕊薇菁梦岚苑婕馨瑗韵融园艺咏霭凌阳睿泽梓涵诗"
+)
+# Words that begin with a surname and go on like a given name but are none.
+NO_NAMES = frozenset("安静 安宁 安康 安可 平安 平静 文静 方才 高兴 高龄 高飞 华东 明天 明月 黄山 金山 金星 江山 江海 江东 江心 白天 白云 白羽 白雪 和平 和善 康宁 成红 常会 常有 常可 单有 石英 马会 麻心 高达 任可 万有 于心 时有 时可 余有 温和 安平 卫东 莫中 顾心 何有 和中".split())
+_GIVEN_NAME = rf"(?:(?:{'|'.join(TWO_SURNAMES)})|[{SURNAMES}])[{''.join(sorted(GIVEN))}]{{1,2}}"
+_PERSON_BEFORE = r"(?:患者|病人|患儿|产妇|护士长|护士|医师|医生|主任|教授|同学|同事|邻居|联系|通知|致电|询问|告知|陪护|(?:[其她他][父母子女夫妻])|丈夫|妻子|儿子|女儿|父亲|母亲|家属)"
+_PERSON_AFTER = (
+    r"(?:先生|女士|小姐|同志|老师|医生|医师|护士|主任|教授|说|称|表示|告诉|自述|主诉|反映|补充|询问|今天|昨天|明天|今日|昨日|目前|现已|入院|出院|住院|就诊|来院|来诊|值班|查房|接诊|签字|陪同"
+    r"|的(?:丈夫|妻子|父亲|母亲|儿子|女儿|家属|电话|手机|身份证|床位)|[（(](?:主任|护士|医生|医师|教授|患者|家属|本人|其))"
+)
+#: What speaks for a name that no cue above introduces: being one by its make, the words on either side, the bounds of a clause.
+NAME_WEIGHTS = {"make": 0.4, "person_before": 0.7, "sentence_before": 0.3, "clause_before": 0.1, "person_after": 0.5, "clause_after": 0.2}
+_MADE_NAME = re.compile(
+    rf"(?:(?P<person>{_PERSON_BEFORE}[:：]?\s?)|(?P<sentence>(?:^|[。！？!?\n：:])\s?)|(?P<clause>[，,；;、（(]\s?))(?P<name>{_GIVEN_NAME}?)(?:(?P<after>(?={_PERSON_AFTER}))|(?P<end>(?=[，。；、！？,;!?（(）)\s]|$)))",
+    re.MULTILINE,
+)
 _EN_STARTERS = frozenset("The If No Option Ward Please Trial Specimen Questions Picked Deliver See Call Contact Patient Doctor Tel Dr Mr Mrs Ms And But When".split())
 _SPLIT = re.compile(r"[、和及与]")
 
@@ -166,7 +185,7 @@ def _numbers(text: str) -> list[Span]:
             found.append(Span("id_number", *m.span(), score))
     for m in _SSN.finditer(text):
         before = _before(text, m.start())
-        found.append(Span("id_number", *m.span(), 1.0 - (3.0 if _NEGATIVE.search(before) else 0.0) + (1.0 if _POSITIVE["id_number"].search(before) else 0.0)))
+        found.append(Span("id_number", *m.span(), 0.8 - (3.0 if _NEGATIVE.search(before) else 0.0) + (1.0 if _POSITIVE["id_number"].search(before) else 0.0)))
     for pattern, base in _PHONES:
         for m in pattern.finditer(text):
             before = _before(text, m.start())
@@ -238,6 +257,18 @@ def _names(text: str, taken: list[Span]) -> list[Span]:
                     found.append(Span("name", place, place + len(part), score - 1.0))
                 place += len(part) + 1
             at = max(m.end(1), at + 1)
+    return found + _names_by_make(text, taken + found)
+
+
+def _names_by_make(text: str, taken: list[Span]) -> list[Span]:
+    """Surname and given name as such, whose score comes from the context on both sides."""
+    found = []
+    w = NAME_WEIGHTS
+    for m in _MADE_NAME.finditer(text):
+        before = w["person_before"] if m["person"] is not None else w["sentence_before"] if m["sentence"] is not None else w["clause_before"]
+        score = w["make"] + before + (w["person_after"] if m["after"] is not None else w["clause_after"])
+        if m["name"] not in NO_NAMES and not any(s.start < m.end("name") and m.start("name") < s.end for s in taken):
+            found.append(Span("name", *m.span("name"), round(score, 3)))
     return found
 
 
