@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sieveworks import session
 from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, rewards, sampling, scoring, select, similarity, skew, templates
 
 ITEM = "item_id long, question string, options map<string,string>, answer string, question_type string, exam_type string, junk string"
@@ -134,6 +135,16 @@ def test_lookup_with_hot_and_null_keys(spark):
     assert got.count() == 60 and got.where("key = 'hot'").count() == 40
 
 
+def test_a_freed_cut_is_gone_and_others_stay(spark):
+    one, other = session.cut(spark.range(10)), session.cut(spark.range(5))
+    assert one.count() == 10
+    session.free(one)
+    session.free(spark.range(3))
+    assert other.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        spark.read.parquet(one._cut_path).count()
+
+
 def test_salted_join_with_a_hot_key_on_both_sides(spark):
     left = [(i, None if i == 0 else 7 if i % 3 else i % 11) for i in range(300)]
     right = [(i, 7 if i % 4 == 0 else i) for i in range(40)] + [(99, None)]
