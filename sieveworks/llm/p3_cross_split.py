@@ -15,7 +15,7 @@ from sieveworks.functions.rules import staged
 from sieveworks.llm.canon import canonical_parts
 from sieveworks.llm.p3_verify import MEDICAL_EXAM, Wording, figures, same_question
 from sieveworks.operators.skew import digest, lookup, salted_join
-from sieveworks.session import cut
+from sieveworks.session import cut, free
 
 SHINGLE = 3
 #: Two records at the threshold share a bucket with a probability of 0.964.
@@ -28,7 +28,7 @@ SEP = "\u0001\u0001"
 
 @dataclass
 class Overlap:
-    """``classes``: one row per distinct text (cid, key, n_train, n_eval, text); ``links``: verified (train_cid, eval_cid)."""
+    """``rows``: (id, side, key); ``classes``: one row per distinct text (cid, key, n_train, n_eval, text); ``links``: verified (train_cid, eval_cid)."""
 
     rows: DataFrame
     classes: DataFrame
@@ -53,11 +53,12 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(texts, bands) keys of 40 bits: minwise hashes of the shingles, with the text's figures mixed in.
+    """(texts, bands) keys of 40 bits: minwise hashes of the shingles, with the figures of question and options mixed in.
 
-    Figures must be equal for two records to be the same, so they may be part
-    of the key: that loses no true pair and keeps records of one template,
-    which differ only in their numbers, out of each other's buckets.
+    Figures must be equal for two records to be the same, those of each option
+    as well, so they may be part of the key: that loses no true pair and keeps
+    records of one template, which differ only in their numbers, and records
+    with more or fewer options, out of each other's buckets.
     """
     if not texts:
         return np.zeros((0, bands), dtype=np.int64)
@@ -65,7 +66,7 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
     rng = np.random.default_rng(20240601)
     mul = rng.integers(1, 2**31, size=bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2**32, size=bands * rows, dtype=np.uint32)
-    figs = np.fromiter((hash_text("|".join(figures(t.split(SEP, 1)[0]))) for t in texts), dtype=np.uint64, count=len(texts))
+    figs = np.fromiter((hash_text(figure_key(t)) for t in texts), dtype=np.uint64, count=len(texts))
     out = np.empty((len(texts), bands), dtype=np.int64)
     for band in range(bands):
         key = figs + np.uint64(band)
@@ -78,6 +79,12 @@ def band_keys(texts: list[str], bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return out
 
 
+def figure_key(text: str) -> str:
+    """Figures of the question, then those of each option in sorted order."""
+    question, *options = text.split(SEP)
+    return "|".join(figures(question)) + "\u0003" + "\u0003".join(sorted("|".join(figures(o)) for o in options))
+
+
 def hash_text(text: str) -> int:
     """FNV-1a over the text's bytes; the same in every process."""
     h = 0xCBF29CE484222325
@@ -150,11 +157,14 @@ def cross_split_overlap(
     taking_part = items.select(F.col(id_col).alias("id"), side.alias("side"), F.concat(F.array(question), values).alias("t")).where("side is not null and id is not null")
     rows = staged(taking_part, {"p": canonical_parts(F.col("t"))})
     rows = rows.select("id", "side", F.concat_ws(SEP, F.col("p")[0], F.array_join(F.array_sort(F.slice("p", 2, F.size("p"))), SEP)).alias("text"))
+    whole = cut(rows.withColumn("key", digest(F.col("text"))))
+    rows = cut(whole.select("id", "side", "key"))
     classes = cut(
-        rows.groupBy("text")
+        whole.groupBy("text")
         .agg(F.min("id").alias("cid"), F.sum(1 - F.col("side")).alias("n_train"), F.sum("side").alias("n_eval"))
         .select("cid", digest(F.col("text")).alias("key"), "n_train", "n_eval", "text")
     )
+    free(whole)
 
     def bucketed(present: str, name: str) -> DataFrame:
         keys = classes.where(f"{present} > 0").select("cid", "text").mapInPandas(_band_rows, "cid long, keys array<long>")
@@ -183,8 +193,7 @@ def _members(o: Overlap) -> DataFrame:
     """(id, side, cid) of the records whose class has a link."""
     linked = o.links.select(F.col("train_cid").alias("cid")).unionByName(o.links.select(F.col("eval_cid").alias("cid"))).distinct()
     keys = cut(o.classes.select("cid", "key", (F.col("n_train") + F.col("n_eval")).alias("n")).join(linked, "cid"))
-    rows = cut(o.rows.select("id", "side", digest(F.col("text")).alias("key")))
-    return lookup(rows, keys, "key", "n").select("id", "side", "cid")
+    return lookup(o.rows, keys, "key", "n").select("id", "side", "cid")
 
 
 def overlap_pairs(items: DataFrame, **columns: str) -> DataFrame:
