@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from sieveworks.functions.text import stripped
 
-# Names of the fields of a structured case answer.
+# Names of the fields of a structured case answer, in the order in which they are looked for.
 FIELD_NAMES: Mapping[str, Sequence[str]] = {
-    "primary_diagnosis": ("primary_diagnosis", "主诊断", "主要诊断"),
-    "diagnostic_basis": ("diagnostic_basis", "诊断依据"),
-    "differential_diagnoses": ("differential_diagnoses", "鉴别诊断"),
-    "recommended_actions": ("recommended_actions", "下一步建议", "建议", "处理建议"),
-    "risk_flags": ("risk_flags", "风险提示", "注意事项"),
+    "primary_diagnosis": ("主诊断", "主要诊断", "primary_diagnosis"),
+    "diagnostic_basis": ("诊断依据", "diagnostic_basis"),
+    "differential_diagnoses": ("鉴别诊断", "differential_diagnoses"),
+    "recommended_actions": ("下一步建议", "recommended_actions", "建议", "处理建议"),
+    "risk_flags": ("风险提示", "risk_flags", "注意事项"),
 }
 
 

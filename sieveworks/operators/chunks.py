@@ -36,7 +36,7 @@ def chunk_arrays(documents: DataFrame, text: str, size: int = 250, overlap: int
     rows = staged(rows, {"__end": F.aggregate("__pieces", start, step)})
     done = F.when(F.col("__end.open") != "", F.concat("__end.done", F.array("__end.open"))).otherwise(F.col("__end.done"))
     rows = staged(rows, {"__cut": F.transform(done, F.trim)})
-    joined = F.zip_with("__cut", F.slice("__cut", 2, 1_000_000), lambda c, n: F.when(n.isNull(), c).otherwise(F.trim(F.concat(c, F.lit(" "), F.substring(n, 1, overlap)))))
+    joined = F.zip_with("__cut", F.slice("__cut", F.lit(2), F.greatest(F.size("__cut"), F.lit(0))), lambda c, n: F.when(n.isNull(), c).otherwise(F.trim(F.concat(c, F.lit(" "), F.substring(n, 1, overlap)))))
     return rows.withColumn(out, joined if overlap else F.col("__cut")).drop("__sentences", "__joint", "__pieces", "__end", "__cut")
 
 

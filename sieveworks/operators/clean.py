@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import choices, text
 from sieveworks.functions.rules import all_hits, first_hit, staged
+from sieveworks.operators.sampling import hash_sample
+from sieveworks.session import cut
 
 DUPLICATE = "duplicate_normalized_question_options"
 
@@ -73,20 +77,31 @@ def signature(normal: bool = False) -> Column:
 def clean_and_deduplicate(items: DataFrame, order_by: str = "item_id", **columns: str) -> DataFrame:
     """``cleaned`` with duplicates rejected: of the accepted rows with one signature the first by ``order_by`` stays.
 
-    Only rows that passed all other rules can shadow a later one. The first of
-    each signature is found by aggregation with map-side combine and joined by
-    the row's id, which no signature makes hot.
+    Only rows that passed all other rules can shadow a later one. The cascade
+    runs once, before a cut. Every row has a key of its own, drawn at the cut, so
+    rows with equal ``order_by`` (or null, which comes last) are told apart and
+    just one stays. The first of each signature is found by aggregation with
+    map-side combine and joined by that key, which no signature makes hot.
     """
-    rows = cleaned(items, **columns).withColumn("sig", F.when(F.col("reject_reason").isNull(), signature()))
-    firsts = rows.where("sig is not null").groupBy("sig").agg(F.min(order_by).alias("__first"))
-    marked = rows.join(firsts.select(F.col("__first").alias("__keep")), F.col(order_by) == F.col("__keep"), "left")
+    return _first_wins(cut(_signed(items, **columns)), order_by).drop("__sig", "__row")
+
+
+def _signed(items: DataFrame, **columns: str) -> DataFrame:
+    return cleaned(items, **columns).withColumns({"__sig": F.when(F.col("reject_reason").isNull(), F.unhex(signature())), "__row": F.monotonically_increasing_id()})
+
+
+def _first_wins(rows: DataFrame, order_by: str) -> DataFrame:
+    firsts = rows.where("__sig is not null").groupBy("__sig").agg(F.min(F.struct(F.col(order_by).isNull(), order_by, "__row")).alias("f")).select(F.col("f.__row").alias("__keep"))
+    marked = rows.join(firsts, F.col("__row") == F.col("__keep"), "left")
     duplicate = F.col("reject_reason").isNull() & F.col("__keep").isNull()
-    return marked.withColumn("reject_reason", F.when(duplicate, DUPLICATE).otherwise(F.col("reject_reason"))).drop("__keep", "sig")
+    return marked.withColumn("reject_reason", F.when(duplicate, DUPLICATE).otherwise(F.col("reject_reason"))).drop("__keep")
 
 
-def reject_counts(items: DataFrame, **kw: str) -> DataFrame:
-    rows = clean_and_deduplicate(items, **kw)
-    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+def reject_counts(items: DataFrame, order_by: str = "item_id", **columns: str) -> DataFrame:
+    """(reject_reason, n); only reasons and digests of rows are kept on the way, not their texts."""
+    slim = cut(_signed(items, **columns).select(order_by, "reject_reason", "__sig", "__row"))
+    counts = _first_wins(slim, order_by).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason")).agg(F.count(F.lit(1)).alias("n"))
+    return counts
 
 
 def duplicate_groups(keyed: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -107,3 +122,38 @@ def best_of_group(rows: DataFrame, key: str, id_col: str, quality: list[Column])
 
 def rendered(row_options: Column) -> Column:
     return choices.rendered_options(row_options)
+
+
+def raw_signature(question: Column, options: Column) -> Column:
+    """Question and options as JSON with sorted keys, nothing normalised; null options count as none."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    entries = F.transform(choices.sorted_entries(options), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"])))
+    return F.concat(F.lit('{"o": {'), F.array_join(entries, ", "), F.lit('}, "q": '), quoted(F.coalesce(question, F.lit(""))), F.lit("}"))
+
+
+def duplicate_views(keyed: DataFrame, views: Sequence[str]) -> DataFrame:
+    """(view, groups, rows_in_groups, duplicate_rows) of several signatures of the same rows."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.xxhash64(v).alias("a"), F.md5(v).alias("key")) for v in views])).alias("s")
+    groups = keyed.select(each).groupBy("s.view", "s.key").agg(F.count(F.lit(1)).alias("n"))
+    many = F.col("n") > 1
+    total = lambda c: F.coalesce(F.sum(F.when(many, c)), F.lit(0))
+    return groups.groupBy("view").agg(F.count_if(many).alias("groups"), total(F.col("n")).alias("rows_in_groups"), total(F.col("n") - 1).alias("duplicate_rows"))
+
+
+def has_basics(question: Column, options: Column, answer: Column) -> Column:
+    """Question and answer are there, and three options."""
+    there = lambda x: F.coalesce(x, F.lit("")) != ""
+    return there(question) & there(answer) & (F.coalesce(F.cardinality(options), F.lit(0)) >= 3)
+
+
+def filtered(items: DataFrame, quality: Column, difficulty: Column, id_col: str, least_quality: float = 0.0, only: str | None = None, most: int | None = None, seed: str = "42") -> DataFrame:
+    """Rows with ten characters of question, three options, the least quality and the one difficulty; if more than ``most``, a sample of so many."""
+    kept = items.where((F.length("question") >= 10) & (F.coalesce(F.cardinality("options"), F.lit(0)) >= 3) & (quality >= least_quality))
+    if only is not None:
+        kept = kept.where(difficulty == only)
+    return kept if most is None else hash_sample(kept, id_col, most, seed)
+
+
+def sample_id_of(sample_id: Column, other_id: Column, rank: Column, index: Column) -> Column:
+    """The first id that is there: the row's, its other one, its rank less one, its place."""
+    return F.coalesce(sample_id.cast("string"), other_id.cast("string"), (rank.try_cast("long") - 1).cast("string"), index.cast("string"))

@@ -104,7 +104,7 @@ def strictly_paired(conversation: Column) -> Column:
     and a turn out of its place is left out.
     """
     first = F.get(conversation, F.lit(0))["from"]
-    body = F.when(F.coalesce(first, F.lit("")) != "human", F.slice(conversation, 2, 1_000_000)).otherwise(conversation)
+    body = F.when(F.coalesce(first, F.lit("")) != "human", F.slice(conversation, F.lit(2), F.greatest(F.size(conversation), F.lit(0)))).otherwise(conversation)
     known = F.transform(body, lambda t: F.coalesce(t["from"].isin("human", "gpt"), F.lit(False)))
     stop = F.array_position(known, F.lit(False))
     body = F.when(stop > 0, F.slice(body, F.lit(1), F.greatest(stop.cast("int") - 1, F.lit(0)))).otherwise(body)
@@ -170,3 +170,31 @@ def last_turns(history: Column, n: int) -> Column:
 def exploded_prefixes(rows: DataFrame, id_col: str, messages: Column) -> DataFrame:
     """(id, sample, messages): one row for each prefix."""
     return rows.select(id_col, F.posexplode(prefixes(messages)).alias("sample", "messages"))
+
+
+def assistant_text(conversation: Column) -> Column:
+    """Value of the last turn, whoever speaks; empty if there is none."""
+    return F.coalesce(F.try_element_at(conversation, F.lit(-1))["value"], F.lit(""))
+
+
+def source_format(conversation: Column, given: Column) -> Column:
+    """The given format, else told from the labels in the last turn."""
+    last = assistant_text(conversation)
+    told = F.when(F.contains(last, F.lit("分析：")) & F.contains(last, F.lit("答案：")), "cot_teacher_deepseek").when(F.startswith(last, F.lit("答案：")), "direct_answer").otherwise("unknown")
+    return F.when(F.coalesce(given, F.lit("")) != "", given).otherwise(told)
+
+
+def usable_messages(messages: Column) -> Column:
+    """role and content of messages that end with the assistant; null for empty ones and others."""
+    return F.when(F.try_element_at(messages, F.lit(-1))["role"] == "assistant", F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))))
+
+
+def system_and_rest(messages: Column) -> Column:
+    """struct(system, rest): the text of a first system message (empty if there is none) and the messages after it."""
+    first = F.coalesce(F.get(messages, F.lit(0))["role"] == "system", F.lit(False))
+    return F.struct(F.when(first, F.get(messages, F.lit(0))["content"]).otherwise("").alias("system"), F.when(first, F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages).alias("rest"))
+
+
+def conversations_only(rows: DataFrame, items: str = "items") -> DataFrame:
+    """The column of conversations alone, under its usual name."""
+    return rows.select(F.col(items if items in rows.columns else "conversations").alias("conversations"))

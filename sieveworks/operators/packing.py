@@ -85,7 +85,7 @@ def supervised(turns: Column, most: int, eos: int, train_on_inputs: bool = False
         total = F.greatest(ns + nt, F.lit(1))
         source = F.slice(t["source"], 1, F.least(ns, (most * (ns / total)).cast("int")))
         target = F.slice(t["target"], 1, F.least(nt, F.greatest((most * (nt / total)).cast("int") - 1, F.lit(0))))
-        source = F.when(F.get(source, F.lit(0)) == eos, F.slice(source, 2, 1_000_000)).otherwise(source)
+        source = F.when(F.get(source, F.lit(0)) == eos, F.slice(source, F.lit(2), F.size(source))).otherwise(source)
         target = F.when(F.get(target, F.size(target) - 1) == eos, F.slice(target, F.lit(1), F.greatest(F.size(target) - 1, F.lit(0)))).otherwise(target)
         full = s["full"] | (F.size(s["ids"]) + F.size(source) + F.size(target) + 1 > most)
         end = F.array(F.lit(eos))
@@ -111,3 +111,8 @@ def padded(ids: Column, block: int, pad: int) -> Column:
 
 def has_trained_labels(labels: Column) -> Column:
     return F.exists(labels, lambda x: x != IGNORED)
+
+
+def within_token_budget(ids: Column, most: int, least: int = 1) -> Column:
+    """From ``least`` to ``most`` tokens."""
+    return F.size(ids).between(least, most)

@@ -27,14 +27,14 @@ def _filled(items: Column) -> Column:
 
 
 def review_rule(case: Column, target: Column, risk_level: Column, completeness: Column) -> Column:
-    """Id of the first rule of the review that a candidate breaks; null if it passes."""
+    """Ids of the first rule of the review that a candidate breaks, with those that go with it; an empty list if it passes."""
     t = text.stripped(case)
     basis, differentials = _filled(target["diagnostic_basis"]), _filled(target["differential_diagnoses"])
     actions, risks = _filled(target["recommended_actions"]), _filled(target["risk_flags"])
     urgent = F.coalesce(risk_level.isin("urgent", "emergent"), F.lit(False))
     partial = F.coalesce(completeness.isin("partially_missing", "critically_missing"), F.lit(False))
     joined = lambda a: F.array_join(a, " ")
-    return first_hit(
+    name = first_hit(
         [
             ("R-QUAL-002", F.length(t) < 18),
             ("R-QUAL-008", text.is_noisy(t)),
@@ -49,10 +49,12 @@ def review_rule(case: Column, target: Column, risk_level: Column, completeness:
             ("R-QUAL-010", (F.length(t) < 32) & text.any_hint(t, GENERIC) & ~text.any_hint(t, ("患者", "病例"))),
         ]
     )
+    # a differential that repeats the diagnosis breaks the rule on differentials too
+    return F.when(name == "R-REVIEW-005", F.array(F.lit("R-QUAL-006"), name)).when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
 
 
 def organised(rows: DataFrame, id_col: str, key: Column, quality: list[Column], lists: list[tuple[str, DataFrame, Column]], rule: Column) -> DataFrame:
-    """``rows`` with status, rule and duplicate_of.
+    """``rows`` with status, hit_rules (a list) and duplicate_of.
 
     Duplicates of equal ``key`` are decided first (best quality stays, of equals
     the least id), then leakage into one of ``lists`` in their order, then the
@@ -65,13 +67,13 @@ def organised(rows: DataFrame, id_col: str, key: Column, quality: list[Column],
     twin = F.col("__best").isNotNull() & (F.col("__best") != F.col(id_col))
     status = first_hit(
         [
-            ("rejected_duplicate", twin), ("rejected_leakage", F.col("blocked_by").isNotNull()), ("needs_manual_review", F.startswith("__rule", F.lit("R-REVIEW"))),
-            ("rejected_low_quality", F.col("__rule").isNotNull()),
+            ("rejected_duplicate", twin), ("rejected_leakage", F.col("blocked_by").isNotNull()), ("needs_manual_review", F.exists("__rule", lambda r: F.startswith(r, F.lit("R-REVIEW")))),
+            ("rejected_low_quality", F.size("__rule") > 0),
         ],
         "accepted",
     )
-    hit = F.when(twin, F.lit("R-DUP-001")).when(F.col("blocked_by").isNotNull(), F.col("blocked_by")).otherwise(F.col("__rule"))
-    return marked.withColumns({"status": status, "rule": hit, "duplicate_of": F.when(twin, F.col("__best"))}).drop("__k", "__rule", "__best", "blocked_by")
+    hit = F.when(twin, F.array(F.lit("R-DUP-001"))).when(F.col("blocked_by").isNotNull(), F.array("blocked_by")).otherwise(F.col("__rule"))
+    return marked.withColumns({"status": status, "hit_rules": hit, "duplicate_of": F.when(twin, F.col("__best"))}).drop("__k", "__rule", "__best", "blocked_by")
 
 
 def case_difficulty(case: Column, hard: tuple[str, ...], easy: tuple[str, ...]) -> Column:

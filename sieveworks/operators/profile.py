@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -42,9 +42,10 @@ def quantiles(rows: DataFrame, value: Column, points: Sequence[float] = (0.5, 0.
 
 def upper_median(rows: DataFrame, value: Column) -> DataFrame:
     """The value at place n // 2 of the ordered values."""
-    v = rows.select(value.alias("v")).where("v is not null")
-    n = v.count()
-    return v.orderBy("v").offset(n // 2).limit(1)
+    counts = rows.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # a running sum over the distinct values; equal ones are counted before they are moved
+    upto = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("v")), "total": F.sum("n").over(Window.partitionBy())})
+    return upto.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("v")).where("v is not null")
 
 
 def binned(rows: DataFrame, value: Column, bins: Sequence[tuple[str, float]], lowest: str) -> DataFrame:
@@ -84,3 +85,12 @@ def shifted_accuracy(pred: Column, labels: Column, ignored: int = -100) -> Colum
 
 def perplexity(rows: DataFrame, nll: Column, length: Column) -> DataFrame:
     return rows.agg(F.bround(F.exp(F.sum(nll) / F.sum(length)), 6).alias("perplexity"))
+
+
+def observed(rows: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """``rows`` whose number, and number of rows with no null, are counted as they pass; read them from the observation after an action."""
+    seen = Observation(name)
+    whole = F.lit(True)
+    for c in rows.columns:
+        whole = whole & F.col(c).isNotNull()
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("whole_rows")), seen

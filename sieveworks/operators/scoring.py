@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,26 @@ CASE_INDICATORS = (
     r"(查体|体格检查|辅助检查|血常规|尿常规|CT|MRI|超声|心电图|胸片|影像|WBC|BP|血氧|体温|℃|°C)",
     r"(发热|疼痛|胸痛|腹痛|咳|咳痰|呕吐|头痛|气短|气促|水肿|乏力|出血|黄疸|尿频|腹泻)",
 )
+# Words by which a case text is flagged.
+SYMPTOM_HINTS = ("患者", "病人", "主诉", "现病史", "体格检查", "辅助检查", "发热", "疼痛", "咳", "呕吐", "腹", "胸", "头痛")
+GENERIC_QUESTION_HINTS = ("怎么办", "严重吗", "吃什么药", "用法用量", "简介", "是什么")
+IMAGE_HINTS = ("图片", "照片", "片子", "报告单", "上传")
+SAFETY_HINTS = ("自杀", "去死", "不想活", "生不如死")
+# Words of the departments, of high risk and of a need for differential diagnoses, of hard and easy cases.
+DEPARTMENT_WORDS = {
+    "呼吸": "肺炎 支气管 肺 呼吸道 咳嗽 咳痰 咯血 哮喘 COPD 慢阻肺 气胸 胸腔 肺栓塞 胸水 胸痛 呼吸 肺结核 肺癌 肺脓肿 ARDS 肺水肿 脓胸 流感".split(),
+    "消化": "胃 肠 肝 胆 胰腺 食管 消化道 胃肠 肝功能 黄疸 腹水 腹胀 腹痛 恶心 呕吐 呕血 黑便 消化性溃疡 胃炎 肝炎 肝硬化 胆囊炎 阑尾 结肠 痢疾 胃肠炎 胰腺炎 胃潴留 幽门 肠梗阻 短肠 肠易激".split(),
+    "心血管": "心 血压 冠心病 心肌 心电图 心律 心衰 心梗 主动脉 心脏 心包 瓣膜 高血压 低血压 胸闷 心悸 动脉 血管 夹层 心绞痛 心源性 嗜铬细胞瘤 心肌炎 心包炎 肺动脉 先心病".split(),
+    "神经": "脑 神经 意识 头痛 头晕 癫痫 脑卒中 脑血管 偏瘫 肢体 麻木 语言 面瘫 帕金森 痴呆 脑炎 脑梗 脑出血 颅内 眩晕 晕厥 谵妄 昏迷 脊髓".split(),
+    "内分泌": "糖尿病 甲亢 甲减 甲状腺 内分泌 血糖 胰岛素 皮质醇 肾上腺 垂体 尿糖 酮症 高血糖 低血糖 骨质 肥胖 代谢 激素 醛固酮 肾素 多囊 痛风".split(),
+    "急诊": "休克 昏迷 中毒 创伤 急腹症 大出血 呼吸困难 心肺复苏 急诊 急性 危象 脓毒症 多器官 DIC 急性冠脉 急性胰腺 急性阑尾 宫外孕".split(),
+}
+HIGH_RISK_WORDS = (
+    "休克 昏迷 意识障碍 大出血 心肺 呼吸衰竭 急性 危象 中毒 脓毒症 多器官 心肌梗死 主动脉夹层 脑出血 脑疝 肺栓塞 急性肝衰竭 急性肾损伤 高血钾 低血钾 心律失常 失血性休克 感染性休克 过敏性休克 DIC"
+).split()
+DIFFERENTIAL_WORDS = "胸痛 腹痛 发热待查 不明原因 鉴别 考虑 可能 类似 需要排除 需排除 不明".split()
+# What flags, patterns and routes are worth.
+ROUTE_PRIORITY = {"structured_block_candidate": 1.00, "exam_rewrite_candidate": 0.75, "rewrite_candidate": 0.50}
 FLAG_PENALTIES = {
     "generic_medical_qa": 0.15, "weak_case_context": 0.20, "may_depend_on_image_or_attachment": 0.30, "safety_boundary_signal": 0.05, "too_short": 1.00,
     "has_replacement_character": 1.00,
@@ -107,7 +129,7 @@ def reasoning_features(items: DataFrame, question: str = "question", options: st
     out = items.withColumn("__p", F.split(text.nfkc(F.array_join(packed, sep, "")), sep))
     out = staged(
         out,
-        {"__q": text.stripped(F.col("__p")[0]), "__o": F.filter(F.transform(F.slice("__p", 2, 1_000_000), lambda v: text.comparison_form(v, False)), lambda v: v != "")},
+        {"__q": text.stripped(F.col("__p")[0]), "__o": F.filter(F.transform(F.slice("__p", F.lit(2), F.size("__p")), lambda v: text.comparison_form(v, False)), lambda v: v != "")},
     )
     lengths = F.transform("__o", F.length)
     n = F.size("__o")
@@ -185,15 +207,41 @@ def quality_flags(case: Column) -> Column:
         [
             ("too_short", F.length(t) < 12),
             ("has_replacement_character", F.contains(t, F.lit("�"))),
-            ("may_depend_on_image_or_attachment", t.rlike("如图|图示|见图|附图|上图|下图|图片|附件")),
-            ("safety_boundary_signal", t.rlike("自杀|自残|轻生|堕胎|毒品|安乐死")),
-            ("generic_medical_qa", (F.length(t) < 40) & t.rlike("是什么|怎么办|如何|吗|哪些|为什么")),
-            ("weak_case_context", ~t.rlike(r"患者|病人|男|女|岁|主诉|病史|查体|检查|诊断")),
+            ("may_depend_on_image_or_attachment", text.any_hint(t, IMAGE_HINTS)),
+            ("safety_boundary_signal", text.any_hint(t, SAFETY_HINTS)),
+            ("generic_medical_qa", (F.length(t) < 40) & text.any_hint(t, GENERIC_QUESTION_HINTS)),
+            ("weak_case_context", ~text.any_hint(t, SYMPTOM_HINTS)),
         ]
     )
 
 
-def top_class(words: dict[str, tuple[str, ...]], case: Column) -> Column:
+def penalty_reasons(flags: Column, case: Column) -> Column:
+    """Names of what ``penalty`` counts: flags that cost something, ``pattern:`` and the pattern, great length."""
+    costly = F.filter(F.coalesce(flags, F.array().cast("array<string>")), lambda f: f.isin(*FLAG_PENALTIES))
+    more = all_hits([(f"pattern:{p}", _q(case).rlike(p)) for p, _ in PATTERN_PENALTIES] + [("very_long_text", F.length(_q(case)) > 3000)])
+    return F.concat(costly, more)
+
+
+def is_high_risk(case: Column) -> Column:
+    return text.any_hint(case, HIGH_RISK_WORDS)
+
+
+def needs_differential(case: Column, differentials: Column) -> Column:
+    """A word that asks for a differential diagnosis, or a target that has one."""
+    return text.any_hint(case, DIFFERENTIAL_WORDS) | (F.coalesce(F.size(differentials), F.lit(0)) > 0)
+
+
+def of_table(table: Mapping[str, float], *key: Column, otherwise: float) -> Column:
+    """Value of a small table by a key of one or more parts, joined by bars; a missing part counts as empty."""
+    return looked_up(F.concat_ws("|", *[F.coalesce(k, F.lit("")) for k in key]), table, otherwise)
+
+
+def target_score(likeness: Column, source: Column, richness: Column, route: Column, cost: Column) -> Column:
+    """Score by which candidates are chosen: likeness to the targets, source, richness, route, less the penalties."""
+    return 0.55 * likeness + 0.25 * source + 0.15 * richness + 0.05 * route - cost
+
+
+def top_class(words: Mapping[str, Sequence[str]], case: Column) -> Column:
     """Class with most of its words in the text, of equals the first; null if none has any."""
     scored = F.array(*[F.struct(text.hint_count(case, w).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, w) in enumerate(words.items())])
     best = F.array_max(scored)

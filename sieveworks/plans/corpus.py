@@ -11,13 +11,9 @@ from sieveworks.session import cut
 from sieveworks.sources.records import aligned_union
 from sieveworks.streaming import events as streams
 
-DEPARTMENT_WORDS = {
-    "respiratory": ("肺", "咳嗽", "咳痰", "胸膜", "呼吸"), "digestive": ("胃", "肠", "肝", "胆", "腹"), "cardiac": ("心", "血压", "动脉", "胸闷"), "neural": ("脑", "神经", "头痛", "眩晕", "脊髓"),
-    "endocrine": ("血糖", "甲状腺", "垂体", "肾上腺", "激素"), "emergency": ("休克", "昏迷", "中毒", "急诊"),
-}
-
-
 HARD_CASE_WORDS = ("危重", "复杂", "疑难", "不明原因", "多器官", "衰竭", "急诊", "抢救", "重症", "监护", "急性")
+#: What the sources of documents are worth as training data; others have the default.
+SOURCE_WORTH = {"guideline_hub": 1.0, "textbook": 0.75}
 EASY_CASE_WORDS = ("体检", "查体", "无明显", "无特殊", "无显著", "正常", "随访")
 
 
@@ -53,11 +49,11 @@ def case_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def departments(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select("doc_id", scoring.top_class(DEPARTMENT_WORDS, F.col("text")).alias("department"))
+    return _documents(spark, d).select("doc_id", scoring.top_class(scoring.DEPARTMENT_WORDS, F.col("text")).alias("department"))
 
 
 def department_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).withColumn("class", scoring.top_class(DEPARTMENT_WORDS, F.col("text")))
+    rows = _documents(spark, d).withColumn("class", scoring.top_class(scoring.DEPARTMENT_WORDS, F.col("text")))
     return rows.groupBy(F.coalesce("class", F.lit("none")).alias("department")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -159,12 +155,12 @@ def case_review(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None).cast("string")
     key = F.concat_ws("\n", text.stripped(F.col("case_text")), F.col("ground_truth.primary_diagnosis"))
     out = pool.organised(rows, "eval_id", key, [F.length("case_text")], [], pool.review_rule(F.col("case_text"), F.col("ground_truth"), none, none))
-    return out.select("eval_id", "status", "rule", "duplicate_of")
+    return out.select("eval_id", "status", F.array_join("hit_rules", ",").alias("rules"), "duplicate_of")
 
 
 def holdout_cases(spark: SparkSession, d: str) -> DataFrame:
     level = pool.case_difficulty(F.col("text"), HARD_CASE_WORDS, EASY_CASE_WORDS)
-    rows = _documents(spark, d).select("doc_id", scoring.top_class(DEPARTMENT_WORDS, F.col("text")).alias("department"), level.alias("level"))
+    rows = _documents(spark, d).select("doc_id", scoring.top_class(scoring.DEPARTMENT_WORDS, F.col("text")).alias("department"), level.alias("level"))
     return pool.holdout(rows, "doc_id", "department", "level", "holdout").select(F.col("id").alias("doc_id"), F.col("g").alias("department"), F.col("l").alias("level"), "case_no")
 
 
@@ -172,10 +168,12 @@ def target_ranked(spark: SparkSession, d: str) -> DataFrame:
     """Documents by likeness to a development set (the cases of one gateway), richness and penalties."""
     targets = overlap.latest(spark.read.parquet(f"{d}/eval_result.parquet").where("source = 'replay'").select("case_id", "case_text"), "case_id", [F.col("case_text")])
     targets = targets.select("case_id", hashing.hashed_vector(F.col("case_text")).alias("v"))
-    rows = cut(_documents(spark, d).select("doc_id", "text", hashing.hashed_vector(F.col("text")).alias("v")))
+    rows = cut(_documents(spark, d).select("doc_id", "text", "source", "doc_type", hashing.hashed_vector(F.col("text")).alias("v")))
     like = similarity.target_similarity(rows, targets, "doc_id", "case_id", "v")
     rich, cost = scoring.case_richness(F.col("text")), scoring.penalty(scoring.quality_flags(F.col("text")), F.col("text"))
-    score = 0.55 * F.col("mean_top") + 0.25 * F.lit(0.45) + 0.15 * rich - cost
+    worth = scoring.of_table(SOURCE_WORTH, F.col("source"), otherwise=0.45)
+    route = scoring.of_table(scoring.ROUTE_PRIORITY, F.when(F.col("doc_type") == "case_note", "rewrite_candidate"), otherwise=0.0)
+    score = scoring.target_score(F.col("mean_top"), worth, rich, route, cost)
     out = rows.join(like, rows["doc_id"] == like["r"]).select("doc_id", F.bround("best", 6).alias("best"), F.bround(score, 6).alias("score"))
     return sampling.ranked(out, [F.desc("score"), F.col("doc_id")], "doc_id", "score")
 

@@ -10,7 +10,6 @@ greedy selection, packing and the iterated components.
 from __future__ import annotations
 
 from sieveworks.functions.text import COMPARISON_PUNCTUATION, DIAGNOSIS_HEDGES
-from sieveworks.operators.candidates import LISTS
 from sieveworks.operators import evaluation, rewards, scoring
 from sieveworks.plans import corpus, exam
 
@@ -264,7 +263,10 @@ def _field(name: str, aliases, kind: str) -> str:
     return "coalesce(" + ", ".join(one(a) for a in aliases) + f") AS f_{name}"
 
 
-from sieveworks.functions.jsonx import FIELD_NAMES  # noqa: E402
+FIELD_NAMES = {
+    "primary_diagnosis": "主诊断 主要诊断 primary_diagnosis".split(), "diagnostic_basis": "诊断依据 diagnostic_basis".split(), "differential_diagnoses": "鉴别诊断 differential_diagnoses".split(),
+    "recommended_actions": "下一步建议 recommended_actions 建议 处理建议".split(), "risk_flags": "风险提示 risk_flags 注意事项".split(),
+}
 
 _UNFENCED = strip(f"regexp_replace(regexp_replace({strip(chr(99) + 'oalesce(raw_output, ' + chr(39) * 2 + ')')}, '(?m)^```(?:json)?', '', 'g'), '(?m)```$', '', 'g')")
 
@@ -305,14 +307,20 @@ def eval_rates(level: str, key: str, source: str = "final", group: str = "") ->
 
 TEXT = "coalesce(text, '')"
 _FLAGS = f"""list_filter([CASE WHEN length({TEXT}) < 12 THEN 'too_short' END, CASE WHEN contains({TEXT}, '�') THEN 'has_replacement_character' END,
-  CASE WHEN {matches(TEXT, '如图|图示|见图|附图|上图|下图|图片|附件')} THEN 'may_depend_on_image_or_attachment' END, CASE WHEN {matches(TEXT, '自杀|自残|轻生|堕胎|毒品|安乐死')} THEN 'safety_boundary_signal' END,
-  CASE WHEN length({TEXT}) < 40 AND {matches(TEXT, '是什么|怎么办|如何|吗|哪些|为什么')} THEN 'generic_medical_qa' END,
-  CASE WHEN NOT {matches(TEXT, '患者|病人|男|女|岁|主诉|病史|查体|检查|诊断')} THEN 'weak_case_context' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN {matches(TEXT, '图片|照片|片子|报告单|上传')} THEN 'may_depend_on_image_or_attachment' END, CASE WHEN {matches(TEXT, '自杀|去死|不想活|生不如死')} THEN 'safety_boundary_signal' END,
+  CASE WHEN length({TEXT}) < 40 AND {matches(TEXT, '怎么办|严重吗|吃什么药|用法用量|简介|是什么')} THEN 'generic_medical_qa' END,
+  CASE WHEN NOT {matches(TEXT, '患者|病人|主诉|现病史|体格检查|辅助检查|发热|疼痛|咳|呕吐|腹|胸|头痛')} THEN 'weak_case_context' END], lambda x: x IS NOT NULL)"""
 _LENGTH_SCORE = f"CASE WHEN length({TEXT}) <= 0 THEN 0.0 WHEN length({TEXT}) < 40 THEN length({TEXT}) / 80.0 WHEN length({TEXT}) <= 1200 THEN 1.0 WHEN length({TEXT}) <= 2500 THEN 0.85 ELSE 0.65 END::DOUBLE"
 _FLAG_SUM = " + ".join(f"CASE WHEN list_contains(fl, '{k}') THEN {v} ELSE 0 END::DOUBLE" for k, v in scoring.FLAG_PENALTIES.items())
+_DEPARTMENT_WORDS = """呼吸 肺炎,支气管,肺,呼吸道,咳嗽,咳痰,咯血,哮喘,COPD,慢阻肺,气胸,胸腔,肺栓塞,胸水,胸痛,呼吸,肺结核,肺癌,肺脓肿,ARDS,肺水肿,脓胸,流感
+消化 胃,肠,肝,胆,胰腺,食管,消化道,胃肠,肝功能,黄疸,腹水,腹胀,腹痛,恶心,呕吐,呕血,黑便,消化性溃疡,胃炎,肝炎,肝硬化,胆囊炎,阑尾,结肠,痢疾,胃肠炎,胰腺炎,胃潴留,幽门,肠梗阻,短肠,肠易激
+心血管 心,血压,冠心病,心肌,心电图,心律,心衰,心梗,主动脉,心脏,心包,瓣膜,高血压,低血压,胸闷,心悸,动脉,血管,夹层,心绞痛,心源性,嗜铬细胞瘤,心肌炎,心包炎,肺动脉,先心病
+神经 脑,神经,意识,头痛,头晕,癫痫,脑卒中,脑血管,偏瘫,肢体,麻木,语言,面瘫,帕金森,痴呆,脑炎,脑梗,脑出血,颅内,眩晕,晕厥,谵妄,昏迷,脊髓
+内分泌 糖尿病,甲亢,甲减,甲状腺,内分泌,血糖,胰岛素,皮质醇,肾上腺,垂体,尿糖,酮症,高血糖,低血糖,骨质,肥胖,代谢,激素,醛固酮,肾素,多囊,痛风
+急诊 休克,昏迷,中毒,创伤,急腹症,大出血,呼吸困难,心肺复苏,急诊,急性,危象,脓毒症,多器官,DIC,急性冠脉,急性胰腺,急性阑尾,宫外孕"""
 _DEPARTMENT = (
     "(SELECT doc_id, CASE WHEN best.n > 0 THEN best.name END AS department FROM (SELECT doc_id, list_reverse_sort(["
-    + ", ".join(f"{{'n': {hits(TEXT, w)}, 'o': {-i}, 'name': '{n}'}}" for i, (n, w) in enumerate(corpus.DEPARTMENT_WORDS.items()))
+    + ", ".join(f"{{'n': {hits(TEXT, line.split()[1].split(','))}, 'o': {-i}, 'name': '{line.split()[0]}'}}" for i, line in enumerate(_DEPARTMENT_WORDS.splitlines()))
     + "])[1] AS best FROM documents))"
 )
 _TURNS = f"list_filter(string_split({TEXT}, chr(10)), lambda x: regexp_matches(x, '^\\s*(?:患者|医生)\\s*[:：]'))"
@@ -325,10 +333,6 @@ _TERMS = """list_concat(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+'
 _KEYS = "list_transform(coalesce(map_keys(options), []), lambda k: upper(trim(k)))"
 
 
-def _filled(field: str) -> str:
-    return f"len(list_filter(coalesce(ground_truth.{field}, []), lambda x: {strip("coalesce(x, '')")} <> ''))"
-
-
 def without_hedges(x: str) -> str:
     out = f"coalesce({x}, '')"
     for hedge in DIAGNOSIS_HEDGES:
@@ -336,9 +340,18 @@ def without_hedges(x: str) -> str:
     return no_space(out)
 
 
-_LEAST = {"diagnostic_basis": 2, "differential_diagnoses": 1, "recommended_actions": 1, "risk_flags": 1}
-_TARGET_ERRORS = f"""SELECT eval_id, array_to_string(list_filter([CASE WHEN {strip("coalesce(ground_truth.primary_diagnosis, '')")} = '' THEN 'primary_diagnosis_empty' END,
-  {', '.join(f"CASE WHEN {_filled(f)} < {n} THEN '{f}_too_short' END" for f, n in _LEAST.items())}, {', '.join(f"CASE WHEN {_filled(f)} < coalesce(len(ground_truth.{f}), 0) THEN '{f}_blank_item' END" for f in LISTS)}], lambda x: x IS NOT NULL), ',') AS errors,
+_TARGET_CHECKS = (("diagnostic_basis", 2, "too_short"), ("differential_diagnoses", 1, "empty"), ("recommended_actions", 1, "empty"), ("risk_flags", 1, "empty"))
+
+
+def _target_errors(target: str) -> str:
+    checks = [f"CASE WHEN {strip(f"coalesce({target}.primary_diagnosis, '')")} = '' THEN 'primary_diagnosis_empty' END"]
+    for f, n, error in _TARGET_CHECKS:
+        items = f"coalesce({target}.{f}, [])"
+        checks.append(f"CASE WHEN len({items}) < {n} OR len(list_filter({items}, lambda x: {strip("coalesce(x, '')")} = '')) > 0 THEN '{f}_{error}' END")
+    return f"CASE WHEN {target} IS NULL THEN 'schema_target_not_object' ELSE array_to_string(list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL), ',') END"
+
+
+_TARGET_ERRORS = f"""SELECT eval_id, {_target_errors('ground_truth')} AS errors,
   {without_hedges('ground_truth.primary_diagnosis')} <> '' AND list_contains(list_transform(coalesce(ground_truth.differential_diagnoses, []), lambda d: {without_hedges('d')}), {without_hedges('ground_truth.primary_diagnosis')}) AS repeats_diagnosis, logged_at FROM eval_result"""
 
 

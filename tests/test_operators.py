@@ -1,4 +1,5 @@
 import itertools
+import json
 import math
 from collections import Counter
 
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveworks import session
-from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, rewards, sampling, scoring, select, similarity, skew, templates
+from sieveworks.functions import jsonx
+from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, prompts, rewards, sampling, scoring, select, similarity, skew, templates
 
 ITEM = "item_id long, question string, options map<string,string>, answer string, question_type string, exam_type string, junk string"
 OPTIONS = {"A": "甲选项", "B": "乙选项", "C": "丙选项"}
@@ -282,6 +284,58 @@ def test_candidates(spark):
     assert got[2]["status"] == "ok" and got[2]["derived_score"] == 5 and got[3]["decision"] == "drop"
 
 
+def test_flags_and_blocks_use_the_fixed_words(spark):
+    texts = ["请看报告单和片子，患者发热", "病人说不想活了，已住院治疗多日", "感冒怎么办", "这句话与病情无关且足够长足够长", "最可能的是什么", "用药方案怎样"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    got = {r["id"]: r for r in rows.select("id", scoring.quality_flags(F.col("t")).alias("f"), candidates.block_of(F.col("t"), F.lit(None)).alias("b")).collect()}
+    assert got[0]["f"] == ["may_depend_on_image_or_attachment"] and got[1]["f"] == ["safety_boundary_signal"]
+    assert got[2]["f"] == ["too_short", "generic_medical_qa", "weak_case_context"] and got[3]["f"] == ["weak_case_context"]
+    assert got[4]["b"] == "diagnosis" and got[5]["b"] == "other"
+    both = spark.range(1).select(jsonx.field(F.parse_json(F.lit('{"primary_diagnosis": "flu", "主诊断": "流感"}')), "primary_diagnosis", "string").alias("d"))
+    assert both.first()["d"] == "流感"
+
+
+def test_replies_of_teachers(spark):
+    good = '{"decision": "accept", "case_text": "患者发热", "schema_target": {"primary_diagnosis": " 肺炎 ", "diagnostic_basis": ["发热", "咳嗽"], "differential_diagnoses": ["肺结核"], "recommended_actions": ["胸片"], "risk_flags": ["加重"]}}'
+    replies = {
+        "good": good, "prose": "no", "list": "[1]", "reject": '{"decision": "reject", "reject_reason": "unclear"}', "bare reject": '{"decision": "reject", "reject_reason": " "}', "maybe": '{"decision": "maybe"}',
+        "no target": '{"decision": "accept", "schema_target": []}', "thin": good.replace('["发热", "咳嗽"]', '["发热"]').replace('["胸片"]', "[1]").replace('"患者发热"', '" "'), "extra": good.replace('"risk_flags"', '"note": "x", "risk_flags"'),
+    }
+    rows = spark.createDataFrame(list(replies.items()), "k string, r string").withColumn("v", F.try_parse_json("r"))
+    got = {r["k"]: (r["s"], r["e"]) for r in rows.withColumn("e", candidates.reply_errors(F.col("v"))).withColumn("s", candidates.reply_status(F.col("v"), F.col("e"))).collect()}
+    assert got["good"] == ("accepted", []) and got["prose"] == ("invalid", ["not_json_object"]) == got["list"]
+    assert got["reject"] == ("rejected_by_teacher", []) and got["bare reject"] == ("invalid", ["reject_missing_reason"]) and got["maybe"] == ("invalid", ["decision_not_accept_or_reject"])
+    assert got["no target"] == ("invalid", ["schema_target_not_object"]) and got["extra"] == ("accepted", [])
+    assert got["thin"] == ("invalid", ["case_text_empty", "diagnostic_basis_too_short", "recommended_actions_empty"])
+    made = {r["k"]: r for r in candidates.rewritten(rows, "v", "请回答", ["k"]).collect()}
+    assert made["good"]["sft_reject_reason"] is None and made["good"]["conversations"][0]["value"] == "患者发热\n\n请回答"
+    assert json.loads(made["good"]["conversations"][1]["value"])["primary_diagnosis"] == "肺炎" and list(json.loads(made["good"]["conversations"][1]["value"]))[0] == "primary_diagnosis"
+    reasons = {k: r["sft_reject_reason"] for k, r in made.items()}
+    assert reasons["prose"] == "teacher_response_not_object" and reasons["reject"] == "teacher_decision:reject" and reasons["extra"] == "unknown_schema_field:note" and reasons["no target"] == "case_text_empty"
+    analyses = {"ok": '{"answer": "a", "analysis": "因为患者发热三天并伴有咳嗽咳痰而考虑肺炎"}', "other": '{"answer": "B", "analysis": "标准答案如此"}', "none": "{}"}
+    errors = spark.createDataFrame(list(analyses.items()), "k string, r string").select("k", candidates.rationale_errors(F.try_parse_json("r"), F.lit("A")).alias("e"))
+    got = {r["k"]: r["e"] for r in errors.collect()}
+    assert got["ok"] == [] and got["other"] == ["teacher answer changed: B != A", "analysis contains answer label", "analysis too short"]
+    assert got["none"] == ["teacher answer changed:  != A", "missing analysis", "analysis too short"]
+
+
+def test_prompts_sources_and_views(spark):
+    rows = items(spark, ("问题一问题一问题一", {"a": " x ", "B": "y", "AB": "z"}, "b，A", "单选", None), (" ", OPTIONS, "A", None, None), ("q", {"1": "x"}, "A", None, None), ("q", OPTIONS, "Z", None, None), (None, None, None, None, None))
+    got = {r["sample_id"]: r for r in prompts.prompt_rows(rows, "<{question}>\n{options_text}!", F.col("item_id").cast("string"), "src").collect()}
+    assert got["1"]["prompt"] == "<问题一问题一问题一>\nA. x\nB. y!" and got["1"]["answer"] == "AB" and got["1"]["question_type"] == "multi" and got["1"]["source_question_type"] == "单选"
+    assert [got[str(i)]["reject_reason"] for i in range(1, 6)] == [None, "empty_question", "invalid_options", "invalid_answer", "empty_question"]
+    raw = rows.select("item_id", clean.raw_signature(F.col("question"), F.col("options")).alias("s")).collect()
+    assert raw[2]["s"] == json.dumps({"q": "q", "o": {"1": "x"}}, ensure_ascii=False, sort_keys=True) and raw[4]["s"] == '{"o": {}, "q": ""}'
+    texts = spark.createDataFrame([(1, 0, "甲" * 20), (1, 1, "甲" * 20), (0, 5, "甲" * 20), (0, 6, "短"), (2, 7, "短"), (2, 8, None)], "rank int, ord int, t string")
+    flags = texts.withColumn("f", F.when(F.length("t") < 12, F.array(F.lit("too_short"))).otherwise(F.array().cast("array<string>")))
+    kept = {(r["rank"], r["ord"]): r["skipped"] for r in candidates.first_of_sources(flags, "t", "rank", "ord", "f").collect()}
+    assert kept[0, 5] is None and kept[1, 0] == kept[1, 1] == "duplicate_case_text" and kept[0, 6] == "invalid_quality" and kept[2, 7] == "duplicate_case_text"
+    passed, seen = profile.observed(texts)
+    assert passed.count() == 6 and seen.get == {"rows": 6, "whole_rows": 5}
+    ids = spark.createDataFrame([("s", "o", "3", 7), (None, "o", "3", 7), (None, None, "3", 7), (None, None, "x", 7)], "a string, b string, c string, d int")
+    assert [r[0] for r in ids.select(clean.sample_id_of(*map(F.col, "abcd"))).collect()] == ["s", "o", "2", "7"]
+
+
 def test_profile(spark):
     rows = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, None)], "v double")
     got = profile.quantiles(rows, F.col("v")).first()
@@ -340,10 +394,10 @@ def test_pool_decisions_and_holdout(spark):
     )
     none = F.lit(None).cast("string")
     leak = rows.where("id = 6")
-    got = {r["id"]: (r["status"], r["rule"], r["duplicate_of"]) for r in pool.organised(rows, "id", F.col("c"), [F.length("c")], [("R-LEAK-002", leak, F.col("c"))], pool.review_rule(F.col("c"), F.col("t"), none, none)).collect()}
+    got = {r["id"]: (r["status"], ",".join(r["hit_rules"]), r["duplicate_of"]) for r in pool.organised(rows, "id", F.col("c"), [F.length("c")], [("R-LEAK-002", leak, F.col("c"))], pool.review_rule(F.col("c"), F.col("t"), none, none)).collect()}
     assert got == {
-        1: ("accepted", None, None), 2: ("rejected_duplicate", "R-DUP-001", 1), 3: ("rejected_low_quality", "R-QUAL-002", None), 4: ("rejected_low_quality", "R-QUAL-005", None),
-        5: ("needs_manual_review", "R-REVIEW-005", None), 6: ("rejected_leakage", "R-LEAK-002", None), 7: ("rejected_low_quality", "R-QUAL-002", None),
+        1: ("accepted", "", None), 2: ("rejected_duplicate", "R-DUP-001", 1), 3: ("rejected_low_quality", "R-QUAL-002", None), 4: ("rejected_low_quality", "R-QUAL-005", None),
+        5: ("needs_manual_review", "R-QUAL-006,R-REVIEW-005", None), 6: ("rejected_leakage", "R-LEAK-002", None), 7: ("rejected_low_quality", "R-QUAL-002", None),
     }
     people = spark.createDataFrame([(i, "ab"[i % 2] if i < 200 else None, ["easy", "hard", "medium"][i % 3]) for i in range(230)], "id long, g string, l string")
     drawn = Counter((r["g"], r["l"]) for r in pool.holdout(people, "id", "g", "l", "s").collect())
