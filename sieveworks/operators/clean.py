@@ -133,7 +133,7 @@ def raw_signature(question: Column, options: Column) -> Column:
 
 def duplicate_views(keyed: DataFrame, views: Sequence[str]) -> DataFrame:
     """(view, groups, rows_in_groups, duplicate_rows) of several signatures of the same rows."""
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.xxhash64(v).alias("a"), F.md5(v).alias("key")) for v in views])).alias("s")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.md5(v).alias("key")) for v in views])).alias("s")
     groups = keyed.select(each).groupBy("s.view", "s.key").agg(F.count(F.lit(1)).alias("n"))
     many = F.col("n") > 1
     total = lambda c: F.coalesce(F.sum(F.when(many, c)), F.lit(0))

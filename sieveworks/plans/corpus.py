@@ -13,7 +13,7 @@ from sieveworks.streaming import events as streams
 
 HARD_CASE_WORDS = ("危重", "复杂", "疑难", "不明原因", "多器官", "衰竭", "急诊", "抢救", "重症", "监护", "急性")
 #: What the sources of documents are worth as training data; others have the default.
-SOURCE_WORTH = {"guideline_hub": 1.0, "textbook": 0.75}
+SOURCE_WORTH = {"guideline_notes": 1.0, "explain_pool": 0.75}
 EASY_CASE_WORDS = ("体检", "查体", "无明显", "无特殊", "无显著", "正常", "随访")
 
 
@@ -172,7 +172,7 @@ def target_ranked(spark: SparkSession, d: str) -> DataFrame:
     like = similarity.target_similarity(rows, targets, "doc_id", "case_id", "v")
     rich, cost = scoring.case_richness(F.col("text")), scoring.penalty(scoring.quality_flags(F.col("text")), F.col("text"))
     worth = scoring.of_table(SOURCE_WORTH, F.col("source"), otherwise=0.45)
-    route = scoring.of_table(scoring.ROUTE_PRIORITY, F.when(F.col("doc_type") == "case_note", "rewrite_candidate"), otherwise=0.0)
+    route = scoring.of_table(scoring.ROUTE_PRIORITY, F.when(F.col("doc_type") == "case", "rewrite_candidate"), otherwise=0.0)
     score = scoring.target_score(F.col("mean_top"), worth, rich, route, cost)
     out = rows.join(like, rows["doc_id"] == like["r"]).select("doc_id", F.bround("best", 6).alias("best"), F.bround(score, 6).alias("score"))
     return sampling.ranked(out, [F.desc("score"), F.col("doc_id")], "doc_id", "score")
