@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveworks.session import cut
+from sieveworks.operators.skew import digest, lookup, salted_join
+from sieveworks.session import cut, free
 
 
 def _counted_grams(shortest: int, longest: int):
@@ -37,8 +38,24 @@ def _counted_grams(shortest: int, longest: int):
     return F.pandas_udf(count, kind)
 
 
-def tfidf_vectors(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """(block, id, grams, ws, prefix): unit vectors of smooth TF-IDF, rarest grams first, with document frequencies within the block.
+def text_classes(rows: DataFrame, block: str, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(block, cid, n, text) for each distinct text of a block, by its least id, and (id, cid) of the rows that are not their class's own.
+
+    Both are cuts. A text that a third of all rows has is one class, found by map-side aggregation.
+    """
+    rows = rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), text.alias("text"))
+    keyed = cut(rows.withColumn("key", digest(F.concat_ws("\u0001", F.coalesce(F.col("block").cast("string"), F.lit("\u0002")), F.coalesce("text", F.lit(""))))))
+    firsts = cut(keyed.groupBy("key").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("n")))
+    own = lookup(keyed, firsts, "key", "n")
+    classes = cut(own.where("id = cid").select("block", "cid", "n", "text"))
+    copies = cut(lookup(keyed.select("id", "key"), firsts.where("n > 1"), "key", "n").where("id <> cid").select("id", "cid"))
+    return classes, copies
+
+
+def tfidf_vectors(rows: DataFrame, threshold: float, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """(block, id, grams, ws, prefix) of classes (block, cid, n, text): unit vectors of smooth TF-IDF, rarest grams first.
+
+    Document frequencies are those of the rows of a block: a class counts as often as it has rows.
 
     Grams that only one row of a block has are dropped if the block has four
     rows or more, as they can't be shared. Grams stand as 64-bit hashes and are
@@ -46,10 +63,10 @@ def tfidf_vectors(rows: DataFrame, block: str, id_col: str, text: Column, thresh
     ``prefix`` is the number of grams that must be joined to find all pairs of
     ``threshold``.
     """
-    counted = cut(rows.select(F.col(block).alias("block"), F.col(id_col).alias("id"), _counted_grams(shortest, longest)(text).alias("c")))
-    grams = counted.select("block", "id", F.explode(F.arrays_zip("c.grams", "c.counts")).alias("g")).select("block", "id", F.col("g.grams").alias("gram"), F.col("g.counts").alias("tf"))
-    sizes = counted.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    df = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df")).join(sizes, "block").where("df >= 2 or n < 4")
+    counted = cut(rows.select("block", F.col("cid").alias("id"), "n", _counted_grams(shortest, longest)(F.col("text")).alias("c")))
+    grams = counted.select("block", "id", "n", F.explode(F.arrays_zip("c.grams", "c.counts")).alias("g")).select("block", "id", "n", F.col("g.grams").alias("gram"), F.col("g.counts").alias("tf"))
+    sizes = counted.groupBy("block").agg(F.sum("n").alias("n"))
+    df = grams.groupBy("block", "gram").agg(F.sum("n").alias("df")).join(sizes, "block").where("df >= 2 or n < 4")
     idf = df.select("block", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = grams.join(idf, ["block", "gram"]).select("block", "id", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
     held = raw.groupBy("block", "id").agg(F.array_sort(F.collect_list("x")).alias("v"))
@@ -57,26 +74,50 @@ def tfidf_vectors(rows: DataFrame, block: str, id_col: str, text: Column, thresh
     return held.withColumn("u", _unit(threshold)("raw")).select("block", "id", "grams", F.col("u.ws").alias("ws"), F.col("u.prefix").alias("prefix"))
 
 
-def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float = 0.95, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """(id_a, id_b, similarity), id_a < id_b, of equal block with cosine of at least ``threshold``.
+def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float = 0.95, shortest: int = 2, longest: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id_a, id_b, similarity), id_a < id_b, of distinct texts of equal block with cosine of at least ``threshold``, and copies (id, cid).
+
+    Each distinct text stands once, by its least id; ``copies`` names the rows
+    that have the text of another, whose similarity is 1, so groups of copies
+    are never expanded into pairs. Candidates come from a prefix filter: with
+    each vector's grams in one global order, rarest first, two unit vectors can
+    reach the threshold only if their prefixes share a gram, where a prefix ends
+    once the weight left over is under the threshold. So only rare grams are
+    joined, no pair is lost, and a gram that many rows have is in hardly any
+    prefix; where it is, it is spread over tasks. Candidates are then scored
+    exactly. A null block is a block of its own; a text without grams is like nothing.
+    """
+    classes, copies = text_classes(rows, block, id_col, text)
+    vectors = cut(tfidf_vectors(classes, threshold, shortest, longest))
+    free(classes)
+    keys = cut(vectors.select("id", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"), F.coalesce(F.col("block").cast("string"), F.lit("\u0002")).alias("block")).select(F.xxhash64("block", "gram").alias("key"), "id"))
+    counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    left, right = (keys.select("key", F.col("id").alias(f"id_{x}")) for x in "ab")
+    candidates = cut(salted_join(left, right, "key", counts, "id_a").where("id_a < id_b").select("id_a", "id_b").distinct())
+
+    def with_vector(pairs: DataFrame, key: str, other: str, names: tuple[str, str]) -> DataFrame:
+        own = vectors.select(F.col("id").alias(key), F.col("grams").alias(names[0]), F.col("ws").alias(names[1]))
+        return salted_join(pairs, own, key, candidates.groupBy(key).agg(F.count(F.lit(1)).alias("n")), other)
+
+    scored = with_vector(with_vector(candidates, "id_a", "id_b", ("ga", "wa")), "id_b", "id_a", ("gb", "wb"))
+    scored = scored.select("id_a", "id_b", _dot("ga", "wa", "gb", "wb").alias("similarity"))
+    return scored.where(F.col("similarity") >= threshold), copies
+
+
+def among_equals(pairs: DataFrame, copies: DataFrame, rows: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """(id_a, id_b, similarity), id_a < id_b: pairs of ``tfidf_pairs`` whose rows also have equal ``key``.
 
-    Candidates come from a prefix filter: with each vector's grams in one global
-    order, rarest first, two unit vectors can reach the threshold only if their
-    prefixes share a gram, where a prefix ends once the weight left over is
-    under the threshold. So only rare grams are joined, no pair is lost, and a
-    gram that a third of all rows has is in hardly any prefix. Candidates are
-    then scored exactly. A null block is a block of its own; a text without
-    grams is like nothing.
+    Rows of one text and one key are a group, which stands by its least id:
+    groups of near texts and equal keys are paired by their least ids, and every
+    other row of a group is paired with that alone. Null keys are equal to none.
     """
-    vectors = cut(tfidf_vectors(rows, block, id_col, text, threshold, shortest, longest))
-    keys = vectors.select(F.xxhash64("block", F.lit(0)).alias("block"), "id", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"))
-    left = keys.select("block", "gram", F.col("id").alias("id_a"))
-    right = keys.select("block", "gram", F.col("id").alias("id_b"))
-    candidates = left.join(right, ["block", "gram"]).where("id_a < id_b").select("id_a", "id_b").distinct()
-    a = vectors.select(F.col("id").alias("id_a"), F.col("grams").alias("ga"), F.col("ws").alias("wa"))
-    b = vectors.select(F.col("id").alias("id_b"), F.col("grams").alias("gb"), F.col("ws").alias("wb"))
-    scored = candidates.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", _dot("ga", "wa", "gb", "wb").alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    members = rows.select(F.col(id_col).alias("id"), key.cast("string").alias("k")).where("k is not null").join(copies, "id", "left").select("id", F.coalesce("cid", "id").alias("cid"), "k")
+    members = cut(members.withColumn("g", digest(F.concat_ws("\u0001", F.col("cid").cast("string"), "k"))))
+    groups = cut(members.groupBy("g", "cid", "k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    side = lambda x: groups.select(F.col("cid").alias(f"id_{x}"), "k", F.col("rep").alias(f"rep_{x}"))
+    near = pairs.join(side("a"), "id_a").join(side("b"), ["id_b", "k"]).select(F.least("rep_a", "rep_b").alias("id_a"), F.greatest("rep_a", "rep_b").alias("id_b"), "similarity")
+    own = lookup(members.select("id", "g"), groups.select("g", "rep", "n"), "g", "n").where("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(own)
 
 
 def _unit(threshold: float):

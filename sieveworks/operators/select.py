@@ -2,40 +2,52 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions.hashing import hamming
+from sieveworks.operators.skew import lookup, salted_join
 from sieveworks.session import cut
 
 
-def hamming_pairs(rows: DataFrame, id_col: str, sketch: str, most: int = 3) -> DataFrame:
+def hamming_pairs(rows: DataFrame, id_col: str, sketch: str, most: int = 3, pieces: int = 6) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of sketches that differ in at most ``most`` bits.
 
-    64 bits are cut into most + 1 bands; two such sketches agree in one band at
-    least, so an equality join on bands finds all pairs. Equal sketches are put
-    together first and linked to their least id, so copies are no pairs of pairs.
+    64 bits are cut into ``pieces``; two such sketches agree in all but ``most``
+    of them, so one of the keys made of ``pieces - most`` pieces each is equal,
+    and an equality join on keys finds all pairs. With six pieces and three bits
+    a key has about 32 bits and sketches meet by chance once in four thousand
+    million, where whole quarters of 16 bits would meet once in 65,536. A key that
+    many sketches share is spread over tasks. Equal sketches are put together
+    first and linked to their least id, so copies are no pairs of pairs.
     """
-    bands = most + 1
-    width = 64 // bands
-    distinct = rows.groupBy(F.col(sketch).alias("s")).agg(F.min(id_col).alias("id"))
-    keys = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft("s", 64 - (i + 1) * width if i < bands - 1 else 0), 64 - width if i < bands - 1 else i * width).alias("v")) for i in range(bands)]
-    banded = cut(distinct).select("id", "s", F.explode(F.array(*keys)).alias("k"))
-    a = banded.select("k", F.col("id").alias("id_a"), F.col("s").alias("sa"))
-    b = banded.select("k", F.col("id").alias("id_b"), F.col("s").alias("sb"))
-    near = a.join(b, "k").where((F.col("id_a") < F.col("id_b")) & (hamming(F.col("sa"), F.col("sb")) <= most)).select("id_a", "id_b")
-    copies = rows.select(F.col(id_col).alias("id_b"), F.col(sketch).alias("s")).join(distinct, "s").where("id < id_b").select(F.col("id").alias("id_a"), "id_b")
-    return near.unionByName(copies).distinct()
+    bounds = [round(i * 64 / pieces) for i in range(pieces + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(bounds)]
+    chosen = [sum(m) for m in itertools.combinations(masks, pieces - most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
+    held = cut(rows.select(F.col(id_col).alias("id"), F.col(sketch).alias("s")))
+    distinct = cut(held.groupBy("s").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")))
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("s").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])).alias("k")
+    keyed = distinct.select("first", "s", keys).select(F.xxhash64("k.t", "k.v").alias("k"), "first", "s")
+    counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    a, b = (keyed.select("k", F.col("first").alias(f"id_{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+    met = salted_join(a, b, "k", counts, "id_a")
+    near = met.where((F.col("id_a") < F.col("id_b")) & (hamming(F.col("sa"), F.col("sb")) <= most)).select("id_a", "id_b")
+    copies = lookup(held, distinct, "s", "n").where("first < id").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"))
+    return near.distinct().unionByName(copies)
 
 
-def greedy_select(rows: DataFrame, id_col: str, rank: str, source: str, sketch: str, size: int, source_share: float = 0.65, most_bits: int = 3) -> DataFrame:
+def greedy_select(rows: DataFrame, id_col: str, rank: str, source: str, sketch: str, size: int, source_share: float = 0.65, most_bits: int = 3, batch: int = 20_000) -> DataFrame:
     """Rows taken in rank order: one is passed over if its source has its cap, or if a taken row is near it; ``size`` in all.
 
     The order makes each decision depend on earlier ones, so decisions are made
     in one scan in rank order. It holds no texts: a row is its rank, source and
-    sketch, and the scan stops at ``size`` rows taken. Rows are fetched partition
-    by partition in rank order, never all at once; near sketches are looked up
-    in band tables of the taken ones, not by comparing with each of them.
+    sketch. Rows come ``batch`` at a time, the next ones in order, and those of a
+    source that has its cap are left out where they are read, so a source with a
+    third of all rows does not pass the driver. Near sketches are looked up in
+    tables of the taken ones, not by comparing with each of them.
     """
     cap = max(int(size * source_share), 1)
     bands = most_bits + 1
@@ -44,17 +56,26 @@ def greedy_select(rows: DataFrame, id_col: str, rank: str, source: str, sketch:
     tables: list[dict[int, list[int]]] = [{} for _ in masks]
     counts: dict[str, int] = {}
     taken: list = []
-    for row in cut(rows.select(id_col, rank, source, sketch)).orderBy(rank, id_col).toLocalIterator():
-        name, s = row[source] if row[source] is not None else "unknown", row[sketch] & (1 << 64) - 1
-        if counts.get(name, 0) >= cap:
-            continue
-        if any(bin(s ^ t).count("1") <= most_bits for table, m in zip(tables, masks) for t in table.get(s & m, ())):
-            continue
-        for table, m in zip(tables, masks):
-            table.setdefault(s & m, []).append(s)
-        counts[name] = counts.get(name, 0) + 1
-        taken.append((row[id_col], len(taken) + 1))
-        if len(taken) >= size:
+    held = cut(rows.select(F.col(id_col).alias("id"), F.col(rank).alias("rank"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("source"), F.col(sketch).alias("s")).where("rank is not null and s is not null"))
+    last = None
+    while len(taken) < size:
+        capped = [name for name, n in counts.items() if n >= cap]
+        rest = held.where(~F.col("source").isin(*capped)) if capped else held
+        if last is not None:
+            rest = rest.where((F.col("rank") > F.lit(last[0])) | ((F.col("rank") == F.lit(last[0])) & (F.col("id") > F.lit(last[1]))))
+        block = rest.orderBy("rank", "id").limit(batch).collect()
+        for row in block:
+            s = row["s"] & (1 << 64) - 1
+            if len(taken) >= size or counts.get(row["source"], 0) >= cap:
+                continue
+            if any(bin(s ^ t).count("1") <= most_bits for table, m in zip(tables, masks) for t in table.get(s & m, ())):
+                continue
+            for table, m in zip(tables, masks):
+                table.setdefault(s & m, []).append(s)
+            counts[row["source"]] = counts.get(row["source"], 0) + 1
+            taken.append((row["id"], len(taken) + 1))
+        if len(block) < batch:
             break
+        last = (block[-1]["rank"], block[-1]["id"])
     kind = dict(rows.dtypes)[id_col]
     return rows.sparkSession.createDataFrame(taken, f"{id_col} {kind}, position int")

@@ -228,13 +228,13 @@ def _vector_text(repeat: int = 4):
 def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat_ws("|", *[F.coalesce(F.trim(c), F.lit("__missing__")) for c in ("exam_type", "exam_class", "exam_subject")])
     rows = _items(spark, d).withColumn("block", block).withColumn("vt", _vector_text())
-    pairs = neardup.tfidf_pairs(rows, "block", "item_id", F.col("vt"))
-    answers = _items(spark, d).select("item_id", F.upper(text.stripped(F.col("answer"))).alias("a"))
-    a, b = answers.select(F.col("item_id").alias("id_a"), F.col("a").alias("aa")), answers.select(F.col("item_id").alias("id_b"), F.col("a").alias("ab"))
-    return pairs.join(a, "id_a").join(b, "id_b").where("aa = ab").select("id_a", "id_b", F.bround("similarity", 4).alias("similarity"))
+    pairs, copies = neardup.tfidf_pairs(rows, "block", "item_id", F.col("vt"))
+    near = neardup.among_equals(pairs, copies, _items(spark, d), "item_id", F.upper(text.stripped(F.col("answer"))))
+    return near.select("id_a", "id_b", F.bround("similarity", 4).alias("similarity"))
 
 
 def near_duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Near texts with equal answers: pairs of the least ids of equal rows, and each other of these rows with its least id."""
     return _near_pairs(spark, d)
 
 

@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -111,10 +112,14 @@ def test_tfidf_pairs_against_brute_force(spark):
     texts = dict(enumerate(base * 2, 1))
     rows = spark.createDataFrame([("b", i, t) for i, t in texts.items()] + [("other", 99, base[0])], "block string, id long, t string")
     for threshold in (0.5, 0.95):
-        got = {(r[0], r[1]): r[2] for r in neardup.tfidf_pairs(rows, "block", "id", F.col("t"), threshold).collect()}
+        pairs, copies = neardup.tfidf_pairs(rows, "block", "id", F.col("t"), threshold)
+        of = {r["id"]: r["cid"] for r in copies.collect()}
+        firsts = {t: min(i for i in texts if texts[i] == t) for t in texts.values()}
+        assert of == {i: firsts[t] for i, t in texts.items() if i != firsts[t]}
+        got = {(r[0], r[1]): r[2] for r in pairs.collect()}
         v = brute_tfidf(texts)
         want = {}
-        for a, b in itertools.combinations(sorted(texts), 2):
+        for a, b in itertools.combinations(sorted(firsts.values()), 2):
             s = sum(x * v[b].get(g, 0) for g, x in v[a].items())
             if s >= threshold + 1e-9:
                 want[a, b] = s
@@ -122,6 +127,14 @@ def test_tfidf_pairs_against_brute_force(spark):
         assert all(s >= threshold - 1e-9 for s in got.values())
 
 
+def test_pairs_among_equals(spark):
+    rows = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "A"), (5, "B"), (6, None), (7, "A")], "id long, k string")
+    pairs = spark.createDataFrame([(1, 4, 0.97)], "id_a long, id_b long, similarity double")
+    copies = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (6, 4), (7, 4)], "id long, cid long")
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in neardup.among_equals(pairs, copies, rows, "id", F.col("k")).collect()}
+    assert got == {(1, 4): 0.97, (3, 5): 0.97, (1, 2): 1.0, (4, 7): 1.0}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (200, 150)]
     pairs = spark.createDataFrame(edges, "id_a long, id_b long")
@@ -195,6 +208,12 @@ def test_hamming_pairs_and_greedy(spark):
     ranked = rows.withColumns({"rank": F.col("id"), "src": F.lit("x")})
     taken = [r["id"] for r in select.greedy_select(ranked, "id", "rank", "src", "s", 5, 1.0).orderBy("position").collect()]
     assert taken == [0, 4, 5]
+    # the same in small batches, with a source that fills its cap early and a row that lacks its sketch
+    rng = random.Random(2)
+    held = [(i, rng.choice("aaab"), rng.getrandbits(63)) for i in range(60)] + [(60, None, None)]
+    table = spark.createDataFrame(held, "id long, src string, s long").withColumn("rank", F.col("id") % 7)
+    runs = [[tuple(r) for r in select.greedy_select(table, "id", "rank", "src", "s", 20, 0.5, batch=b).orderBy("position").collect()] for b in (5, 1000)]
+    assert runs[0] == runs[1] and len(runs[0]) == 20
 
 
 def test_overlap_operators(spark):
