@@ -64,12 +64,22 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def _gram_hashes(text: str, shortest: int, longest: int) -> list[int]:
-    return [
-        int.from_bytes(hashlib.blake2b(text[i : i + n].encode(), digest_size=8).digest(), "little")
-        for n in range(shortest, longest + 1)
-        for i in range(len(text) - n + 1)
-    ]
+#: Digests of n-grams that a task keeps at hand; n-grams of a language repeat, and a look-up costs a tenth of a digest.
+KNOWN_GRAMS = 300_000
+
+
+class _Digests(dict):
+    """64-bit BLAKE2b digest of a text, computed when it is first asked for."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= KNOWN_GRAMS:
+            self.clear()
+        self[gram] = h = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+def _gram_hashes(text: str, shortest: int, longest: int, known: _Digests) -> list[int]:
+    return [known[text[i : i + n]] for n in range(shortest, longest + 1) for i in range(len(text) - n + 1)]
 
 
 def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None = None) -> Column:
@@ -81,11 +91,12 @@ def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None
 
     def sketch(texts: pd.Series) -> pd.Series:
         shifts = np.arange(64, dtype=np.uint64)
-        out = []
+        out, known = [], _Digests()
         for t in texts:
-            grams = _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest)
+            grams = _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest, known)
             if grams:
-                bits = (np.array(grams, dtype=np.uint64)[:, None] >> shifts) & np.uint64(1)
+                # bits of all digests, least first; one row a digest
+                bits = np.unpackbits(np.array(grams, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 votes = 2 * bits.sum(axis=0, dtype=np.int64) - len(grams)
             else:
                 votes = np.zeros(64, dtype=np.int64)
@@ -101,10 +112,10 @@ def hashed_vector(text: Column, dim: int = 16_384, shortest: int = 2, longest: i
 
     def embed(texts: pd.Series) -> pd.DataFrame:
         # two arrays a text: an object for each entry would take gigabytes a batch
-        dims, weights = [], []
+        dims, weights, known = [], [], _Digests()
         for t in texts:
             counts: dict[int, float] = {}
-            for h in _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest):
+            for h in _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest, known):
                 counts[h % dim] = counts.get(h % dim, 0.0) + (-1.0 if h >> 8 & 1 else 1.0)
             norm = sum(v * v for v in counts.values()) ** 0.5
             dims.append(np.fromiter(counts if norm else (), dtype=np.int32))

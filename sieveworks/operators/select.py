@@ -56,7 +56,7 @@ def greedy_select(rows: DataFrame, id_col: str, rank: str, source: str, sketch:
     tables: list[dict[int, list[int]]] = [{} for _ in masks]
     counts: dict[str, int] = {}
     taken: list = []
-    held = cut(rows.select(F.col(id_col).alias("id"), F.col(rank).alias("rank"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("source"), F.col(sketch).alias("s")).where("rank is not null and s is not null"))
+    held = cut(rows.select(F.col(id_col).alias("id"), F.col(rank).alias("rank"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("source"), F.col(sketch).alias("s"))).where("rank is not null and s is not null")
     last = None
     while len(taken) < size:
         capped = [name for name, n in counts.items() if n >= cap]

@@ -50,8 +50,29 @@ _SCREEN_ERRORS = ", ".join(
 )
 
 
+# Exact cosines of all pairs of a block that share a gram; then rows of equal text and answer stand by their least id.
+_NEAR = f"""
+WITH t AS (SELECT item_id AS id, coalesce(trim(exam_type), '__missing__') || '|' || coalesce(trim(exam_class), '__missing__') || '|' || coalesce(trim(exam_subject), '__missing__') AS b, upper({strip("coalesce(answer, '')")}) AS a,
+  {comparison("concat(repeat(coalesce(question, ''), 4), coalesce(array_to_string(list_transform(list_sort(map_entries(options)), lambda e: e.key || coalesce(e.value, '')), ''), ''))")} AS v FROM exam_item),
+r AS (SELECT *, min(id) OVER (PARTITION BY b, v, a) AS rep, min(id) OVER (PARTITION BY b, v) AS cid, count(*) OVER (PARTITION BY b) AS n FROM t),
+c AS (SELECT b, v, cid, n, count(*) AS m FROM r GROUP BY ALL),
+g AS (SELECT b, cid, m, n, gram, count(*) AS tf FROM (SELECT b, cid, m, n, unnest(flatten(list_transform([2, 3, 4, 5], lambda k: list_transform(range(1, greatest(length(v) - k + 2, 1)), lambda i: substr(v, i, k))))) AS gram FROM c) GROUP BY ALL),
+d AS (SELECT b, gram, sum(m) AS df FROM g GROUP BY ALL),
+w AS (SELECT g.b, cid, gram, df, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM g JOIN d USING (b, gram) WHERE df >= 2 OR n < 4),
+u AS (SELECT b, cid, gram, df, w / sqrt(sum(w * w) OVER (PARTITION BY b, cid)) AS w FROM w),
+-- two vectors of a cosine of 0.95 share one of each one's rarest grams, those before which less than 0.95 squared is left
+p AS (SELECT *, sum(w * w) OVER (PARTITION BY b, cid ORDER BY df DESC, gram DESC ROWS UNBOUNDED PRECEDING) AS upto FROM u),
+k AS (SELECT DISTINCT x.cid AS ca, y.cid AS cb FROM p x JOIN p y ON x.b = y.b AND x.gram = y.gram AND x.cid < y.cid WHERE x.upto >= 0.9 AND y.upto >= 0.9),
+s AS (SELECT ca, cb, sum(x.w * y.w) AS sim FROM k JOIN u x ON x.cid = ca JOIN u y ON y.cid = cb AND y.gram = x.gram GROUP BY 1, 2 HAVING sum(x.w * y.w) >= 0.95),
+o AS (SELECT DISTINCT cid, a, rep FROM r)
+SELECT least(x.rep, y.rep) AS id_a, greatest(x.rep, y.rep) AS id_b, round_even(sim, 4) AS similarity FROM s JOIN o x ON x.cid = ca JOIN o y ON y.cid = cb AND y.a = x.a
+UNION ALL SELECT rep, id, 1.0 FROM r WHERE id <> rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "near_duplicate_pairs": _NEAR,
         "raw_signatures": f"SELECT item_id, md5({_RAW_SIG}) AS signature FROM exam_item",
         "duplicate_views": f"""WITH v AS (SELECT {_RAW_SIG} AS raw, {comparison('question')} || '||' || {_OPTION_SIG} AS normalized, {comparison('question')} AS question_only FROM exam_item),
           g AS ({' UNION ALL '.join(f"SELECT '{x}' AS view, {x} AS k, count(*) AS n FROM v GROUP BY 2" for x in ('raw', 'normalized', 'question_only'))})
