@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveworks.functions.text import without_space
-from sieveworks.session import cut
+from sieveworks.session import cut, cut_of_parts
+
+
+def _in_blocks(spark: SparkSession, rows: Iterable[Row], size: int, shared: Callable[[list[Row]], object], scored: Callable[[Broadcast], DataFrame], schema: str) -> DataFrame:
+    """A cut of what ``scored`` gives for each block of ``size`` rows; what a block broadcasts is removed before the next is taken."""
+
+    def parts() -> Iterator[DataFrame]:
+        left = iter(rows)
+        while block := list(itertools.islice(left, size)):
+            sent = spark.sparkContext.broadcast(shared(block))
+            yield scored(sent)
+            sent.destroy()
+
+    return cut_of_parts(spark, parts(), schema)
 
 
 def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vector: str, k: int = 5, least: float = -1.0, chunk: int = 512) -> DataFrame:
@@ -21,50 +38,37 @@ def top_k_cosine(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
     """
     held = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).alias("v")).orderBy("q").toLocalIterator(prefetchPartitions=True)
     kind = dict(rows.dtypes)[row_id]
-    parts: list[DataFrame] = []
-    buffer: list = []
+    schema = f"q {kind}, r {kind}, similarity double"
+    source = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"))
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.linalg.norm(x, axis=1)[:, None]
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
-    def score(block: list) -> DataFrame:
-        names = np.array([r["q"] for r in block])
-        matrix = np.array([r["v"] for r in block], dtype=np.float64)
-        norms = np.linalg.norm(matrix, axis=1)
-        matrix = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
-        spark = rows.sparkSession
-        shared = spark.sparkContext.broadcast((names, matrix))
+    def shared(block: list[Row]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r["q"] for r in block]), unit(np.array([r["v"] for r in block], dtype=np.float64))
 
+    def scored(sent: Broadcast) -> DataFrame:
         def best(batches):
-            qs, m = shared.value
+            qs, m = sent.value
             for pdf in batches:
                 pdf = pdf[pdf["v"].notna()]
                 if pdf.empty:
                     continue
-                x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1)
-                x = np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-                sims, ids = (m @ x.T).T, pdf["r"].to_numpy()
+                sims, ids = (m @ unit(np.stack(pdf["v"].to_numpy()).astype(np.float64)).T).T, pdf["r"].to_numpy()
                 own = np.argsort(ids, kind="stable")[::-1]
                 order = own[np.argsort(-sims[own], axis=0, kind="stable")[:k]]
                 kept = np.take_along_axis(sims, order, axis=0)
                 row, column = np.nonzero(kept >= least)
                 yield pd.DataFrame({"q": qs[column], "r": ids[order[row, column]], "similarity": kept[row, column]})
 
-        source = rows.select(F.col(row_id).alias("r"), F.col(vector).alias("v"))
-        return source.mapInPandas(best, f"q {kind}, r {kind}, similarity double")
-
-    for row in held:
-        buffer.append(row)
-        if len(buffer) == chunk:
-            parts.append(score(buffer))
-            buffer = []
-    if buffer:
-        parts.append(score(buffer))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], f"q {kind}, r {kind}, similarity double, rank int")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), F.desc("r")))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+        return _best_of(source.mapInPandas(best, schema), [F.desc("similarity"), F.desc("r")], k)
+
+    return _in_blocks(rows.sparkSession, held, chunk, shared, scored, schema + ", rank int")
+
+
+def _best_of(found: DataFrame, order: list[Column], k: int) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def aligned(neighbours: DataFrame) -> DataFrame:
@@ -85,14 +89,14 @@ def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_i
     kind, target_kind = dict(rows.dtypes)[row_id], dict(targets.dtypes)[target_id]
     slim = rows.select(F.col(row_id).alias("r"), F.map_keys(vector).alias("i"), F.map_values(vector).alias("w"))
 
-    def score(block: list) -> DataFrame:
+    def shared(block: list[Row]) -> tuple:
         entries = sorted((i, j, w) for j, r in enumerate(block) for i, w in (r["v"] or {}).items())
         at, own, weight = (np.array([e[c] for e in entries], dtype=t) for c, t in enumerate((np.int64, np.int32, np.float64)))
-        starts = np.searchsorted(at, np.arange(dim + 1))
-        shared = rows.sparkSession.sparkContext.broadcast(([r["t"] for r in block], starts, own, weight))
+        return [r["t"] for r in block], np.searchsorted(at, np.arange(dim + 1)), own, weight
 
+    def scored(sent: Broadcast) -> DataFrame:
         def best(batches):
-            names, starts, own, weight = shared.value
+            names, starts, own, weight = sent.value
             for pdf in batches:
                 out = []
                 for r, keys, weights in zip(pdf["r"], pdf["i"], pdf["w"]):
@@ -106,20 +110,12 @@ def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_i
                     out.append((r, [names[x] for x in order], sims[order]))
                 yield pd.DataFrame(out, columns=["r", "t", "s"])
 
-        return slim.mapInPandas(best, f"r {kind}, t array<{target_kind}>, s array<double>")
-
-    parts: list[DataFrame] = []
-    buffer: list = []
-    for row in targets.select(F.col(target_id).alias("t"), F.col(vector).alias("v")).orderBy(F.desc("t")).toLocalIterator(prefetchPartitions=True):
-        buffer.append(row)
-        if len(buffer) == chunk:
-            parts.append(score(buffer))
-            buffer = []
-    if buffer or not parts:
-        parts.append(score(buffer))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+        return slim.mapInPandas(best, schema)
+
+    schema = f"r {kind}, t array<{target_kind}>, s array<double>"
+    ordered = targets.select(F.col(target_id).alias("t"), F.col(vector).alias("v")).orderBy(F.desc("t")).toLocalIterator(prefetchPartitions=True)
+    every = _in_blocks(rows.sparkSession, ordered, chunk, shared, scored, schema)
+    every = every.unionByName(slim.select("r", F.array().cast(f"array<{target_kind}>").alias("t"), F.array().cast("array<double>").alias("s")))
     found = every.groupBy("r").agg(F.flatten(F.collect_list(F.arrays_zip("s", "t"))).alias("x"))
     top = found.select("r", F.slice(F.sort_array("x", asc=False), 1, k).alias("x"))
     total = F.aggregate("x.s", F.lit(0.0), lambda a, s: a + s)
@@ -162,15 +158,17 @@ def bm25(
     known = asked.select("q", F.explode("ts").alias("t")).join(idf, "t").groupBy("q").agg(F.collect_list(F.struct("t", "idf")).alias("x"))
     kinds = (dict(asked.dtypes)["q"], dict(sized.dtypes)["d"])
 
-    def score(block: list) -> DataFrame:
-        names = [r["q"] for r in block]
+    schema = f"q {kinds[0]}, d {kinds[1]}, score double"
+
+    def shared(block: list[Row]) -> tuple:
         entries = sorted((x["t"], i, x["idf"]) for i, r in enumerate(block) for x in r["x"])
         t, q, w = (np.array(c, dtype=kind) for c, kind in zip(zip(*entries), (np.int64, np.int64, np.float64)))
         vocabulary, starts = np.unique(t, return_index=True)
-        shared = spark.sparkContext.broadcast((names, vocabulary, np.append(starts, len(t)), q, w))
+        return [r["q"] for r in block], vocabulary, np.append(starts, len(t)), q, w
 
+    def scored(sent: Broadcast) -> DataFrame:
         def best(batches):
-            names, vocabulary, starts, q, w = shared.value
+            names, vocabulary, starts, q, w = sent.value
             for pdf in batches:
                 ids = pdf["d"].to_numpy()
                 for low in range(0, len(ids), 512):
@@ -190,24 +188,9 @@ def bm25(
                     row, column = np.nonzero(kept > 0)
                     yield pd.DataFrame({"q": [names[j] for j in column], "d": ids[low : low + 512][order[row, column]], "score": kept[row, column]})
 
-        return postings.mapInPandas(best, f"q {kinds[0]}, d {kinds[1]}, score double")
-
-    parts: list[DataFrame] = []
-    buffer: list = []
-    for row in known.orderBy("q").toLocalIterator(prefetchPartitions=True):
-        buffer.append(row)
-        if len(buffer) == chunk:
-            parts.append(score(buffer))
-            buffer = []
-    if buffer:
-        parts.append(score(buffer))
-    if not parts:
-        return spark.createDataFrame([], f"q {kinds[0]}, d {kinds[1]}, score double, rank int")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k)
+        return _best_of(postings.mapInPandas(best, schema), [F.desc("score"), F.col("d")], k)
+
+    return _in_blocks(spark, known.orderBy("q").toLocalIterator(prefetchPartitions=True), chunk, shared, scored, schema + ", rank int")
 
 
 def blended(a: DataFrame, b: DataFrame, keys: list[str], weight: float = 0.5) -> DataFrame:

@@ -6,8 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -62,13 +64,22 @@ def cut(df: DataFrame) -> DataFrame:
     compressed, so that later reads take only the columns they need. The table
     outlives lost executors and is removed when the driver's process ends.
     """
-    spark = df.sparkSession
+    return cut_of_parts(df.sparkSession, [df], df.schema)
+
+
+def cut_of_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: StructType | str) -> DataFrame:
+    """One cut of several tables, each written before the next is taken, so that neither plans nor what they broadcast add up."""
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_remove_cuts)
     _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    some = False
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        some = True
+    if not some:
+        spark.createDataFrame([], schema).write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
     return out
 

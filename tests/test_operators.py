@@ -396,7 +396,7 @@ def test_all_targets_count_however_many(spark):
 def test_target_query_scores_against_every_case(spark, tmp_path):
     from sieveworks.plans import corpus
 
-    spark.createDataFrame([(1, "右侧腰腹部绞痛三小时")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "右侧腰腹部绞痛三小时", None, None)], "doc_id long, text string, source string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
     cases = [(f"c{i:04d}", "右侧腰腹部绞痛三小时" if i == 299 else f"头痛{i}周", "replay") for i in range(300)]
     spark.createDataFrame(cases, "case_id string, case_text string, source string").write.parquet(f"{tmp_path}/eval_result.parquet")
     assert corpus.target_ranked(spark, str(tmp_path)).first()["best"] == 1.0
