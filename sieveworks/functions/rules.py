@@ -51,3 +51,8 @@ def staged(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     multiplies the work. A generator of one row ends the merging.
     """
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def decision(reason: Column, detail: Column, rules: Column) -> Column:
+    """struct(reason, detail, hit_rules) of a row that was decided on; rule ids once each, in order."""
+    return F.struct(reason.alias("reason"), F.when(reason.isNotNull(), detail).alias("detail"), F.array_sort(F.array_distinct(F.coalesce(rules, F.array().cast("array<string>")))).alias("hit_rules"))

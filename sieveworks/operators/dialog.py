@@ -198,3 +198,14 @@ def system_and_rest(messages: Column) -> Column:
 def conversations_only(rows: DataFrame, items: str = "items") -> DataFrame:
     """The column of conversations alone, under its usual name."""
     return rows.select(F.col(items if items in rows.columns else "conversations").alias("conversations"))
+
+
+def validity_totals(rows: DataFrame, conversation: str) -> DataFrame:
+    """(total, valid, invalid) of conversations."""
+    bad = conversation_error(F.col(conversation)).isNotNull()
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"))
+
+
+def row_key(sample_id: Column, question: Column) -> Column:
+    """The id of a row, or its question where it has none; by this rows are told apart between sets."""
+    return F.when(F.coalesce(sample_id, F.lit("")) != "", sample_id).otherwise(F.coalesce(question, F.lit("")))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.functions import jsonx, text
-from sieveworks.functions.rules import first_hit, staged
+from sieveworks.functions.rules import all_hits, first_hit, staged
 
 FIELDS = tuple(jsonx.FIELD_NAMES)
 # Words that assert, words that hedge, and words of each kind of risk.
+ASSERTIVE_WORDS = ("一定", "绝对", "肯定", "100%", "必然", "毫无疑问", "必然导致", "必然是", "必然发生", "必定", "百分百")
 ASSERTIVE = r"一定|绝对|肯定|100%|必然|毫无疑问|必定|百分百"
 HEDGING = r"可能|建议|疑似|考虑|倾向|需|待|排除|鉴别|进一步|不除外|未见"
 RISK_WORDS = {
@@ -86,6 +87,12 @@ def is_overconfident(output: Column) -> Column:
     return t.rlike(ASSERTIVE) & ~t.rlike(HEDGING)
 
 
+def overconfidence_signals(output: Column) -> Column:
+    """The assertive words in an output, each once, whether or not hedges stand beside them."""
+    t = F.coalesce(output, F.lit(""))
+    return all_hits([(word, F.contains(t, F.lit(word))) for word in ASSERTIVE_WORDS])
+
+
 def case_measures(rows: DataFrame, output: str = "raw_output", truth: str = "ground_truth") -> DataFrame:
     """``rows`` with the measures of each output and the first error that applies.
 

@@ -109,6 +109,21 @@ def split_by_share(rows: DataFrame, key: str, share: float, seed: str) -> DataFr
     return rows.withColumn("part", F.when(F.substring(unit_hash(seed, F.col(key)), 1, 8) < top, "validation").otherwise("train"))
 
 
+def head_and_tail(rows: DataFrame, order: Sequence[Column], id_col: str, tail_share: float) -> DataFrame:
+    """``rows`` with part: the last ``tail_share`` of them in the given order are validation, the rest train."""
+    placed = ranked(rows, order, id_col, id_col, "__place")
+    total = placed.agg(F.max("__place").alias("n")).first()["n"] or 0
+    return placed.withColumn("part", F.when(F.col("__place") > total - int(total * tail_share), "validation").otherwise("train")).drop("__place")
+
+
+def zipped(units: DataFrame, others: DataFrame, unit_order: Sequence[Column], other_order: Sequence[Column], unit_id: str, other_id: str) -> DataFrame:
+    """Units and others paired by their place in their own orders; the sides must be of one length."""
+    a, b = ranked(units, unit_order, unit_id, unit_id, "place"), ranked(others, other_order, other_id, other_id, "place")
+    if a.count() != b.count():
+        raise ValueError("the sides differ in length")
+    return a.join(b, "place")
+
+
 def hold_back(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows in the given (reverse) order, held back for evaluation."""
     return rows.orderBy(*order).limit(n)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.functions import choices, hashing, jsonx, text
-from sieveworks.functions.rules import staged
-from sieveworks.operators import candidates, chunks, clean, dialog, overlap, packing, pool, profile, prompts, sampling, scoring, templates
+from sieveworks.functions.rules import decision, staged
+from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, overlap, packing, pool, profile, prompts, react, sampling, scoring, templates
 from sieveworks.session import cut, shared_dir
 from sieveworks.sources import records, sinks
 
@@ -229,6 +229,17 @@ def boxed_answers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def react_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Completions as replies that call a tool, folded with its result into one turn, and the call read back."""
+    call = F.when(F.col("reward_id") % 2 == 0, "check")
+    m = lambda role, content, name=None: F.struct(F.lit(role).alias("role"), content.alias("content"), (F.lit(None).cast("string") if name is None else name).alias("call_name"), F.col("pred").alias("call_arguments"))
+    messages = F.array(m("user", F.lit("q\n")), m("assistant", F.col("completion"), call), m("function", F.col("gold")))
+    rows = cut(_t(spark, d, "choice_reward").where("not contains(completion, '\nAction')").select("reward_id", "logged_at", react.folded(messages, True).alias("t")))
+    text_of = F.get("t", F.lit(1))["content"]
+    rows = staged(rows, {"reply": text_of, "p": react.parsed(text_of)})
+    return rows.select("reward_id", "logged_at", F.size("t").alias("n_turns"), F.md5("reply").alias("turn"), "p.call_name", "p.call_arguments")
+
+
 # -- tokens, ranks and reports ------------------------------------------------------------------------------------------
 
 
@@ -253,6 +264,44 @@ def reward_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return profile.perplexity(_t(spark, d, "choice_reward"), F.abs("final_reward"), F.col("chinese_char_count"))
 
 
+def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").where(F.col("text").rlike("[一-鿿]")).select("doc_id", "text")
+    return chunks.chunk_rows(rows, "doc_id", "text").select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"))
+
+
+def assertive_words(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", _joined(evaluation.overconfidence_signals(F.col("text"))).alias("signals"))
+
+
+def conversation_totals(spark: SparkSession, d: str) -> DataFrame:
+    c = F.when(F.col("row_id") % 7 > 0, dialog.turns(("human", F.col("question")), ("gpt", F.when(F.col("row_id") % 5 > 0, F.coalesce("answer", F.lit(""))))))
+    return dialog.validity_totals(_t(spark, d, "sft_row").select(c.alias("c")), "c")
+
+
+def rows_outside(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose id, or question where they have none, is not among the even ones."""
+    rows = _t(spark, d, "sft_row").select("row_id", dialog.row_key(F.when(F.col("row_id") % 3 > 0, F.col("sample_id")), F.col("question")).alias("k"))
+    return rows.join(rows.where("row_id % 2 = 0").select("k").distinct(), "k", "left_anti").select("row_id")
+
+
+def tail_split(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.head_and_tail(_t(spark, d, "sft_row").select("row_id"), [F.col("row_id")], "row_id", 0.1)
+
+
+def zipped_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Units of the quotas of one mix, each with a document of its own."""
+    units = sampling.expanded_quotas(_t(spark, d, "mix_target").where("mix_id = 1"), "source", "max_repeats").withColumn("u", F.concat_ws("#", "source", "unit"))
+    n = units.count()
+    docs = sampling.top_k(_t(spark, d, "documents").select("doc_id"), [F.col("doc_id")], n).drop("rank")
+    return sampling.zipped(units, docs, [F.col("u")], [F.col("doc_id")], "u", "doc_id").select("place", "u", "doc_id")
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    bad = F.when(F.length("question") < 30, "short")
+    out = decision(bad, F.length("question").cast("string"), F.array(F.lit("R-2"), F.col("exam_type"), F.lit("R-1"), F.lit("R-2")))
+    return _t(spark, d, "exam_item").where("exam_type is not null").select("item_id", out["reason"].alias("reason"), out["detail"].alias("detail"), _joined(out["hit_rules"]).alias("hit_rules"))
+
+
 def shuffled_head(spark: SparkSession, d: str) -> DataFrame:
     return sampling.shuffled(_t(spark, d, "documents").select("doc_id"), "doc_id", "shuffle").limit(100)
 

@@ -8,6 +8,7 @@ _OPTION_SIG = f"coalesce(array_to_string(list_transform(list_sort(list_transform
 _RAW_SIG = "'{\"o\": {' || coalesce(array_to_string(list_transform(list_sort(map_entries(options)), lambda e: to_json(e.key) || ': ' || coalesce(to_json(e.value), 'null')), ', '), '') || '}, \"q\": ' || to_json(coalesce(question, '')) || '}'"
 _RISK = "休克 昏迷 意识障碍 大出血 心肺 呼吸衰竭 急性 危象 中毒 脓毒症 多器官 心肌梗死 主动脉夹层 脑出血 脑疝 肺栓塞 急性肝衰竭 急性肾损伤 高血钾 低血钾 心律失常 失血性休克 感染性休克 过敏性休克 DIC".split()
 _DIFFERENTIAL = "胸痛 腹痛 发热待查 不明原因 鉴别 考虑 可能 类似 需要排除 需排除 不明".split()
+_SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B\x1C-\x1F]"
 _PATTERNS = ("(用法用量|注意事项|说明书|副作用|不良反应)", "(简介是|是什么|什么是|发病原因|病因是什么|预防.*是什么)", "^(.*)(严重吗|怎么办|吃什么药)[?？]?$")
 _COSTLY = "generic_medical_qa weak_case_context may_depend_on_image_or_attachment safety_boundary_signal too_short has_replacement_character".split()
 
@@ -136,6 +137,19 @@ def oracle_sql() -> dict[str, str]:
         "layout_forms": f"SELECT item_id, md5({strip(f"regexp_replace({_LAYOUT}, '\\n{{3,}}', chr(10) || chr(10), 'g')")}) AS two, md5({strip(f"regexp_replace({_LAYOUT}, '\\n{{2,}}', chr(10), 'g')")}) AS one FROM exam_item",
         "embedding_cosines": """SELECT a.vec_id, round_even(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))
           / sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+        "react_turns": f"""WITH r AS (SELECT reward_id, logged_at, pred, gold, regexp_replace(regexp_replace(coalesce(completion, ''), '^\\n+', ''), '{_SPACE}+$', '') AS c FROM choice_reward WHERE NOT contains(completion, chr(10) || 'Action')),
+          w AS (SELECT *, CASE WHEN reward_id % 2 = 0 THEN CASE WHEN starts_with(c, 'Thought:') THEN c ELSE 'Thought: ' || c END || chr(10) || 'Action: check' || chr(10) || 'Action Input: ' || coalesce(pred, '')
+            ELSE 'Thought: I now know the final answer.' || chr(10) || 'Final Answer: ' || c END || chr(10) || 'Observation: ' || coalesce(gold, '') || chr(10) || 'Thought:' AS t FROM r)
+          SELECT reward_id, logged_at, 2::INT AS n_turns, md5(t) AS turn, CASE WHEN reward_id % 2 = 0 THEN 'check' END AS call_name, CASE WHEN reward_id % 2 = 0 THEN coalesce(pred, '') END AS call_arguments FROM w""",
+        "chunk_texts": f"""WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).{{200,249}}?[\n。！？；…]|.{{1,250}}'), lambda x: {strip('x')}) AS cs FROM documents WHERE regexp_matches(text, '[一-鿿]')),
+          o AS (SELECT doc_id, list_transform(cs, lambda c, i: CASE WHEN i < len(cs) THEN {strip("c || ' ' || substr(cs[i + 1], 1, 50)")} ELSE c END) AS cs FROM c)
+          SELECT doc_id, (unnest(range(1, len(cs) + 1)) - 1)::INT AS chunk_no, md5(unnest(cs)) AS chunk FROM o""",
+        "assertive_words": f"SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN contains({TEXT}, '{w}') THEN '{w}' END" for w in '一定 绝对 肯定 100% 必然 毫无疑问 必然导致 必然是 必然发生 必定 百分百'.split())}], lambda x: x IS NOT NULL), '|') AS signals FROM documents",
+        "conversation_totals": "SELECT count(*) AS total, count(*) FILTER (v) AS valid, count(*) FILTER (NOT v) AS invalid FROM (SELECT row_id % 7 > 0 AND row_id % 5 > 0 AND question IS NOT NULL AS v FROM sft_row)",
+        "rows_outside": "WITH k AS (SELECT row_id, CASE WHEN row_id % 3 > 0 AND coalesce(sample_id, '') <> '' THEN sample_id ELSE coalesce(question, '') END AS k FROM sft_row) SELECT row_id FROM k WHERE k NOT IN (SELECT k FROM k WHERE row_id % 2 = 0)",
+        "tail_split": "SELECT row_id, CASE WHEN row_number() OVER (ORDER BY row_id) > count(*) OVER () - count(*) OVER () // 10 THEN 'validation' ELSE 'train' END AS part FROM sft_row",
+        "zipped_slots": "WITH u AS (SELECT source || '#' || unnest(range(1, max_repeats + 1)) AS u FROM mix_target WHERE mix_id = 1 AND max_repeats > 0) SELECT place, u, doc_id FROM (SELECT u, row_number() OVER (ORDER BY u) AS place FROM u) JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents) USING (place)",
+        "decisions": "SELECT item_id, CASE WHEN length(question) < 30 THEN 'short' END AS reason, CASE WHEN length(question) < 30 THEN length(question)::VARCHAR END AS detail, array_to_string(list_sort(list_distinct(['R-2', exam_type, 'R-1'])), '|') AS hit_rules FROM exam_item WHERE exam_type IS NOT NULL",
         "file_lines": "SELECT doc_id, source, n_chars FROM documents",
         "file_splits": "SELECT item_id, exam_subject, split FROM exam_item WHERE split IN ('train', 'val', 'test')",
         "file_tree": "SELECT doc_id, n_chars FROM documents WHERE source IS NOT NULL",

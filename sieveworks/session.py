@@ -6,7 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -92,6 +93,18 @@ def free(table: DataFrame) -> None:
         _delete(*entry)
 
 
+@contextmanager
+def freeing() -> Iterator[None]:
+    """Cuts that are made within are removed at the end; results must be stored or fetched by then."""
+    before = {path for _, path in _written}
+    try:
+        yield
+    finally:
+        for entry in [e for e in _written if e[1] not in before]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 CORRUPT = "_corrupt_record"
 
@@ -113,11 +117,30 @@ def content_digests(spark: SparkSession, path: str, head: int = 1 << 20) -> Data
     return spark.read.format("binaryFile").load(path).select("path", F.md5(F.substring("content", 1, head)).alias("digest"))
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _docx_lines(contents: pd.Series) -> pd.Series:
+    """Paragraphs of word-processor files, stripped, blank ones left out; null for what is no such file."""
+
+    def read(content: bytes | None) -> list[str] | None:
+        try:
+            root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content or b"")).read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+            return None
+        found = ("".join(t.text or "" for t in p.iter(f"{_W}t")).strip() for p in root.iter(f"{_W}p"))
+        return [x for x in found if x]
+
+    return pd.Series([read(c) for c in contents], dtype=object)
+
+
 def document_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, lines) of text, Markdown and HTML files, by their endings."""
+    """(path, lines) of text, Markdown, HTML and DOCX files, by their endings. There is no reader of PDF here."""
     from sieveworks.operators.chunks import html_lines, markdown_lines
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))
-    plain = F.filter(F.transform(F.split("t", r"\r?\n"), F.trim), lambda x: x != "")
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.decode(F.when(~F.col("path").rlike(r"(?i)\.docx$"), F.col("content")), "UTF-8").alias("t"))
+    plain = F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     lines: Column = F.when(F.col("path").rlike(r"(?i)\.html?$"), html_lines(F.col("t"))).when(F.col("path").rlike(r"(?i)\.md$"), markdown_lines(F.col("t"))).otherwise(plain)
+    lines = F.when(F.col("path").rlike(r"(?i)\.docx$"), _docx_lines("content")).otherwise(lines)
     return files.select("path", lines.alias("lines"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import session
 from sieveworks.functions import jsonx
-from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, prompts, rewards, sampling, scoring, select, similarity, skew, templates
+from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, prompts, react, rewards, sampling, scoring, select, similarity, skew, templates
 
 ITEM = "item_id long, question string, options map<string,string>, answer string, question_type string, exam_type string, junk string"
 OPTIONS = {"A": "甲选项", "B": "乙选项", "C": "丙选项"}
@@ -279,9 +279,11 @@ def test_chunks(spark):
     got = {}
     for r in chunks.chunk_rows(rows, "id", "t", 10, 0).orderBy("id", "chunk_no").collect():
         got.setdefault(r["id"], []).append(r["chunk"])
-    assert got[1] == ["一二三。四五六。", "七八九。"] and set(got) == {1, 2, 5} and [len(c) for c in got[5]] == [10, 10, 5]
-    overlapped = chunks.chunk_rows(rows.where("id = 1"), "id", "t", 10, 2).orderBy("chunk_no").first()["chunk"]
-    assert overlapped == "一二三。四五六。 七八"
+    # sentences of ideographs end a chunk only within the overlap before the size; other sentences are whole, however long
+    assert got[1] == ["一二三。四五六。七八", "九。"] and set(got) == {1, 2, 5} and [len(c) for c in got[5]] == [10, 10, 5]
+    assert got[2] == ["One two.", "Three four."] * 3
+    overlapped = [r["chunk"] for r in chunks.chunk_rows(rows.where("id = 1"), "id", "t", 10, 3).orderBy("chunk_no").collect()]
+    assert overlapped == ["一二三。四五六。 七八九", "七八九。"]
     html = spark.createDataFrame([("<h1>T</h1><script>x</script><p>a &lt; b</p>",)], "t string").select(chunks.html_lines(F.col("t"))).first()[0]
     assert html == ["T", "a < b"]
 
@@ -295,6 +297,24 @@ def test_top_k_and_bm25(spark):
     assert [(r["q"], r["d"]) for r in hits] == [(1, 1)]
 
 
+def test_react_texts(spark):
+    kind = "m array<struct<role:string,content:string,call_name:string,call_arguments:string>>"
+    talk = [("system", "s", None, None), ("user", "\n问 ", None, None), ("assistant", "look", "find", '{"x": 1}'), ("function", "seen", None, None), ("assistant", "done", None, None), ("user", "more", None, None), ("assistant", None, "find", None), ("function", "again", None, None)]
+    rows = spark.createDataFrame([(talk,), ([],)], kind)
+    got = [[tuple(t) for t in r[0]] for r in rows.select(react.folded(F.col("m"), True)).collect()]
+    assert got[0] == [
+        ("user", "问"), ("assistant", 'Thought: look\nAction: find\nAction Input: {"x": 1}\nObservation: seen\nThought: I now know the final answer.\nFinal Answer: done'), ("user", "more"),
+        ("assistant", "Thought: \nAction: find\nAction Input: \nObservation: again\nThought:"),
+    ] and got[1] == []
+    replies = ['Thought: I look\nAction: find\nAction Input: {"x": 1}\nObservation: seen', "Thought: x\nAction: f\nAction Input: 1 ", "Thought: I know.\nFinal Answer: 42", "plain", None, "\nAction Input: 1\nAction: f"]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(t,) for t in replies], "t string").select(react.parsed(F.col("t"))).collect()]
+    assert got == [("I look", "find", '{"x": 1}'), ("x", "f", "1"), ("42", None, None), ("plain", None, None), ("", None, None), ("\nAction Input: 1\nAction: f", None, None)]
+    tools = spark.createDataFrame([([("find", "finds", "{}")],), ([],)], "t array<struct<name:string,description:string,parameters:string>>")
+    text, none = [r[0] for r in tools.select(react.instruction(F.col("t"))).collect()]
+    assert "find: Call this tool to interact with the find API. What is the find API useful for? finds Parameters: {}" in text and "one of [find]" in text and none == ""
+    assert spark.range(1).select(react.without_stops(F.lit("a\nObs b"), ("\nObs", "z"))).first()[0] == "a"
+
+
 def test_candidates(spark):
     reply = '{"decision": "keep", "cot_worthiness_score": 12, "reasoning_need_score": 3, "case_richness_score": 1, "option_confusion_score": 1, "rote_recall_penalty": 0, "definition_penalty": 0, "reason": "long enough reason", "tags": ["A b", "ab"]}'
     rows = spark.createDataFrame([(1, reply), (2, reply.replace("12", "9")), (3, "no")], "id long, r string")

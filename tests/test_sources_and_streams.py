@@ -71,3 +71,15 @@ def test_core_stands_without_the_subpackage():
     for file in root.rglob("*.py"):
         if "llm" not in file.relative_to(root).parts:
             assert "sieveworks.llm" not in file.read_text(encoding="utf-8"), file
+
+
+def test_word_processor_files(spark, tmp_path):
+    import zipfile
+
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body><w:p><w:r><w:t> 第一</w:t></w:r><w:r><w:t>段 </w:t></w:r></w:p><w:p/><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "b.docx").write_text("no archive")
+    (tmp_path / "c.txt").write_text("x\n\n y ")
+    got = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in records.document_lines(spark, f"{tmp_path}/*").collect()}
+    assert got == {"a.docx": ["第一段", "two"], "b.docx": None, "c.txt": ["x", "y"]}
