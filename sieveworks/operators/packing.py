@@ -56,7 +56,7 @@ def packed(rows: DataFrame, order: str, ids: str, block: int, eos: int, parts: i
         if keep_short and held and not made and part is not None:
             yield pd.DataFrame([(part, 0, held)], columns=["part", "block", "input_ids"])
 
-    keyed = rows.select(F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("__part"), F.col(order).alias("__order"), F.coalesce(ids, F.array().cast("array<int>")).alias("__ids"))
+    keyed = rows.select(F.pmod(F.conv(F.substring(F.md5(F.col(order).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int").alias("__part"), F.col(order).alias("__order"), F.coalesce(ids, F.array().cast("array<int>")).alias("__ids"))
     return keyed.repartition(parts, "__part").sortWithinPartitions("__part", "__order").select("__part", "__ids").mapInPandas(pack, "part int, block int, input_ids array<int>")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveworks.plans.sql import _DIFFICULTY, _KEYS, _QUALITY, _SPOKEN, QUESTION, TEXT, _FLAGS, _hash, _LAST_EVAL, _LAST_REWARD, _target_errors, comparison, hits, letters, matches, nf, strip
+from sieveworks.plans.sql import _DIFFICULTY, _KEEPER, _QUALITY, _SPOKEN, QUESTION, TEXT, _FLAGS, _hash, _LAST_EVAL, _LAST_REWARD, _target_errors, comparison, hits, matches, nf, strip, without_hedges
 
 _OPTION_SIG = f"coalesce(array_to_string(list_transform(list_sort(list_transform(map_entries(options), lambda e: {{'key': upper({strip(nf('e.key'))}), 'value': {strip(nf("coalesce(e.value, '')"))}}})), lambda e: {comparison('e.key', False)} || '=' || {comparison('e.value', False)}), '|'), '')"
 _RAW_SIG = "'{\"o\": {' || coalesce(array_to_string(list_transform(list_sort(map_entries(options)), lambda e: to_json(e.key) || ': ' || coalesce(to_json(e.value), 'null')), ', '), '') || '}, \"q\": ' || to_json(coalesce(question, '')) || '}'"
@@ -71,8 +71,44 @@ UNION ALL SELECT rep, id, 1.0 FROM r WHERE id <> rep
 """
 
 
+_CLUSTERS = f"""
+WITH RECURSIVE near AS ({_NEAR}), e AS (SELECT id_a AS u, id_b AS v FROM near UNION SELECT id_b, id_a FROM near),
+reach(u, r) AS (SELECT u, u FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.u),
+comp AS (SELECT u AS id, min(r) AS component FROM reach GROUP BY 1), q AS ({_KEEPER})
+SELECT id, component, first_value(id) OVER (PARTITION BY component ORDER BY quality DESC, id) AS kept_id, count(*) OVER (PARTITION BY component) AS members FROM comp JOIN q ON q.item_id = id
+"""
+
+
+def _list(name: str) -> str:
+    return f"list_filter(coalesce(ground_truth.{name}, []), lambda x: {strip("coalesce(x, '')")} <> '')"
+
+
+_CASE = strip("coalesce(case_text, '')")
+_OWN = without_hedges("ground_truth.primary_diagnosis")
+_REVIEW = f"""
+WITH k AS (SELECT *, {_CASE} AS t, concat_ws(chr(10), {_CASE}, ground_truth.primary_diagnosis) AS k FROM {_LAST_EVAL}),
+r AS (SELECT *, first_value(eval_id) OVER (PARTITION BY k ORDER BY length(case_text) DESC NULLS LAST, eval_id) AS best,
+  CASE WHEN length(t) < 18 THEN 'R-QUAL-002' WHEN contains(t, '�') OR len(regexp_extract_all(t, '[A-Za-z0-9]')) / greatest(length(t), 1)::DOUBLE > 0.6 THEN 'R-QUAL-008'
+    WHEN ground_truth IS NULL OR {strip("coalesce(ground_truth.primary_diagnosis, '')")} = '' THEN 'R-QUAL-001'
+    WHEN len({_list('diagnostic_basis')}) < 2 OR len(list_filter({_list('diagnostic_basis')}, lambda x: x IN ('根据患者情况', '结合临床', '综合考虑', '情况考虑') OR length(x) < 4)) > 0 THEN 'R-QUAL-005'
+    WHEN len({_list('differential_diagnoses')}) = 0 THEN 'R-QUAL-006'
+    WHEN {_OWN} <> '' AND list_contains(list_transform(coalesce(ground_truth.differential_diagnoses, []), lambda d: {without_hedges('d')}), {_OWN}) THEN 'R-QUAL-006,R-REVIEW-005'
+    WHEN len({_list('recommended_actions')}) = 0 THEN 'R-QUAL-007'
+    WHEN length(t) < 32 AND regexp_matches(t, '怎么办|吃什么药|严重吗|要不要紧') AND NOT regexp_matches(t, '患者|病例') THEN 'R-QUAL-010' ELSE '' END AS rules FROM k)
+SELECT eval_id, CASE WHEN best <> eval_id THEN 'rejected_duplicate' WHEN contains(rules, 'R-REVIEW') THEN 'needs_manual_review' WHEN rules <> '' THEN 'rejected_low_quality' ELSE 'accepted' END AS status,
+  CASE WHEN best <> eval_id THEN 'R-DUP-001' ELSE rules END AS rules, CASE WHEN best <> eval_id THEN best END AS duplicate_of FROM r
+"""
+_PACKED = f"""
+WITH p AS (SELECT (('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::UBIGINT % 8)::INT AS part, sum(length({TEXT}) + 1)::BIGINT AS n FROM documents GROUP BY 1)
+SELECT part, b::INT AS block, 512::INT AS n FROM (SELECT part, unnest(range(0, n // 512)) AS b FROM p) UNION ALL SELECT part, 0, n::INT FROM p WHERE n < 512
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "near_duplicate_clusters": _CLUSTERS,
+        "case_review": _REVIEW,
+        "packed_blocks": _PACKED,
         "near_duplicate_pairs": _NEAR,
         "raw_signatures": f"SELECT item_id, md5({_RAW_SIG}) AS signature FROM exam_item",
         "duplicate_views": f"""WITH v AS (SELECT {_RAW_SIG} AS raw, {comparison('question')} || '||' || {_OPTION_SIG} AS normalized, {comparison('question')} AS question_only FROM exam_item),
