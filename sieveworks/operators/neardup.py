@@ -52,26 +52,27 @@ def text_classes(rows: DataFrame, block: str, id_col: str, text: Column) -> tupl
     return classes, copies
 
 
-def tfidf_vectors(rows: DataFrame, threshold: float, shortest: int = 2, longest: int = 5) -> DataFrame:
-    """(block, id, grams, ws, prefix) of classes (block, cid, n, text): unit vectors of smooth TF-IDF, rarest grams first.
-
-    Document frequencies are those of the rows of a block: a class counts as often as it has rows.
-
-    Grams that only one row of a block has are dropped if the block has four
-    rows or more, as they can't be shared. Grams stand as 64-bit hashes and are
-    counted within their row, so that only distinct ones are shuffled.
-    ``prefix`` is the number of grams that must be joined to find all pairs of
-    ``threshold``.
+def tfidf_vectors(classes: DataFrame, threshold: float, shortest: int = 2, longest: int = 5) -> DataFrame:
+    """(id, grams, ws, prefix) of classes (block, cid, n, text): unit vectors of smooth TF-IDF, rarest grams first.
+
+    Document frequencies are those of the rows of a block: a class counts as
+    often as it has rows. Grams that only one row of a block has are dropped if
+    the block has four rows or more, as they can't be shared. A gram of a block
+    is one 64-bit hash and grams are counted within their row, so that what is
+    shuffled are distinct grams of rows, as numbers. ``prefix`` is the number of
+    grams that must be joined to find all pairs of ``threshold``.
     """
-    counted = cut(rows.select("block", F.col("cid").alias("id"), "n", _counted_grams(shortest, longest)(F.col("text")).alias("c")))
-    grams = counted.select("block", "id", "n", F.explode(F.arrays_zip("c.grams", "c.counts")).alias("g")).select("block", "id", "n", F.col("g.grams").alias("gram"), F.col("g.counts").alias("tf"))
-    sizes = counted.groupBy("block").agg(F.sum("n").alias("n"))
-    df = grams.groupBy("block", "gram").agg(F.sum("n").alias("df")).join(sizes, "block").where("df >= 2 or n < 4")
-    idf = df.select("block", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = grams.join(idf, ["block", "gram"]).select("block", "id", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
-    held = raw.groupBy("block", "id").agg(F.array_sort(F.collect_list("x")).alias("v"))
-    held = held.select("block", "id", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("raw"))
-    return held.withColumn("u", _unit(threshold)("raw")).select("block", "id", "grams", F.col("u.ws").alias("ws"), F.col("u.prefix").alias("prefix"))
+    counted = cut(classes.select(F.coalesce(F.col("block").cast("string"), F.lit("\u0002")).alias("block"), "cid", "n", _counted_grams(shortest, longest)(F.col("text")).alias("c")))
+    sizes = cut(counted.groupBy("block").agg(F.sum("n").alias("in_block"), F.count(F.lit(1)).alias("rows")))
+    sized = lookup(counted, sizes, "block", "rows")
+    grams = sized.select("block", F.col("cid").alias("id"), "n", "in_block", F.explode(F.arrays_zip("c.grams", "c.counts")).alias("g"))
+    grams = grams.select(F.xxhash64("block", "g.grams").alias("gram"), "id", "n", "in_block", F.col("g.counts").alias("tf"))
+    df = grams.groupBy("gram").agg(F.sum("n").alias("df"), F.max("in_block").alias("of")).where("df >= 2 or of < 4")
+    idf = df.select("gram", "df", (F.log((1 + F.col("of")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = grams.select("gram", "id", "tf").join(idf, "gram").select("id", F.struct("df", "gram", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    held = raw.groupBy("id").agg(F.array_sort(F.collect_list("x")).alias("v"))
+    held = held.select("id", F.transform("v", lambda x: x["gram"]).alias("grams"), F.transform("v", lambda x: x["w"]).alias("raw"))
+    return held.withColumn("u", _unit(threshold)("raw")).select("id", "grams", F.col("u.ws").alias("ws"), F.col("u.prefix").alias("prefix"))
 
 
 def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshold: float = 0.95, shortest: int = 2, longest: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +91,7 @@ def tfidf_pairs(rows: DataFrame, block: str, id_col: str, text: Column, threshol
     classes, copies = text_classes(rows, block, id_col, text)
     vectors = cut(tfidf_vectors(classes, threshold, shortest, longest))
     free(classes)
-    keys = cut(vectors.select("id", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram"), F.coalesce(F.col("block").cast("string"), F.lit("\u0002")).alias("block")).select(F.xxhash64("block", "gram").alias("key"), "id"))
+    keys = cut(vectors.select("id", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("key")))
     counts = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     left, right = (keys.select("key", F.col("id").alias(f"id_{x}")) for x in "ab")
     candidates = cut(salted_join(left, right, "key", counts, "id_a").where("id_a < id_b").select("id_a", "id_b").distinct())
