@@ -249,6 +249,25 @@ def test_hot_copies_on_both_sides(spark):
     assert p3.overlap_report(rows).first()["pairs"] == 18
 
 
+def test_hot_keys_are_spread_without_changing_results(spark, monkeypatch):
+    """A third of all rows in one class and one look, with the threshold for hot keys lowered so that they are spread."""
+    from functools import partial
+
+    rng = random.Random(23)
+    words = "患者发热咳嗽胸痛头晕乏力恶心呕吐腹泻皮疹水肿黄疸眩晕抽搐失眠便秘口干多饮尿频"
+    other = ["".join(rng.choice(words) for _ in range(40)) for _ in range(20)]
+    rows = [(("train", "val", "test")[i % 3], Q + " " * (i % 4), OPTIONS) for i in range(24)]
+    rows += [("train", t, None) for t in other] + [("val", t[:30] + t[31:], None) for t in other] + [("test", Q.replace("剧烈", "剧列烈"), OPTIONS)]
+    table = items(spark, *rows)
+    looks = [(i, "Ａ题" if i % 2 else "A题", None, "B") for i in range(20)] + [(30 + i, f"题{i}", None, "B") for i in range(30)] + [(99, "Α题", None, "B")]
+    sft = spark.createDataFrame(looks, "row_id long, question string, options map<string,string>, answer string")
+    plain = {tuple(r) for r in p3.overlap_pairs(table).collect()}, {tuple(r) for r in p5.lookalike_pairs(sft).collect()}
+    for module in (p3, p5):
+        monkeypatch.setattr(module, "salted_join", partial(module.salted_join, least=2, salts=4))
+    spread = {tuple(r) for r in p3.overlap_pairs(table).collect()}, {tuple(r) for r in p5.lookalike_pairs(sft).collect()}
+    assert plain == spread and len(plain[0]) == 8 * 16 + 8 + 20 and len(plain[1]) == 100 + 20
+
+
 # -- p5 -----------------------------------------------------------------------------------------------------------------
 
 _LIKELY = st.text(alphabet=st.sampled_from("aAéé̈oоКKＫ１1⼥女者者​ 　 ，,①⁹µμ️각가"), max_size=12)
