@@ -81,12 +81,23 @@ def upserted(stream: DataFrame, merge: Callable[[DataFrame, int], None]) -> None
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", home).trigger(availableNow=True).start().awaitTermination()
 
 
-def error_runs(events: DataFrame, by: str, order: list[str], failed: Column) -> DataFrame:
-    """(by, run, n, first, last): unbroken runs of failed events within each ``by``, as gaps and islands."""
-    over = Window.partitionBy(by).orderBy(*order)
-    marked = events.withColumn("__bad", failed).withColumn("__good", F.sum(F.when(F.col("__bad"), 0).otherwise(1)).over(over))
-    bad = marked.where("__bad").groupBy(by, F.col("__good").alias("run"))
-    return bad.agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+def error_runs(events: DataFrame, by: str, order: list[str], failed: Column, span: str = "1 day") -> DataFrame:
+    """(by, run, n, first, last): unbroken runs of failed events within each ``by``, as gaps and islands.
+
+    A run's number is that of the good events before it. These are counted in
+    cells of ``span`` of the first order column, a time, and summed up over the
+    cells of a ``by``, so that a ``by`` with a third of all events is numbered by
+    many tasks. A null failure is a good event; a null time comes first.
+    """
+    rows = events.withColumns({"__bad": F.coalesce(failed, F.lit(False)), "__cell": F.coalesce(F.window(order[0], span)["start"], F.lit("0001-01-01").cast("timestamp"))})
+    good = F.when(F.col("__bad"), 0).otherwise(1)
+    cells = rows.groupBy(F.col(by).alias("__by"), F.col("__cell").alias("__of")).agg(F.sum(good).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__by").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.select("__by", "__of", F.coalesce(upto, F.lit(0)).alias("__start"))
+    within = rows.withColumn("__good", F.sum(good).over(Window.partitionBy(by, "__cell").orderBy(*order)))
+    bad = within.where("__bad").join(starts, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__cell") == F.col("__of")))
+    runs = bad.groupBy(by, (F.col("__start") + F.col("__good")).alias("run"))
+    return runs.agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
 def tripped(runs: DataFrame, by: str, most: int) -> DataFrame:

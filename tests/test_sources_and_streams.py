@@ -83,3 +83,21 @@ def test_word_processor_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("x\n\n y ")
     got = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in records.document_lines(spark, f"{tmp_path}/*").collect()}
     assert got == {"a.docx": ["第一段", "two"], "b.docx": None, "c.txt": ["x", "y"]}
+
+
+def test_error_runs_across_cells(spark):
+    import datetime
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(rng.choice(["hot"] * 3 + ["a", None]), start + datetime.timedelta(minutes=rng.randrange(5000)), i, rng.choice([True, True, False, None])) for i in range(400)]
+    table = spark.createDataFrame(rows, "who string, ts timestamp, id long, bad boolean")
+    want = []
+    for who in ("hot", "a", None):
+        own = sorted((r[1], r[2], bool(r[3])) for r in rows if r[0] == who)
+        want += [(who, len(g), g[0][0], g[-1][0]) for bad, g in ((k, list(v)) for k, v in itertools.groupby(own, key=lambda r: r[2])) if bad]
+    for span in ("1 hour", "3 days"):
+        got = events.error_runs(table, "who", ["ts", "id"], F.col("bad"), span).collect()
+        assert sorted(map(repr, ((r["who"], r["n"], r["first"], r["last"]) for r in got))) == sorted(map(repr, want))
