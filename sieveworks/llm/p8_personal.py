@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,8 @@ PLACEHOLDERS = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_nu
 
 #: A span is reported from this score on.
 ACCEPT = 1.0
+#: Characters between two details that count as beside each other, and what that is worth.
+BESIDE, BESIDE_WEIGHT = 3, 0.3
 _HAN = r"[一-鿿]"
 _DIGITS = str.maketrans(DIGIT_FORMS)
 
@@ -76,12 +78,12 @@ _PHONES = (
     (re.compile(rf"(?<![0-9０-９A-Za-z.\-+])(?:[(（]?\+?{_D}{{2}}[)）][ ]?|\+{_D}{{2}}[ \-]?)?[1１][3-9３-９]{_D}(?:{_SEP}{_D}{{4}}){{2}}(?![0-9０-９A-Za-z])(?!\.\d)"), 1.0),
     # the same in written-out digits
     (re.compile(r"(?<![〇零一二三四五六七八九])一[三四五六七八九][〇零一二三四五六七八九]{9}(?![〇零一二三四五六七八九])"), 1.0),
-    # area code and number
-    (re.compile(rf"(?<![0-9０-９A-Za-z.\-+])(?:\+?86[ \-]?)?(?:[(（]0{_D}{{2,3}}[)）][ \-]?|0{_D}{{2,3}}[ \-]){_D}{{7,8}}(?![0-9０-９A-Za-z])"), 1.0),
+    # area code and number, which may also be other groups of digits: words or details beside it must speak for it
+    (re.compile(rf"(?<![0-9０-９A-Za-z.\-+])(?:\+?86[ \-]?)?(?:[(（]0{_D}{{2,3}}[)）][ \-]?|0{_D}{{2,3}}[ \-]){_D}{{7,8}}(?![0-9０-９A-Za-z])"), 0.8),
     # North American numbers; three, three and four digits may be many things, so a word before them must speak for a number to call
     (re.compile(r"(?<![0-9A-Za-z.\-+(])(?:\+?1[ \-.])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ \-.])\d{3}[ \-.]\d{4}(?![0-9A-Za-z\-])"), 0.8),
     # other numbers with a country's code
-    (re.compile(r"(?<![0-9A-Za-z])\+\d{1,3}(?:[ \-.]?\(?\d{2,5}\)?){2,4}(?![0-9A-Za-z])"), 1.0),
+    (re.compile(r"(?<![0-9A-Za-z])\+\d{1,3}(?:[ \-.]?\(?\d{2,5}\)?){2,4}(?![0-9A-Za-z])"), 0.8),
 )
 _IDS = (
     re.compile(rf"(?<![0-9０-９A-Za-z]){_D}{{6}}[ \-]?{_D}{{8}}[ \-]?{_D}{{3}}[0-9０-９XxＸ](?![0-9０-９A-Za-z])"),
@@ -158,7 +160,7 @@ _NEGATIVE = re.compile(
     r"(?:标本号|样本号|流水号|批准文号|条码|条形码|批号|登记号|试验号|编号|序列号|订单号|病案号|床号|内分机|分机|急救请拨|Specimen|Trial code|Lot|Accession|Barcode|Batch|extension|ext\.?)[:：为 #.]*(?:no\.?)?\s*$", re.IGNORECASE
 )
 _POSITIVE = {
-    "phone": re.compile(r"(?:电话|手机|号码|联系方式|Tel|Call|call|phone|Phone|微信|拨|desk is|致电|热线)[^0-9]{0,12}$"),
+    "phone": re.compile(r"(?:电话|手机|号码|联系方式|传真|座机|留了|留下|留的|Tel|Call|call|phone|Phone|微信|拨|desk is|致电|热线)[^0-9]{0,12}$"),
     "id_number": re.compile(r"(?:身份证|证件|社保|医保|ID|SSN|录入的是|提供了|insurer matched|（|\()[^0-9]{0,10}$"),
     "account": re.compile(r"(?:卡号|账号|帐号|银行卡|card|Card|account|IBAN)[^0-9A-Z]{0,10}$"),
 }
@@ -279,9 +281,19 @@ def personal_details(text: str | None) -> list[Span]:
     """Accepted spans in the order of the text; of overlapping ones the surer kind, then the longer stays."""
     if not text:
         return []
-    found = [Span("email", *m.span(), 2.0) for m in _EMAIL.finditer(text)]
-    found += [s for s in _numbers(text) + _addresses(text) if s.score >= ACCEPT and not _MASK.search(text[s.start : s.end])]
-    found += [s for s in _names(text, found) if s.score >= ACCEPT]
+    sure = [Span("email", *m.span(), 2.0) for m in _EMAIL.finditer(text)]
+    open_: list[Span] = []
+    for s in _numbers(text) + _addresses(text):
+        if not _MASK.search(text[s.start : s.end]):
+            (sure if s.score >= ACCEPT else open_).append(s)
+    sure += [s for s in _names(text, sure + open_) if s.score >= ACCEPT]
+    # a number between a name and an address is that person's: details beside a span speak for it
+    ends = [s for s in sure if s.kind in ("name", "address", "email", "phone")]
+    for s in open_:
+        beside = any(0 <= s.start - o.end <= BESIDE or 0 <= o.start - s.end <= BESIDE for o in ends)
+        if beside and s.score + BESIDE_WEIGHT >= ACCEPT:
+            sure.append(replace(s, score=s.score + BESIDE_WEIGHT))
+    found = sure
     kept: list[Span] = []
     for s in sorted(found, key=lambda s: (-_RANK[s.kind], -(s.end - s.start), s.start)):
         if all(s.end <= k.start or s.start >= k.end for k in kept):

@@ -447,12 +447,17 @@ def test_names_by_make_and_context_on_held_out_sentences():
     assert [t for t in NO_NAME if any(k == "name" for k, _ in details(t))] == []
 
 
-@pytest.mark.parametrize(("text", "kind"), [("Call 212-555-0187 today", "phone"), ("SSN 219-09-9999 on file", "id_number")])
+@pytest.mark.parametrize(("text", "kind"), [("Call 212-555-0187 today", "phone"), ("SSN 219-09-9999 on file", "id_number"), ("电话0571-87654321转护士站", "phone")])
 def test_context_decides_what_digits_alone_do_not(text, kind):
     number = re.search(r"[\d-]{11,}", text)[0]
     assert details(text) == [(kind, number)] and details(f"The ratio {number} was recorded") == []
 
 
+def test_details_beside_a_number_speak_for_it():
+    assert details("联系人：王丽华，0571-87654321。") == [("name", "王丽华"), ("phone", "0571-87654321")]
+    assert details("数值0571-87654321见表。") == []
+
+
 def test_validators():
     assert p8.resident_id("11010519491231002X") and not p8.resident_id("110105194912310021") and not p8.resident_id("110105194913310020")
     assert p8.resident_id("110105491231002") and not p8.resident_id("110105491331002")
