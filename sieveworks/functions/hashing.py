@@ -68,7 +68,7 @@ def hamming(a: Column, b: Column) -> Column:
 KNOWN_GRAMS = 300_000
 
 
-class _Digests(dict):
+class Digests(dict):
     """64-bit BLAKE2b digest of a text, computed when it is first asked for."""
 
     def __missing__(self, gram: str) -> int:
@@ -78,7 +78,7 @@ class _Digests(dict):
         return h
 
 
-def _gram_hashes(text: str, shortest: int, longest: int, known: _Digests) -> list[int]:
+def _gram_hashes(text: str, shortest: int, longest: int, known: Digests) -> list[int]:
     return [known[text[i : i + n]] for n in range(shortest, longest + 1) for i in range(len(text) - n + 1)]
 
 
@@ -91,7 +91,7 @@ def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None
 
     def sketch(texts: pd.Series) -> pd.Series:
         shifts = np.arange(64, dtype=np.uint64)
-        out, known = [], _Digests()
+        out, known = [], Digests()
         for t in texts:
             grams = _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest, known)
             if grams:
@@ -107,20 +107,23 @@ def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None
     return F.pandas_udf(sketch, T.LongType())(text)
 
 
+def hashed_entries(text: str | None, known: Digests, dim: int = 16_384, shortest: int = 2, longest: int = 4, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and weights of a text's vector: signed feature hashing of n-grams to unit length; an empty text has none."""
+    counts: dict[int, float] = {}
+    for h in _gram_hashes("".join(((text or "")[:head] if head else (text or "")).split()), shortest, longest, known):
+        counts[h % dim] = counts.get(h % dim, 0.0) + (-1.0 if h >> 8 & 1 else 1.0)
+    norm = sum(v * v for v in counts.values()) ** 0.5
+    return np.fromiter(counts if norm else (), dtype=np.int32), np.fromiter((v / norm for v in counts.values()) if norm else (), dtype=np.float64)
+
+
 def hashed_vector(text: Column, dim: int = 16_384, shortest: int = 2, longest: int = 4, head: int | None = None) -> Column:
-    """Signed feature hashing of n-grams to unit length, as a map from dimension to weight; an empty text gives an empty map."""
+    """``hashed_entries`` as a map from dimension to weight; for small sets, as a vector is larger than its text."""
 
     def embed(texts: pd.Series) -> pd.DataFrame:
         # two arrays a text: an object for each entry would take gigabytes a batch
-        dims, weights, known = [], [], _Digests()
-        for t in texts:
-            counts: dict[int, float] = {}
-            for h in _gram_hashes("".join(((t or "")[:head] if head else (t or "")).split()), shortest, longest, known):
-                counts[h % dim] = counts.get(h % dim, 0.0) + (-1.0 if h >> 8 & 1 else 1.0)
-            norm = sum(v * v for v in counts.values()) ** 0.5
-            dims.append(np.fromiter(counts if norm else (), dtype=np.int32))
-            weights.append(np.fromiter((v / norm for v in counts.values()) if norm else (), dtype=np.float64))
-        return pd.DataFrame({"i": pd.Series(dims, dtype=object), "w": pd.Series(weights, dtype=object)})
+        known = Digests()
+        entries = [hashed_entries(t, known, dim, shortest, longest, head) for t in texts]
+        return pd.DataFrame({"i": pd.Series([i for i, _ in entries], dtype=object), "w": pd.Series([w for _, w in entries], dtype=object)})
 
     embed.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     arrays = F.pandas_udf(embed, "i array<int>, w array<double>")(text)

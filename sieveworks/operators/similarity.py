@@ -11,6 +11,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sieveworks.functions.hashing import Digests, hashed_entries
 from sieveworks.functions.text import without_space
 from sieveworks.session import cut, cut_of_parts
 
@@ -76,7 +77,9 @@ def aligned(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("r").distinct()
 
 
-def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_id: str, vector: str, k: int = 3, dim: int = 16_384, chunk: int = 512) -> DataFrame:
+def target_similarity(
+    rows: DataFrame, targets: DataFrame, row_id: str, target_id: str, vector: str, k: int = 3, dim: int = 16_384, chunk: int = 512, text: str | None = None
+) -> DataFrame:
     """(r, matched, best, mean_top): of each row the k most similar of all targets, of equals the greater id first, its best and the mean of the k.
 
     Vectors are maps from dimension to weight of unit length; row ids are
@@ -84,10 +87,13 @@ def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_i
     list from dimension to targets, so what is broadcast never grows with the
     data. Against each chunk a row keeps its k best, and the k best of these
     remain; no pair is written. Every chunk reads ``rows`` again, so they
-    should be a cut. A row without a vector has similarity 0.
+    should be a cut. A row without a vector has similarity 0. With ``text``
+    rows have texts instead, whose vectors are made where they are scored and
+    never held: a vector takes many times the memory of its text.
     """
     kind, target_kind = dict(rows.dtypes)[row_id], dict(targets.dtypes)[target_id]
-    slim = rows.select(F.col(row_id).alias("r"), F.map_keys(vector).alias("i"), F.map_values(vector).alias("w"))
+    held = [F.map_keys(vector).alias("i"), F.map_values(vector).alias("w")] if text is None else [F.col(text).alias("x")]
+    slim = rows.select(F.col(row_id).alias("r"), *held)
 
     def shared(block: list[Row]) -> tuple:
         entries = sorted((i, j, w) for j, r in enumerate(block) for i, w in (r["v"] or {}).items())
@@ -97,9 +103,11 @@ def target_similarity(rows: DataFrame, targets: DataFrame, row_id: str, target_i
     def scored(sent: Broadcast) -> DataFrame:
         def best(batches):
             names, starts, own, weight = sent.value
+            known = Digests()
             for pdf in batches:
                 out = []
-                for r, keys, weights in zip(pdf["r"], pdf["i"], pdf["w"]):
+                vectors = zip(pdf["i"], pdf["w"]) if text is None else (hashed_entries(x, known, dim) for x in pdf["x"])
+                for r, (keys, weights) in zip(pdf["r"], vectors):
                     sims = np.zeros(len(names))
                     if keys is not None and len(keys):
                         keys = np.asarray(keys, dtype=np.int64)

@@ -394,6 +394,7 @@ def test_target_similarity_against_brute_force(spark):
     for d in (1, 2, 3, 4):
         want = sorted(((round(dot(left[d], right[t]), 9), t) for t in right), reverse=True)[:2]
         assert got[d]["matched"] == [t for _, t in want] and got[d]["best"] == pytest.approx(want[0][0], abs=1e-8)
+    assert {r["r"]: r for r in similarity.target_similarity(docs.drop("v"), targets, "d", "d", "v", 2, text="t").collect()} == got
 
 
 def test_all_targets_count_however_many(spark):
