@@ -104,8 +104,18 @@ SELECT part, b::INT AS block, 512::INT AS n FROM (SELECT part, unnest(range(0, n
 """
 
 
+# Sentences joined one by one into a text whose chunks are parted by a control character.
+_LATIN = "list_filter(string_split(list_reduce(string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)), lambda acc, x: CASE WHEN string_split(acc, chr(30))[-1] = '' THEN acc || x WHEN length(string_split(acc, chr(30))[-1]) + length(x) <= 250 THEN acc || ' ' || x ELSE acc || chr(30) || x END), chr(30)), lambda c: c <> '')"
+_CHUNKS = f"""
+WITH c AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[一-鿿]') THEN list_transform(regexp_extract_all(text, '(?s).{{200,249}}?[\n。！？；…]|.{{1,250}}'), lambda x: {strip('x')}) ELSE {_LATIN} END AS cs FROM documents WHERE text <> ''),
+o AS (SELECT doc_id, list_transform(cs, lambda c, i: CASE WHEN i < len(cs) THEN {strip("c || ' ' || substr(cs[i + 1], 1, 50)")} ELSE c END) AS cs FROM c)
+SELECT doc_id, len(cs) AS n_chunks, list_max(list_transform(cs, lambda c: length(c)))::INT AS longest FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "chunk_counts": _CHUNKS,
         "near_duplicate_clusters": _CLUSTERS,
         "case_review": _REVIEW,
         "packed_blocks": _PACKED,
