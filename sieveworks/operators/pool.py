@@ -12,6 +12,7 @@ from sieveworks.functions.hashing import unit_hash
 from sieveworks.functions.rules import first_hit
 from sieveworks.operators.candidates import repeated_diagnosis
 from sieveworks.operators.overlap import blocked
+from sieveworks.operators.skew import bounded
 from sieveworks.session import cut
 
 # Words of the review.
@@ -96,7 +97,7 @@ def holdout(rows: DataFrame, id_col: str, group: str, level: str, seed: str, per
     counts = slim.where("g is not null").groupBy("g").pivot("l", ["easy", "hard", "medium"]).agg(F.count(F.lit(1))).fillna(0)
     wanted = counts.withColumns({k: F.least(F.col(k), F.lit(n)) for k, n in quotas.items()})
     wanted = wanted.withColumn("medium", F.least(F.col("medium"), F.greatest(F.lit(0), F.lit(per_group) - sum((F.col(k) for k in quotas), F.lit(0)))))
-    limits = wanted.unpivot(["g"], [*quotas, "medium"], "l", "n")
+    limits = bounded(wanted.unpivot(["g"], [*quotas, "medium"], "l", "n"), 10_000, "groups and levels")
     drawn = cut(ranked.join(F.broadcast(limits), ["g", "l"]).where("rn <= n").select("id", "g", "l"))
     total = drawn.count()
     if total < enough and total:

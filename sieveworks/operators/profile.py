@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def distribution(rows: DataFrame, column: str, top: int = 12, unknown: str = "unknown") -> DataFrame:
     """(value, n, pct) of the ``top`` most frequent values, of equals the least; null is ``unknown``."""
     counts = rows.groupBy(F.coalesce(F.col(column), F.lit(unknown)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return counts.orderBy(F.desc("n"), "value").limit(top).join(F.broadcast(total)).select("value", "n", F.bround(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+    total = F.lit(rows.count())
+    return counts.orderBy(F.desc("n"), "value").limit(top).select("value", "n", F.bround(100.0 * F.col("n") / total, 4).alias("pct"))
 
 
 def counts_by_each(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
