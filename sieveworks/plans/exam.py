@@ -227,8 +227,7 @@ def _vector_text(repeat: int = 4):
 
 def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     block = F.concat_ws("|", *[F.coalesce(F.trim(c), F.lit("__missing__")) for c in ("exam_type", "exam_class", "exam_subject")])
-    rows = _items(spark, d).withColumn("block", block).withColumn("vt", _vector_text())
-    pairs, copies = neardup.tfidf_pairs(rows, "block", "item_id", F.col("vt"))
+    pairs, copies = neardup.tfidf_pairs(_items(spark, d).withColumn("block", block), "block", "item_id", _vector_text())
     near = neardup.among_equals(pairs, copies, _items(spark, d), "item_id", F.upper(text.stripped(F.col("answer"))))
     return near.select("id_a", "id_b", F.bround("similarity", 4).alias("similarity"))
 

@@ -3,6 +3,7 @@ import json
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,28 @@ def test_tfidf_pairs_against_brute_force(spark):
         assert all(s >= threshold - 1e-9 for s in got.values())
 
 
+def test_blocks_of_one_task_and_spread_blocks_give_the_same_pairs(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("患者男女发热咳嗽胸痛头呕吐周天三两", k=60)) for _ in range(30)]
+    texts = base + [t[:-1] + "乙" for t in base[:20]] + base[:10] + ["", None, "a"]
+    rows = spark.createDataFrame([(b if b != "z" else None, i * 3 + k, t) for k, b in enumerate("xyz") for i, t in enumerate(texts)], "block string, id long, t string")
+    rows = rows.unionByName(spark.createDataFrame([("wide", 1000 + i, t * 9) for i, t in enumerate(base[:4] + base[:2])], rows.schema))
+    results = []
+    for most in ({}, {"most_rows": 1}, {"most_chars": 1}, {"most_rows": 7}, {"most_chars": 2000}):
+        pairs, copies = neardup.tfidf_pairs(rows, "block", "id", F.col("t"), 0.8, **most)
+        results.append(({(r[0], r[1]): round(r[2], 9) for r in pairs.collect()}, sorted(map(tuple, copies.collect()))))
+    assert all(r == results[0] for r in results) and len(results[0][0]) >= 60 and len(results[0][1]) == 35
+
+
+def test_near_duplicates_write_no_grams(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, "".join(rng.choices("患者男女发热咳嗽胸痛头呕吐周天三两", k=80))) for i in range(1500)], "id long, t string").withColumn("b", F.lit("b"))
+    before = {path for _, path in session._written}
+    neardup.tfidf_pairs(rows, "b", "id", F.col("t"))
+    written = [f for _, path in session._written if path not in before for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    assert sum(f.stat().st_size for f in written) < 30_000  # vectors of these rows would be megabytes
+
+
 def test_pairs_among_equals(spark):
     rows = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "A"), (5, "B"), (6, None), (7, "A")], "id long, k string")
     pairs = spark.createDataFrame([(1, 4, 0.97)], "id_a long, id_b long, similarity double")
