@@ -49,13 +49,15 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame,
     The ``hot_keys`` heaviest keys with ``least`` rows or more are spread over
     ``salts`` tasks by the column ``spread`` of ``rows``, and ``table`` has its
     rows of those keys once for each task; any other key has under ``1 /
-    hot_keys`` of the rows. Broadcast are the hot keys only. Null keys match nothing.
+    hot_keys`` of the rows. Null keys match nothing. Broadcast are the hot keys
+    only: the two sides are merged whatever size Spark expects of them, which
+    leaves out the rows that an ``explode`` makes.
     """
     hot = counts.where(F.col("n") >= least).orderBy(F.desc("n"), key).limit(hot_keys).select(F.col(key).alias("__hot"))
     left = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")))
     copies = F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
     right = table.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.explode(copies))
-    return left.drop("__hot").join(right.drop("__hot"), [key, "__salt"]).drop("__salt")
+    return left.drop("__hot").hint("merge").join(right.drop("__hot"), [key, "__salt"]).drop("__salt")
 
 
 def spread_rank(

@@ -239,6 +239,13 @@ def test_hamming_pairs_and_greedy(spark):
     assert runs[0] == runs[1] and len(runs[0]) == 20
 
 
+def test_keys_of_sketches_are_not_broadcast(spark):
+    # 20 keys a sketch are far more than Spark expects, so a size under its threshold says nothing
+    rows = spark.createDataFrame([(i, i * 7919) for i in range(300)], "id long, s long")
+    plan = select.hamming_pairs(rows, "id", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan and plan.count("BroadcastHashJoin [k") == 2  # the hot keys, once for each side
+
+
 def test_overlap_operators(spark):
     log = spark.createDataFrame([(1, 1, "error"), (1, 2, "ok"), (2, 3, "ok"), (2, 4, "error"), (None, 5, "ok")], "id long, seq long, status string")
     rows = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
