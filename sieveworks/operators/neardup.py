@@ -16,7 +16,7 @@ from sieveworks.session import cut, free
 #: Rows and characters of a block that one task takes whole (about 300 MB); larger blocks are spread over tasks.
 BLOCK_ROWS, BLOCK_CHARS = 10_000, 2_000_000
 #: Pairs of postings that are held at once while candidates of a block are gathered.
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE = 250_000
 
 
 def _counted_grams(shortest: int, longest: int):
@@ -165,6 +165,7 @@ def _block_pairs(ids: list, texts: list[str], threshold: float, shortest: int, l
     n = np.ones(size)
     np.add.at(n, [c for c, _ in copies], 1)
     row, gram, tf = _grams_of_rows(list(classes), shortest, longest)
+    classes.clear()
     # vocabulary in one order, rarest first; what can't be shared is left out
     order = np.argsort(gram)
     gram = gram[order]
@@ -175,14 +176,17 @@ def _block_pairs(ids: list, texts: list[str], threshold: float, shortest: int, l
     df = np.add.reduceat(n[row[order]], first)
     kept = (df >= 2) | (len(ids) < 4)
     order, df, times = order[np.repeat(kept, times)], df[kept], times[kept]
+    del gram
     place = np.empty(len(df), dtype=np.int64)
     place[np.argsort(df, kind="stable")] = np.arange(len(df))
     idf = np.log((1 + len(ids)) / (1 + df)) + 1
     width = max(len(df), 1)
     key, w = row[order] * np.int64(width) + np.repeat(place, times), tf[order] * np.repeat(idf, times)
+    del row, tf, order
     by_row = np.argsort(key)
     key, w = key[by_row], w[by_row]
     row, gram = np.divmod(key, width)
+    del by_row
     w = w / np.sqrt(np.bincount(row, w * w, size))[row]
     start = np.searchsorted(row, np.arange(size + 1))
     upto = np.append(0.0, np.cumsum(w * w))
@@ -227,7 +231,7 @@ def _grams_of_rows(texts: list[str], shortest: int, longest: int, chars: int = 2
     """(row, gram, count) of the distinct hashed n-grams of each text, as ``_counted_grams`` has them."""
     plain = ["".join(t.split()) for t in texts]
     lengths = np.array([len(t) for t in plain])
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]]
     low = 0
     while low < len(plain):
         high = low + max(int(np.searchsorted(np.cumsum(lengths[low : low + chars]), chars, side="right")), 1)
@@ -251,7 +255,7 @@ def _grams_of_rows(texts: list[str], shortest: int, longest: int, chars: int = 2
             for x, y in zip([0, *ends], ends):
                 grams[x:y].sort()
             first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])))
-            for column, part in zip(out, (own[first] + low, grams[first], np.diff(np.append(first, len(own))))):
+            for column, part in zip(out, ((own[first] + low).astype(np.int32), grams[first], np.diff(np.append(first, len(own))).astype(np.int32))):
                 column.append(part)
         low = high
     row, gram, tf = (np.concatenate(x) for x in out)

@@ -150,6 +150,20 @@ def test_near_duplicates_write_no_grams(spark):
     assert sum(f.stat().st_size for f in written) < 30_000  # vectors of these rows would be megabytes
 
 
+def test_clusters_of_the_query_write_no_grams(spark, tmp_path):
+    from sieveworks.plans import exam
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("患者男女发热咳嗽胸痛头呕吐周天三两", k=80)) for _ in range(1500)]
+    items = [(i, "t", "c", "s", t, OPTIONS, "A") for i, t in enumerate([*texts, texts[3][:-1] + "乙", texts[3], texts[9]], 1)]
+    spark.createDataFrame(items, "item_id long, exam_type string, exam_class string, exam_subject string, question string, options map<string,string>, answer string").write.parquet(f"{tmp_path}/exam_item.parquet")
+    before = {path for _, path in session._written}
+    found = {r["id"]: (r["component"], r["members"]) for r in exam.near_duplicate_clusters(spark, str(tmp_path)).collect()}
+    assert found == {4: (4, 3), 1501: (4, 3), 1502: (4, 3), 10: (10, 2), 1503: (10, 2)}
+    written = [f for _, path in session._written if path not in before for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    assert sum(f.stat().st_size for f in written) < 400_000  # vectors of these rows would be megabytes
+
+
 def test_pairs_among_equals(spark):
     rows = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "A"), (5, "B"), (6, None), (7, "A")], "id long, k string")
     pairs = spark.createDataFrame([(1, 4, 0.97)], "id_a long, id_b long, similarity double")
