@@ -341,6 +341,30 @@ def test_top_k_and_bm25(spark):
     assert [(r["q"], r["d"]) for r in hits] == [(1, 1)]
 
 
+def test_bm25_takes_a_thousand_queries_in_one_reading(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = {i: "".join(rng.choices("发热咳嗽头痛胸", k=rng.randint(0, 30))) for i in range(1100)} | {1: None, 2: "发热 fever"}
+    rows = spark.createDataFrame(list(texts.items()), "d long, t string")
+    docs = rows.where("d < 60").unionByName(spark.createDataFrame([(100, texts[5]), (101, texts[7])], rows.schema))
+    parts = []
+    whole = similarity.cut_of_parts
+    monkeypatch.setattr(similarity, "cut_of_parts", lambda s, p, kind: whole(s, (x for x in p if not parts.append(1)), kind))
+    got = Counter(map(tuple, similarity.bm25(rows, docs, "d", "t", "d", "t", 4).collect()))
+    assert len(parts) == 1
+    assert Counter(map(tuple, similarity.bm25(rows, docs, "d", "t", "d", "t", 4, chunk=150).collect())) == got
+
+    pairs = lambda t: Counter(w for w in [(t or "")[i : i + 2] for i in range(len(t or "") - 1)] if " " not in w and not w.isascii()) + Counter((t or "").split()[1:])
+    held = {r["d"]: pairs(r["t"]) for r in docs.collect()}
+    mean, df = sum(sum(c.values()) for c in held.values()) / len(held), Counter(w for c in held.values() for w in c)
+    idf = {w: math.log(1 + (len(held) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    for q in (2, 5, 7, 600, 1099):
+        score = {d: round(sum(idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in pairs(texts[q]) if w in c), 6) for d, c in held.items()}
+        want = sorted((-s, d) for d, s in score.items() if s > 0)[:4]
+        mine = sorted((r[3], r[1], r[2]) for r in got if r[0] == q)
+        assert [d for _, d, _ in mine] == [d for _, d in want] and [s for *_, s in mine] == pytest.approx([-s for s, _ in want], abs=2e-6)
+    assert not any(r[0] == 1 for r in got)
+
+
 def test_react_texts(spark):
     kind = "m array<struct<role:string,content:string,call_name:string,call_arguments:string>>"
     talk = [("system", "s", None, None), ("user", "\n问 ", None, None), ("assistant", "look", "find", '{"x": 1}'), ("function", "seen", None, None), ("assistant", "done", None, None), ("user", "more", None, None), ("assistant", None, "find", None), ("function", "again", None, None)]
