@@ -109,11 +109,12 @@ def simhash(text: Column, shortest: int = 2, longest: int = 4, head: int | None
 
 def hashed_entries(text: str | None, known: Digests, dim: int = 16_384, shortest: int = 2, longest: int = 4, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Dimensions and weights of a text's vector: signed feature hashing of n-grams to unit length; an empty text has none."""
-    counts: dict[int, float] = {}
-    for h in _gram_hashes("".join(((text or "")[:head] if head else (text or "")).split()), shortest, longest, known):
-        counts[h % dim] = counts.get(h % dim, 0.0) + (-1.0 if h >> 8 & 1 else 1.0)
-    norm = sum(v * v for v in counts.values()) ** 0.5
-    return np.fromiter(counts if norm else (), dtype=np.int32), np.fromiter((v / norm for v in counts.values()) if norm else (), dtype=np.float64)
+    hashes = np.array(_gram_hashes("".join(((text or "")[:head] if head else (text or "")).split()), shortest, longest, known), dtype=np.uint64)
+    keys, first, place = np.unique(hashes % np.uint64(dim), return_index=True, return_inverse=True)
+    counts = np.bincount(place, weights=1.0 - 2.0 * (hashes >> np.uint64(8) & np.uint64(1)), minlength=len(keys))
+    # counts are whole numbers, so their sum of squares is exact; in the order in which dimensions appear
+    norm, order = float((counts * counts).sum()) ** 0.5, np.argsort(first)
+    return keys[order].astype(np.int32)[: len(keys) if norm else 0], (counts[order] / norm if norm else np.zeros(0))
 
 
 def hashed_vector(text: Column, dim: int = 16_384, shortest: int = 2, longest: int = 4, head: int | None = None) -> Column:

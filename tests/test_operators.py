@@ -491,6 +491,19 @@ def test_target_query_scores_against_every_case(spark, tmp_path):
     assert corpus.target_ranked(spark, str(tmp_path)).first()["best"] == 1.0
 
 
+def test_target_query_makes_a_vector_once(spark, tmp_path, monkeypatch):
+    from sieveworks.plans import corpus
+
+    spark.createDataFrame([(1, "右侧腰腹部绞痛三小时", None, None), (2, "", None, None), (3, None, None, None)], "doc_id long, text string, source string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
+    cases = [(f"c{i:04d}", "右侧腰腹部绞痛三小时" if i in (1, 4099) else f"头痛{i}周", "replay") for i in range(4100)]
+    spark.createDataFrame(cases, "case_id string, case_text string, source string").write.parquet(f"{tmp_path}/eval_result.parquet")
+    parts = []
+    whole = similarity.cut_of_parts
+    monkeypatch.setattr(similarity, "cut_of_parts", lambda s, p, kind: whole(s, (x for x in p if not parts.append(1)), kind))
+    assert {r["doc_id"]: r["best"] for r in corpus.target_ranked(spark, str(tmp_path)).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert len(parts) == 1  # each part makes every document's vector again
+
+
 def test_pool_decisions_and_holdout(spark):
     from sieveworks.operators import pool
 
