@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sieveworks import session
 from sieveworks.functions import jsonx
 from sieveworks.operators import candidates, chunks, clean, dialog, evaluation, neardup, overlap, packing, profile, prompts, react, rewards, sampling, scoring, select, similarity, skew, templates
+from sieveworks.plans import corpus
 
 ITEM = "item_id long, question string, options map<string,string>, answer string, question_type string, exam_type string, junk string"
 OPTIONS = {"A": "甲选项", "B": "乙选项", "C": "丙选项"}
@@ -260,6 +261,22 @@ def test_keys_of_sketches_are_not_broadcast(spark):
     assert "SortMergeJoin [k" in plan and plan.count("BroadcastHashJoin [k") == 2  # the hot keys, once for each side
 
 
+def test_all_hamming_pairs(spark, tmp_path):
+    sketches = [0, 1, 3, 7, 15, -1, -2, 1 << 62, (1 << 63) - 1, 0, 0, 1, -1, 7, None, None, 1 << 40]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(sketches)], "id long, s long").repartition(3)
+    m = (1 << 64) - 1
+    want = [(a, b) for a, b in itertools.combinations([i for i, s in enumerate(sketches) if s is not None], 2) if bin((sketches[a] ^ sketches[b]) & m).count("1") <= 3]
+    assert sorted(tuple(r) for r in select.all_hamming_pairs(rows, "id", "s").collect()) == want
+    # the hot sketch has its rows spread, whichever side of a pair it is
+    many = spark.range(1100).select("id", F.when(F.col("id") < 1050, 8).when(F.col("id") < 1052, 9).when(F.col("id") < 1053, 0).otherwise(F.col("id") * 7_919_777_777_777).alias("s"))
+    got = select.all_hamming_pairs(many, "id", "s").where("id_b < 1053")
+    assert got.count() == got.distinct().count() == 1053 * 1052 // 2
+    # the query pairs copies with each other and with what is near them
+    texts = ["发热三天，伴咳嗽。", "发热三天，伴咳嗽。", "发热三天， 伴咳嗽。", "", None, "腹痛一周。"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(tuple(r) for r in corpus.sketch_pairs(spark, str(tmp_path)).collect()) == [(0, 1), (0, 2), (1, 2), (3, 4)]
+
+
 def test_overlap_operators(spark):
     log = spark.createDataFrame([(1, 1, "error"), (1, 2, "ok"), (2, 3, "ok"), (2, 4, "error"), (None, 5, "ok")], "id long, seq long, status string")
     rows = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id long")
